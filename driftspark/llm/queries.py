@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, sharding
+from driftspark.llm import decontamination, language_id, sharding, token_counts
 
 _QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op10_sharding": sharding.op10_sharding,
 }
 _SQL = {"op4_decontamination": decontamination.SQL}
