@@ -147,3 +147,30 @@ def bounds(rows: np.ndarray, n: int) -> np.ndarray:
 def lower_ascii(column):
     """Lower-case A-Z alone, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Bits of a membership filter: 2 MB in each task, whatever number of keys it stands for.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the values (long, or arrays of them) in a column; each task sends one of fixed size, merged as they come."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            v = batch.column(0)
+            v = v.flatten() if pa.types.is_list(v.type) else v
+            bits[filter_at(v.to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in df.select(column).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def filter_at(values: np.ndarray) -> np.ndarray:
+    """Places of 64-bit values in a bit_filter."""
+    return (values % np.uint64(FILTER_BITS)).astype(np.int64)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, language_id, lm_scoring, sharding, token_counts
+from driftspark.llm import decontamination, language_id, lm_scoring, near_dedup, sharding, token_counts
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_language_id": language_id.op5_language_id,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-_SQL = {"op4_decontamination": decontamination.SQL}
+_SQL = {"op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
 
 
 def queries() -> dict:
