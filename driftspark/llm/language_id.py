@@ -26,9 +26,9 @@ FAMILIES = {
     "indic": "hi bn mr gu pa ne ur",
     "sinitic": "zh yue wuu",
 }
-DIMS = 1 << 15
+DIMS = 1 << 14
 #: Training rows of each language, and bytes taken of each of them when learning; scoring reads whole texts.
-ROWS_PER_LANGUAGE, TRAIN_BYTES = 600, 3000
+ROWS_PER_LANGUAGE, TRAIN_BYTES = 400, 3000
 
 
 def family(lang: str) -> str:
@@ -43,7 +43,7 @@ def gram_ids(data: np.ndarray) -> list[np.ndarray]:
         shifted = np.zeros(len(data), np.uint32)
         shifted[n - 1 :] = data[: len(data) - n + 1]
         h = (h * np.uint32(0x01000193)) ^ (shifted + np.uint32(n))
-        out.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int32))
+        out.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32))
     return out
 
 
@@ -56,22 +56,22 @@ def _features(text: bytes) -> np.ndarray:
     return counts / max(1, len(data))
 
 
-def svm(x: np.ndarray, y: np.ndarray, steps: int = 300, reg: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """A linear SVM (squared hinge, averaged mini-batch subgradients); the last weight is the bias."""
+def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int = 300, reg: float = 1e-4, seed: int = 7) -> np.ndarray:
+    """A linear SVM (squared hinge, averaged mini-batch subgradients) between two sets of rows of x; the last weight is the bias."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.full((len(x), 1), 0.1, np.float32)])
-    scale = 1.0 / max(1e-9, float(np.mean((x**2).sum(axis=1))))
-    w, mean = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1])
-    y = y.astype(np.float32)
-    positive, negative = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
+    scale = np.float32(1.0 / max(1e-9, float(np.mean([x[i] @ x[i] for i in positive[:50]])) + 0.01))
+    w, bias = np.zeros(x.shape[1], np.float32), np.float32(0)
+    mean, mean_bias = np.zeros(x.shape[1], np.float32), 0.0
+    y = np.repeat(np.array([1, -1], np.float32), 64)
     for t in range(steps):
-        i = np.concatenate([rng.choice(positive, 64), rng.choice(negative, 64)])
-        slack = np.maximum(np.float32(0), 1 - y[i] * (x[i] @ w))
-        w += np.float32(scale * 0.5 / (1 + t / 100)) * ((slack * y[i]) @ x[i] / np.float32(len(i)) - np.float32(reg) * w)
+        part = x[np.concatenate([rng.choice(positive, 64), rng.choice(negative, 64)])]
+        pull = np.maximum(np.float32(0), 1 - y * (part @ w + bias)) * y / np.float32(len(y))
+        rate = scale * np.float32(0.5 / (1 + t / 100))
+        w += rate * (pull @ part - np.float32(reg) * w)
+        bias += rate * np.float32(0.01) * pull.sum()
         mean += w
-    mean /= steps
-    mean[-1] *= 0.1
-    return mean
+        mean_bias += float(bias)
+    return np.append(mean / steps, np.float32(mean_bias / steps))
 
 
 def fit(sample: list[tuple[bytes, str]]) -> dict:
@@ -82,10 +82,8 @@ def fit(sample: list[tuple[bytes, str]]) -> dict:
     of = np.array([lang for _, lang in sample])
     fam = np.array([family(lang) for lang in of])
     pairs = [(a, b) for f in families for a, b in combinations([z for z in langs if family(z) == f], 2)]
-    weights = [svm(x, np.where(fam == f, 1.0, -1.0)) for f in (families if len(families) > 1 else [])]
-    for a, b in pairs:
-        i = (of == a) | (of == b)
-        weights.append(svm(x[i], np.where(of[i] == a, 1.0, -1.0)))
+    weights = [svm(x, np.flatnonzero(fam == f), np.flatnonzero(fam != f)) for f in (families if len(families) > 1 else [])]
+    weights += [svm(x, np.flatnonzero(of == a), np.flatnonzero(of == b)) for a, b in pairs]
     w = np.array(weights, np.float32).reshape(len(weights), DIMS + 1)
     return {"langs": langs, "families": families, "pairs": pairs, "weights": w[:, :-1].copy(), "bias": w[:, -1].copy()}
 
