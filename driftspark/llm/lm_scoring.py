@@ -26,7 +26,7 @@ from driftspark.llm.common import LOWER, remainder, slices, store, table, utf8
 DEPTH, ROOT = 6, 3
 END = 0xFF
 #: Most frequent grams and words that every task gets; the others are joined.
-HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 18
+HOT_GRAMS, HOT_WORDS = 1 << 19, 1 << 17
 _LN2, _LN10 = np.log(2.0), np.log(10.0)
 
 
@@ -90,7 +90,7 @@ def _count(batches):
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi in slices(offsets, 4 << 20):
+        for lo, hi in slices(offsets):
             off = offsets[lo : hi + 1] - offsets[lo]
             part = LOWER[data[offsets[lo] : offsets[hi]]]
             k, ends = gram_keys(part, off)
@@ -103,12 +103,12 @@ def _count(batches):
             whole = part.tobytes()
             for i in np.flatnonzero(learn[lo:hi]):
                 vocabulary.update(whole[off[i] : off[i + 1]].split())
-            if held > 4_000_000:
+            if held > 2_000_000:
                 keys, counts = ([x] for x in _merge(keys, counts))
                 held = len(keys[0])
-                if held > 3_000_000:
+                if held > 1_500_000:
                     yield from emit()
-            if len(vocabulary) > 1_000_000:
+            if len(vocabulary) > 400_000:
                 yield from emit_words()
     if keys:
         yield from emit()
@@ -192,7 +192,7 @@ def _whole_subtrees(batches, columns: list[str]):
             continue
         kept.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
         rows += batch.num_rows
-        if rows >= 400_000:
+        if rows >= 200_000:
             all_of = [np.concatenate(x) for x in zip(*kept, strict=True)]
             root = all_of[0] >> shift
             cut = int(np.searchsorted(root, root[-1]))
@@ -291,11 +291,12 @@ def _sum_hot(shared):
     def run(batches):
         from collections import Counter
 
-        grams, values, words = shared.value
-        index, words = pd.Index(grams), dict(words)
+        grams, words = shared.value
+        index, values = pd.Index(grams["gram"].to_numpy()), grams["value"].to_numpy()
+        words = dict(zip(words["word"].to_pylist(), words["value"].to_pylist(), strict=True))
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for lo, hi in slices(offsets, 4 << 20):
+            for lo, hi in slices(offsets):
                 off = offsets[lo : hi + 1] - offsets[lo]
                 part = LOWER[data[offsets[lo] : offsets[hi]]]
                 n = hi - lo
@@ -356,21 +357,24 @@ def score(docs: DataFrame, learn) -> DataFrame:
     root = F.shiftright("gram", 8 * (DEPTH + 1 - ROOT))
     dealt = counted.where("gram is not null").select("gram", "learned", "n").repartition(root).sortWithinPartitions("gram")
     top = dealt.mapInArrow(_roots, "node long, zeros long, ones long, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    top = top.toPandas();
-    model = spark.sparkContext.broadcast(Top(*(top[c].to_numpy() for c in ("node", "zeros", "ones", "below"))))
+    top = top.toArrow()
+    model = spark.sparkContext.broadcast(Top(*(top.column(c).to_numpy() for c in ("node", "zeros", "ones", "below"))))
     valued = store(dealt.mapInArrow(_score_grams(model), "gram long, n long, value double"), "lm-values")
 
     def threshold(df: DataFrame, n: str, most: int) -> int:
         """The smallest count that at most ``most`` rows reach, from a histogram by powers of 2 to the quarter."""
-        steps = df.groupBy(F.floor(F.log2(n) * 4).alias("step")).count().orderBy(F.desc("step")).toPandas()  # at most 256 rows
-        fits = steps["step"][steps["count"].cumsum() <= most]
-        return int(np.ceil(2 ** (fits.min() / 4) - 1e-9)) if len(fits) else 1 << 62
-
-    hot_grams = valued.where(F.col("n") >= threshold(valued, "n", HOT_GRAMS)).select("gram", "value").toPandas()
+        steps = df.groupBy(F.floor(F.log2(n) * 4).alias("step")).count().orderBy(F.desc("step")).collect()  # at most 256 rows
+        below, reached = 1 << 62, 0
+        for r in steps:
+            reached += r["count"]
+            if reached > most:
+                break
+            below = int(np.ceil(2 ** (r.step / 4) - 1e-9))
+        return below
+
+    hot_grams = valued.where(F.col("n") >= threshold(valued, "n", HOT_GRAMS)).select("gram", "value").toArrow()
     hot_words = words.where(F.col("c") >= threshold(words, "c", HOT_WORDS)).select("word", F.log10(F.col("c") + 1).alias("value")).toArrow()
-    hot = spark.sparkContext.broadcast(
-        (hot_grams["gram"].to_numpy(), hot_grams["value"].to_numpy(), list(zip(hot_words["word"].to_pylist(), hot_words["value"].to_pylist(), strict=True)))
-    )
+    hot = spark.sparkContext.broadcast((hot_grams.combine_chunks(), hot_words.combine_chunks()))
     rest = [c for c in docs.columns if c != "text"]
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.struct(*rest).alias("row")).alias("row"))
     kind = f"row {source.schema['row'].dataType.simpleString()}, words long, known long, base double, hot double, rare array<long>, cold array<struct<word:binary,n:long>>"
