@@ -106,11 +106,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word of already lower-cased texts, in order. ``breaks`` marks the bytes that are in no word."""
+def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first byte, end) of every word of already lower-cased texts, in order. ``breaks`` marks the bytes that are in no word."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~breaks[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -124,7 +124,12 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * inv[starts])
-    return h, np.searchsorted(offsets, starts, "right") - 1
+    return h, np.searchsorted(offsets, starts, "right") - 1, starts, ends
+
+
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word, as ``spans`` finds them."""
+    return spans(data, offsets, breaks)[:2]
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

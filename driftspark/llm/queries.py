@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, language_id, lm_scoring, near_dedup, sharding, token_counts
+from driftspark.llm import decontamination, language_id, lm_scoring, near_dedup, sharding, token_counts, toxicity
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_language_id": language_id.op5_language_id,
     "op6_token_counts": token_counts.op6_token_counts,
