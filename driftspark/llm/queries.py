@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, language_id, lm_scoring, near_dedup, sharding, token_counts, toxicity
+from driftspark.llm import decontamination, embedding_dedup, language_id, lm_scoring, near_dedup, sharding, token_counts, toxicity
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_language_id": language_id.op5_language_id,
@@ -13,7 +14,7 @@ _QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-_SQL = {"op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
+_SQL = {"op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
 
 
 def queries() -> dict:
