@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, embedding_dedup, language_id, lm_scoring, near_dedup, sharding, token_counts, toxicity
+from driftspark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, sharding, token_counts, toxicity
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -12,9 +12,11 @@ _QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_sharding": sharding.op10_sharding,
 }
-_SQL = {"op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
+_SQL = {"op9_license_scan": license_scan.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
 
 
 def queries() -> dict:
