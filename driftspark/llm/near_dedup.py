@@ -11,6 +11,7 @@ full sets. At J = 0.85 with 24 bands of 5 a link is missed with probability 8e-7
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ REGISTERS, BASE, RATE, LIMIT = 120, 1.02, 20.0, 65534
 #: Standard errors by which an estimate may fall short of the threshold and still be verified.
 SLACK = 6.0
 #: Members of a bucket compared at once across components.
-BLOCK = 512
+BLOCK = 256
 
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -93,15 +94,15 @@ def likelihood_jaccard(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray,
 
 
 def _plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of sketches whose sets may reach the threshold."""
-    ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    """Pairs of sketches whose sets may reach the threshold: by their sizes, their equal registers (J at least), their likeliest J."""
+    t = percent / 100
+    least = t - SLACK * np.sqrt(t * (1 - t) / REGISTERS)
     out = np.zeros(len(a), bool)
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    at = at[(a[at] == b[at]).sum(axis=1) >= least * REGISTERS]
     if len(at):
         x, y = a[at], b[at]
-        j = likelihood_jaccard((x > y).sum(axis=1), (x < y).sum(axis=1), n_a[at].astype(float), n_b[at].astype(float))
-        t = percent / 100
-        out[at] = j >= t - SLACK * np.sqrt(t * (1 - t) / REGISTERS)
+        out[at] = likelihood_jaccard((x > y).sum(axis=1), (x < y).sum(axis=1), n_a[at].astype(float), n_b[at].astype(float)) >= least
     return out
 
 
@@ -176,63 +177,74 @@ def _filter_pairs(percent: int):
     return run
 
 
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-            ok = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
+            keep = pa.array([_similar(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
 def _across(percent: int, rows: int):
-    """Pandas function over one block pair of a bucket: plausible pairs of different components for which this is the first shared band."""
-    import pandas as pd
+    """Pandas function over one block pair of a bucket: links that join different components, no more than join them.
+
+    A pair is compared in its first shared band alone, by sketches and then on its full sets.
+    """
 
-    def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        band, same = key[1], key[3] == key[4]
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        band, same = int(key[1]), key[3] == key[4]
         left = df[df.side == 0].reset_index(drop=True)
         right = left if same else df[df.side == 1].reset_index(drop=True)
-        cols = {"a": "int64", "b": "int64", "digest_a": object, "digest_b": object}
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in cols.items()})
-        sl, sr = (np.frombuffer(b"".join(x.sketch), np.uint16).reshape(len(x), REGISTERS) for x in (left, right))
-        i, j = np.nonzero(left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :])
-        if same:
-            i, j = i[i < j], j[i < j]
-        out_i, out_j = [], []
-        for s in range(0, len(i), 20_000):
-            p, q = i[s : s + 20_000], j[s : s + 20_000]
-            equal = (sl[p] == sr[q]).reshape(len(p), REGISTERS // rows, rows).all(axis=2)
-            ok = (equal.argmax(axis=1) == band) & _plausible(sl[p], sr[q], left.n.to_numpy()[p], right.n.to_numpy()[q], percent)
-            out_i.append(p[ok])
-            out_j.append(q[ok])
-        p, q = (np.concatenate(x) if x else np.zeros(0, int) for x in (out_i, out_j))
-        return pd.DataFrame({"a": left.rep.to_numpy()[p], "b": right.rep.to_numpy()[q], "digest_a": left.digest.to_numpy()[p], "digest_b": right.digest.to_numpy()[q]})
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
+            small, large = np.minimum(n_l[:, None], n_r[None, :]), np.maximum(n_l[:, None], n_r[None, :])
+            i, j = np.nonzero((left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :]) & (100 * small >= percent * large))
+            if same:
+                i, j = i[i < j], j[i < j]
+            sl, sr = (np.frombuffer(b"".join(x.sketch), np.uint16).reshape(len(x), REGISTERS) for x in (left, right))
+            leader = {int(c): int(c) for c in np.concatenate([left.comp, right.comp])}
+
+            def top(c):
+                while leader[c] != c:
+                    leader[c] = c = leader[leader[c]]
+                return c
+
+            for s in range(0, len(i), 20_000):
+                p, q = i[s : s + 20_000], j[s : s + 20_000]
+                equal = (sl[p] == sr[q]).reshape(len(p), REGISTERS // rows, rows).all(axis=2)
+                ok = equal.argmax(axis=1) == band
+                p, q = p[ok], q[ok]
+                ok = _plausible(sl[p], sr[q], n_l[p], n_r[q], percent)
+                for x, y in zip(p[ok], q[ok], strict=True):
+                    c, d = top(int(left.comp[x])), top(int(right.comp[y]))
+                    if c != d and _similar(left.set[x], right.set[y], percent):
+                        leader[c] = d
+                        links.append((int(left.rep[x]), int(right.rep[y])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass on their full sets. pairs: a, b, digest_a, digest_b."""
-    asked = pairs.select(F.col("digest_a").alias("digest")).unionByName(pairs.select(F.col("digest_b").alias("digest"))).distinct()
+def _sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(digest, set) of the sets whose digests are asked for. A bitmap of fixed size keeps most others from the shuffle."""
 
     def heads(batches):
         for batch in batches:
             v = [np.frombuffer(x[:8], np.int64)[0] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64))], names=["head"])
 
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(asked.mapInArrow(heads, "head long"), "head"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(asked.select("digest").mapInArrow(heads, "head long"), "head"))
     sets = docs.select("text").mapInArrow(_joined(_wanted_sets(k, bits), "wanted_sets"), "digest binary, set binary")
-    sets = store(sets.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    side = lambda s: sets.select(F.col("digest").alias(f"digest_{s}"), F.col("set").alias(f"set_{s}"))
-    return pairs.join(side("a"), "digest_a").join(side("b"), "digest_b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+    return store(sets.join(asked.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set")), "sets")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
@@ -259,28 +271,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
     pairs = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "digest_a", "digest_b", "sketch_a", "sketch_b")
     pairs = store(pairs.mapInArrow(_filter_pairs(percent), "a long, b long, digest_a binary, digest_b binary"), "pairs")
-    links = store(_links(docs, pairs, k, percent), "links")
+    sets = _sets(docs, pairs.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")), k)
+    of = lambda s: sets.select(F.col("digest").alias(f"digest_{s}"), F.col("set").alias(f"set_{s}"))
+    verified = pairs.join(of("a"), "digest_a").join(of("b"), "digest_b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+    links = store(verified, "links")
+    drop(sets, pairs)
     found = components(links)
 
-    # buckets whose members are still in different components: compare across these
-    comp = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    # buckets whose members, the smallest apart, are still in different components: compare across these
+    comp = buckets.where("rep <> first").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     open_buckets = comp.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int")
     still = comp.join(open_buckets, ["band", "bucket"]).withColumns({"blocks": blocks, "own": own})
     still = store(still.join(reps, "rep").select("band", "bucket", "rep", "comp", "n", "digest", "sketch", "blocks", "own"), "open")
-    dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
-        {"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
-    )
-    more = dealt.groupBy("bucket", "band", "blocks", "lo", "hi").applyInPandas(_across(percent, rows), "a long, b long, digest_a binary, digest_b binary")
-    more = store(more.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(pairs.select("a", "b")), ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        links = links.unionByName(store(_links(docs, more, k, percent), "links"))
+    if still.limit(1).count():
+        sets = _sets(docs, still, k)
+        dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+            {"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
+        )
+        more = dealt.join(sets, "digest").groupBy("bucket", "band", "blocks", "lo", "hi").applyInPandas(_across(percent, rows), "a long, b long")
+        links = store(links.unionByName(more), "links")
+        drop(sets)
         found = components(links)
     root = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     member = rowed.select("row", "n", "digest", "uid").join(root, "digest", "left")
     member = store(member.select("row", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("uid")).alias("root")), "members")
-    drop(rowed, reps, buckets, pairs, still)
+    drop(rowed, reps, buckets, still)
     smallest = member.groupBy("root").agg(F.min(f"row.{key}").alias("component_id"))
     out = member.join(smallest, "root").select("row", F.col("n").alias("n_shingles"), "component_id", "root")
     return out.withColumn("kept", F.col(f"row.{key}").eqNullSafe(F.col("component_id"))).drop("root")
