@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftspark.llm.common import LOWER, remainder, slices, store, table, utf8
 
-DEPTH, ROOT = 6, 3
+DEPTH, ROOT = 5, 3
 END = 0xFF
 #: Most frequent grams and words that every task gets; the others are joined.
 HOT_GRAMS, HOT_WORDS = 1 << 19, 1 << 17
@@ -307,7 +307,11 @@ def _sum_hot(shared):
                 hot = np.add.reduceat(value[codes], ends[:-1])
                 rare = np.flatnonzero(place[codes] < 0)
                 row = np.searchsorted(ends, rare, "right") - 1
-                rare_cut = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                order = np.lexsort((k[rare], row))
+                row, gram = row[order], k[rare][order]
+                new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])) if len(gram) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(gram)))
+                rare_cut = pa.array(np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32))
                 whole = part.tobytes()
                 base, tokens, known = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
                 cold: list[list[dict]] = []
@@ -325,10 +329,11 @@ def _sum_hot(shared):
                         pa.array(known),
                         pa.array(base),
                         pa.array(hot),
-                        pa.ListArray.from_arrays(pa.array(rare_cut), pa.array(k[rare])),
+                        pa.ListArray.from_arrays(rare_cut, pa.array(gram[new])),
+                        pa.ListArray.from_arrays(rare_cut, pa.array(times)),
                         pa.array(cold, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
                     ],
-                    names=["row", "words", "known", "base", "hot", "rare", "cold"],
+                    names=["row", "words", "known", "base", "hot", "rare", "times", "cold"],
                 )
 
     return run
@@ -377,9 +382,9 @@ def score(docs: DataFrame, learn) -> DataFrame:
     hot = spark.sparkContext.broadcast((hot_grams.combine_chunks(), hot_words.combine_chunks()))
     rest = [c for c in docs.columns if c != "text"]
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), F.struct(*rest).alias("row")).alias("row"))
-    kind = f"row {source.schema['row'].dataType.simpleString()}, words long, known long, base double, hot double, rare array<long>, cold array<struct<word:binary,n:long>>"
+    kind = f"row {source.schema['row'].dataType.simpleString()}, words long, known long, base double, hot double, rare array<long>, times array<long>, cold array<struct<word:binary,n:long>>"
     texts = store(source.mapInArrow(_sum_hot(hot), kind).withColumn("uid", F.monotonically_increasing_id()), "lm-texts")
-    rare = texts.select("uid", F.explode("rare").alias("gram")).groupBy("uid", "gram").agg(F.count("*").alias("times"))
+    rare = texts.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("gram"), "r.times")
     rare = rare.join(valued, "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("value")).alias("rare_score"))
     cold = texts.select("uid", F.explode("cold").alias("w")).select("uid", "w.word", F.col("w.n").alias("times"))
     cold = cold.join(words, "word").groupBy("uid").agg(F.sum("times").alias("cold_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("cold_base"))
@@ -388,7 +393,7 @@ def score(docs: DataFrame, learn) -> DataFrame:
     base = F.col("base") + F.coalesce("cold_base", zero) + F.lit(float(np.log10(taught + 1))) - n_tokens * F.lit(log_denominator)
     result = F.col("hot") + F.coalesce("rare_score", zero)
     return (
-        texts.drop("rare", "cold")
+        texts.drop("rare", "times", "cold")
         .join(rare, "uid", "left")
         .join(cold, "uid", "left")
         .select(
