@@ -248,12 +248,13 @@ def _sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
-    """row (a struct of the columns of docs but text), n_shingles, component_id (smallest key reachable by links), kept.
+    """row (a struct of the columns of docs but text), n_shingles, component_id (smallest key reachable by links), kept, first.
 
     Texts link when 100 * |A and B| >= percent * |A or B| over their sets of distinct k-word shingles (words are runs of
     other than ASCII white space, A-Z lower-cased; a text of fewer words is one shingle). Null and blank texts have empty
     sets, link with nothing and are kept. Equal texts link. Of repeated rows each has the same component; a null key is
-    smallest only where a component has no other. An empty table gives an empty result.
+    smallest only where a component has no other. ``first`` is true for one row of each component, one of those kept. An
+    empty table gives an empty result.
     """
     rows = 5 if percent >= 85 else 4
     rest = [c for c in docs.columns if c != "text"]
@@ -295,12 +296,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
         drop(sets)
         found = components(links)
     root = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    member = rowed.select("row", "n", "digest", "uid").join(root, "digest", "left")
-    member = store(member.select("row", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("uid")).alias("root")), "members")
-    drop(rowed, reps, buckets, still)
-    smallest = member.groupBy("root").agg(F.min(f"row.{key}").alias("component_id"))
-    out = member.join(smallest, "root").select("row", F.col("n").alias("n_shingles"), "component_id", "root")
-    return out.withColumn("kept", F.col(f"row.{key}").eqNullSafe(F.col("component_id"))).drop("root")
+    member = rowed.select("uid", F.col(f"row.{key}").alias("key"), "n", "digest").join(root, "digest", "left")
+    member = store(member.select("uid", "key", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("uid")).alias("root")), "members")
+    drop(reps, buckets, still)
+    smallest = member.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid")).alias("least"))
+    out = member.join(smallest, "root").select(
+        "uid",
+        F.col("n").alias("n_shingles"),
+        F.col("least.key").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("least.key")).alias("kept"),
+        (F.col("uid") == F.col("least.uid")).alias("first"),
+    )
+    return rowed.select("uid", "row").join(out, "uid").drop("uid")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
