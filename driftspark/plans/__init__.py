@@ -1,0 +1,7 @@
+"""Registered queries of the library's own operators."""
+
+from driftspark.plans import bank, registry
+
+QUERIES, SQL = registry.QUERIES, registry.SQL
+
+__all__ = ["QUERIES", "SQL", "bank"]
