@@ -1,7 +1,7 @@
 """Registered queries of the library's own operators."""
 
-from driftspark.plans import bank, registry
+from driftspark.plans import bank, evidence, registry
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
 
-__all__ = ["QUERIES", "SQL", "bank"]
+__all__ = ["QUERIES", "SQL", "bank", "evidence"]
