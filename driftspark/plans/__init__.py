@@ -1,7 +1,7 @@
 """Registered queries of the library's own operators."""
 
-from driftspark.plans import bank, evidence, registry
+from driftspark.plans import bank, evidence, registry, workspace
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
 
-__all__ = ["QUERIES", "SQL", "bank", "evidence"]
+__all__ = ["QUERIES", "SQL", "bank", "evidence", "workspace"]
