@@ -18,8 +18,8 @@ from driftspark.llm.common import LOWER, NOT_ALNUM, bounds, remainder, slices, s
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 13, 1 << 13, 12, 8, 8
-#: Labelled rows to learn from, and bytes of each of them; scoring has no such bounds.
-LABELLED_ROWS, TRAIN_BYTES = 6000, 8000
+#: Labelled rows of either class to learn from, and bytes of each of them; scoring has no such bounds.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 3000, 6000
 EPOCHS, BATCH, RATE = 20, 128, 0.01
 
 
@@ -40,15 +40,20 @@ def word_inputs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.nd
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, mask, bounds) of the overlapping windows of texts whose words begin at first: every text has at least one."""
+    """(first word, end of the text's words, bounds) of the overlapping windows of texts whose words begin at first: every text has at least one."""
     n = np.diff(first)
     count = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
     cut = np.concatenate([[0], np.cumsum(count)])
     row = np.repeat(np.arange(len(n)), count)
-    start = (np.arange(cut[-1]) - cut[row]) * STRIDE
+    start = first[:-1][row] + (np.arange(cut[-1]) - cut[row]) * STRIDE
+    return start, first[1:][row], cut
+
+
+def unfold(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, mask) of each place of some windows."""
     inside = start[:, None] + np.arange(WINDOW)
-    mask = inside < n[row][:, None]
-    return np.where(mask, first[:-1][row][:, None] + inside, 0), mask, cut
+    mask = inside < end[:, None]
+    return codes[np.where(mask, inside, 0)] if len(codes) else np.zeros(mask.shape, np.int64), mask
 
 
 # ---------------------------------------------------------------- network
@@ -141,7 +146,7 @@ def gradients(net: dict, x: np.ndarray, places: np.ndarray, mask: np.ndarray, y:
 
 
 def _windows_of(texts: list[bytes]):
-    """Inputs of the distinct words of some texts, and the texts' windows as places among these words."""
+    """Inputs of the distinct words of some texts, the texts' windows, and the row and the distinct word of each word."""
     data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     known: dict[int, bytes] = {}
@@ -159,13 +164,12 @@ def _windows_of(texts: list[bytes]):
     ends = np.cumsum([len(w) for w in spelt]).astype(np.int64)
     starts = ends - np.array([len(w) for w in spelt], np.int64)
     inputs = word_inputs(np.frombuffer(b"".join(spelt), np.uint8), starts, ends, distinct.astype(np.uint64))
-    places, mask, of = windows(bounds(rows, len(texts)))
-    places = codes.astype(np.int32)[places] if len(codes) else places
-    return inputs, places, mask, of, rows, codes
+    start, end, of = windows(bounds(rows, len(texts)))
+    return inputs, start, end, of, rows.astype(np.int32), codes.astype(np.int32)
 
 
-def train(sample: list[tuple[bytes, int]], seed: int = 5) -> dict:
-    """Network and calibration from (text, label) rows.
+def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int = 5) -> dict:
+    """Network and calibration from (text, label) rows. share: of toxic rows among all; by default that of the sample.
 
     A label marks a document, not a window. The first windows to learn as positive are those with the words of the
     highest log-odds between the two classes of documents; later epochs take the window the network scores highest.
@@ -176,13 +180,16 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> dict:
     if not len(y) or rate in (0.0, 1.0):
         return {"net": net, "scale": 0.0, "shift": float(np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5)))}
     rng = np.random.default_rng(seed)
-    (word, tri, cut), places, mask, of, rows, codes = _windows_of([t for t, _ in sample])
+    (word, tri, cut), start, end, of, rows, codes = _windows_of([t for t, _ in sample])
     n_docs = len(y)
     pairs = np.unique(codes * np.int64(n_docs) + rows)
     in_docs = np.bincount(pairs // n_docs, minlength=len(word))
     in_toxic = np.bincount(pairs // n_docs, y[pairs % n_docs], len(word))
     odds = np.log((in_toxic + rate) / (in_docs - in_toxic + 1 - rate))
-    strength = np.where(mask, odds[places] if len(odds) else 0.0, -9).max(axis=1)
+    strength = np.empty(len(start), np.float32)
+    for s in range(0, len(start), 4096):
+        places, mask = unfold(codes, start[s : s + 4096], end[s : s + 4096])
+        strength[s : s + 4096] = np.where(mask, odds[places] if len(odds) else 0.0, -9).max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.items()}
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     best = np.array([of[i] + strength[of[i] : of[i + 1]].argmax() for i in range(n_docs)])
@@ -196,12 +203,13 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> dict:
         order = rng.permutation(len(chosen))
         for s in range(0, len(order), BATCH):
             i = chosen[order[s : s + BATCH]]
-            used, inverse = np.unique(places[i], return_inverse=True)
+            places, mask = unfold(codes, start[i], end[i])
+            used, inverse = np.unique(places, return_inverse=True)
             lengths = np.diff(cut)[used]
             sub_cut = np.concatenate([[0], np.cumsum(lengths)])
             sub_tri = tri[np.repeat(cut[used] - sub_cut[:-1], lengths) + np.arange(sub_cut[-1])]
             x = embed(net, word[used], sub_tri, sub_cut)
-            g = gradients(net, x, inverse.reshape(len(i), WINDOW), mask[i], target[order[s : s + BATCH]], np.ones(len(i), np.float32))
+            g = gradients(net, x, inverse.reshape(len(i), WINDOW), mask, target[order[s : s + BATCH]], np.ones(len(i), np.float32))
             dx = g.pop("x")
             g["words"] = np.zeros_like(net["words"])
             np.add.at(g["words"], word[used], dx[:, :WIDTH])
@@ -214,30 +222,34 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> dict:
                 v += 0.01 * (grad**2 - v)
                 net[k] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         if epoch in (3, 9, 15):
-            logit = _all_logits(net, (word, tri, cut), places, mask)
+            logit = _all_logits(net, embed(net, word, tri, cut), codes, start, end)
             best = np.array([of[i] + logit[of[i] : of[i + 1]].argmax() for i in range(n_docs)])
-    top = np.maximum.reduceat(_all_logits(net, (word, tri, cut), places, mask), of[:-1])
+    top = np.maximum.reduceat(_all_logits(net, embed(net, word, tri, cut), codes, start, end), of[:-1])
+    share = rate if share is None else share
+    each = np.where(y == 1, share / rate, (1 - share) / (1 - rate))  # the sample may hold more of one class
     scale, shift = 1.0, 0.0
     for _ in range(200):  # logistic regression of the labels on the documents' highest logits, by Newton steps
         p = 1 / (1 + np.exp(-np.clip(scale * top + shift, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        grad = np.array([((p - y) * top).sum(), (p - y).sum()])
+        w = each * p * (1 - p) + 1e-6
+        grad = np.array([(each * (p - y) * top).sum(), (each * (p - y)).sum()])
         hess = np.array([[(w * top**2).sum() + 1e-3, (w * top).sum()], [(w * top).sum(), w.sum() + 1e-3]])
         scale, shift = np.array([scale, shift]) - 0.5 * np.linalg.solve(hess, grad)
     return {"net": net, "scale": float(scale), "shift": float(shift)}
 
 
-def _all_logits(net: dict, inputs: tuple, places: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    x = embed(net, *inputs)
-    return np.concatenate([forward(net, x, places[s : s + 4096], mask[s : s + 4096]) for s in range(0, len(places), 4096)])
+def _all_logits(net: dict, x: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.concatenate([forward(net, x, *unfold(codes, start[s : s + 4096], end[s : s + 4096])) for s in range(0, len(start), 4096)])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, n_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts, by a hash of their id, n_bytes of each."""
-    picked = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS, n_bytes: int = TRAIN_BYTES) -> tuple[list[tuple[bytes, int]], float]:
+    """(rows, share): at most so many toxic and clean labelled texts by a hash of their id, n_bytes of each; the share of toxic labels."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    share = known.agg(F.avg("toxic")).first()[0]
+    first = lambda value, n: known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    picked = first(1, toxic).unionByName(first(0, clean))
     joined = docs.select("doc_id", F.substring("text", 1, n_bytes).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows_ = joined.where("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toLocalIterator()
-    return [(r.text.encode()[:n_bytes], int(r.toxic)) for r in rows_]
+    rows = joined.where("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toLocalIterator()
+    return [(r.text.encode()[:n_bytes], int(r.toxic)) for r in rows], share or 0.0
 
 
 # ---------------------------------------------------------------- scoring
@@ -256,10 +268,8 @@ def _score(shared):
                 first_at = np.empty(len(distinct), np.int64)
                 first_at[codes[::-1]] = np.arange(len(h))[::-1]
                 x = embed(net, *word_inputs(part, starts[first_at], ends[first_at], h[first_at]))
-                places, mask, of = windows(bounds(rows, hi - lo))
-                places = codes[places] if len(codes) else places
-                logit = np.concatenate([forward(net, x, places[s : s + 8192], mask[s : s + 8192]) for s in range(0, len(places), 8192)])
-                top = np.maximum.reduceat(logit, of[:-1]).astype(np.float64)
+                start, end, of = windows(bounds(rows, hi - lo))
+                top = np.maximum.reduceat(_all_logits(net, x, codes, start, end), of[:-1]).astype(np.float64)
                 p = 1 / (1 + np.exp(-np.clip(model["scale"] * top + model["shift"], -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(p), pa.array(np.diff(of))], names=["row", "score", "n_windows"])
 
@@ -281,5 +291,5 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
-    model = train(labelled_sample(docs.where("not held_out"), labels))
+    model = train(*labelled_sample(docs.where("not held_out"), labels))
     return score(docs, model).select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
