@@ -1,0 +1,86 @@
+"""Checks of a model's raw answers: JSON, vocabulary, confidence, quotes, routing."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from driftspark.functions.text import lookup
+
+ANSWER = "relevant string, entity_match string, signal_candidates array<struct<type:string,fields:array<string>,severity:string,confidence:string,quote:string>>"
+
+
+def first_object(raw: Column) -> Column:
+    """The first balanced {...} of a text that isn't JSON as a whole, by an Arrow-batched scan."""
+
+    @F.pandas_udf("string")
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text):
+            depth, start, quoted, escaped = 0, -1, False, False
+            for i, c in enumerate(text or ""):
+                if quoted:
+                    quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
+                elif c == '"' and depth:
+                    quoted = True
+                elif c == "{":
+                    start = i if depth == 0 else start
+                    depth += 1
+                elif c == "}" and depth:
+                    depth -= 1
+                    if depth == 0:
+                        return text[start : i + 1]
+            return None
+
+        for t in texts:
+            yield t.map(one)
+
+    return scan(raw)
+
+
+def parse(answers: DataFrame) -> DataFrame:
+    """answers(document_id, raw) with the parsed struct ``answer`` and whether one was found; only rows that fail as a whole are scanned."""
+    bare = F.trim(F.regexp_replace("raw", r"^\s*```(?:json)?|```\s*$", ""))
+    whole = answers.withColumn("bare", bare).withColumn("whole", F.get_json_object("bare", "$").isNotNull() & F.col("bare").startswith("{"))
+    fine = whole.where("whole").withColumn("json", F.col("bare"))
+    rest = whole.where("not whole").withColumn("json", first_object(F.col("bare")))
+    parsed = fine.unionByName(rest).withColumn("answer", F.from_json("json", ANSWER))
+    return parsed.withColumn("valid", F.col("json").isNotNull()).drop("bare", "whole")
+
+
+def truth(c: Column) -> Column:
+    low = F.lower(c.cast("string"))
+    return F.when(low.isin("true", "yes", "1"), True).when(low.isin("false", "no", "0"), False)
+
+
+def confidence(c: Column) -> Column:
+    """A number, or a text in percent, within 0 and 1 to two decimals; 0.7 where it can't be read."""
+    number = F.regexp_replace(c, "%", "").try_cast("double")
+    share = F.when(F.contains(c, F.lit("%")) | (number > 1), number / 100).otherwise(number)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.7)))), 2)
+
+
+def candidates(parsed: DataFrame, types: dict[str, list[str]], aliases: dict[str, str]) -> DataFrame:
+    """One checked row per candidate of relevant answers about the right entity: known type, allowed fields, severity, confidence, warnings."""
+    a = F.col("answer")
+    some = parsed.where(F.coalesce(truth(a["relevant"]), F.size(a["signal_candidates"]) > 0) & F.coalesce(truth(a["entity_match"]), F.size(a["signal_candidates"]) > 0))
+    each = some.select("document_id", F.posexplode("answer.signal_candidates").alias("pos", "c"))
+    slug = F.regexp_replace(F.lower(F.trim("c.type")), r"[^a-z]+", "_")
+    kind = F.coalesce(lookup(slug, aliases), slug)
+    known = kind.isin(list(types))
+    allowed = F.create_map(*[x for t, fs in types.items() for x in (F.lit(t), F.array(*map(F.lit, fs)))])
+    each = each.withColumn("signal_type", F.when(known, kind).otherwise("business_activity_change"))
+    kept = F.array_sort(F.array_intersect(F.coalesce(F.col("c.fields"), F.array().cast("array<string>")), allowed[F.col("signal_type")]))
+    fine = F.lower("c.severity").isin("critical", "high", "medium", "low")
+    return each.select(
+        "document_id",
+        "pos",
+        "signal_type",
+        F.when(F.size(kept) > 0, kept).otherwise(F.slice(F.array_sort(allowed[F.col("signal_type")]), 1, 1)).alias("fields"),
+        F.when(fine, F.lower("c.severity")).otherwise("medium").alias("severity"),
+        confidence(F.col("c.confidence")).alias("confidence"),
+        F.col("c.quote").alias("quote"),
+        F.array_compact(F.array(F.when(~known, "unknown_type"), F.when(~F.coalesce(fine, F.lit(False)), "unknown_severity"))).alias("warnings"),
+    )

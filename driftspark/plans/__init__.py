@@ -1,7 +1,7 @@
 """Registered queries of the library's own operators."""
 
-from driftspark.plans import bank, discovery, evidence, registry, workspace
+from driftspark.plans import bank, discovery, evidence, profiles, registry, streams, workspace
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
 
-__all__ = ["QUERIES", "SQL", "bank", "discovery", "evidence", "workspace"]
+__all__ = ["QUERIES", "SQL", "bank", "discovery", "evidence", "profiles", "streams", "workspace"]
