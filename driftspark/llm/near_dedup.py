@@ -24,6 +24,8 @@ REGISTERS, BASE, RATE, LIMIT = 120, 1.02, 20.0, 65534
 SLACK = 6.0
 #: Members of a bucket compared at once across components.
 BLOCK = 256
+#: Bytes of text whose words a task holds at once (a longer text stands alone).
+SLICE = 1 << 19
 
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -110,7 +112,7 @@ def _sketches(k: int):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 off = offsets[lo : hi + 1] - offsets[lo]
                 g, cut = shingle_sets(LOWER[data[offsets[lo] : offsets[hi]]], off, k)
                 n = np.diff(cut)
@@ -132,7 +134,7 @@ def _wanted_sets(k: int, bits):
         seen = np.unpackbits(bits.value)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 off = offsets[lo : hi + 1] - offsets[lo]
                 g, cut = shingle_sets(LOWER[data[offsets[lo] : offsets[hi]]], off, k)
                 digest = digests(g, cut)
