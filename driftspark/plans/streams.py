@@ -60,3 +60,37 @@ def st_policy_join(spark, d):
     limits = domain.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.lit(20) + F.col("c_nationkey")).alias("least"))
     rows = feeds.with_policy(_stream(spark, d), limits, "user_id").where("value > least")
     return _finished(spark, rows.groupBy("user_id").agg(F.count("*").alias("n")), "complete")
+
+
+@query("st_page_changes", "SELECT user_id, event_type, count(*) AS changes FROM (SELECT user_id, event_type, k, lag(k) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM ev) WHERE p IS DISTINCT FROM k GROUP BY 1, 2")
+def st_page_changes(spark, d):
+    rows = _stream(spark, d).withColumn("k", F.get_json_object("props", "$.k"))
+    changes = feeds.value_changes(rows.select("user_id", "event_type", "ts", "k"), ["user_id", "event_type"], "ts", "k", "user_id long, event_type string, at timestamp, value string")
+    return _finished(spark, changes, "append").groupBy("user_id", "event_type").agg(F.count("*").alias("changes"))
+
+
+@query("st_lookback_feed", "SELECT user_id, count(*) AS n, max(event_id) AS newest FROM ev WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1")
+def st_lookback_feed(spark, d):
+    """Rows of the day before a fixed clock, merged into a keyed table by foreachBatch; each merge writes a new version of the table."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/feed-{uuid.uuid4().hex}"
+    end = F.lit("2024-01-30 00:00:00").cast("timestamp")
+    rows = _stream(spark, d).withWatermark("ts", "1 day").where((F.col("ts") >= end - F.expr("interval 24 hours")) & (F.col("ts") <= end)).select("event_id", "user_id")
+    version = [0]
+    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/0")
+
+    def write(df):
+        df.write.parquet(f"{folder}/{version[0] + 1}")
+        version[0] += 1
+
+    merge = feeds.upserting(lambda old, new: old.unionByName(new).dropDuplicates(["event_id"]), lambda: spark.read.schema(rows.schema).parquet(f"{folder}/{version[0]}"), write)
+    run = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    kept = spark.read.schema(rows.schema).parquet(f"{folder}/{version[0]}")
+    return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
+
+
+@query("st_late_rows", "SELECT event_id, event_id % 10 = 0 AS late FROM ev")
+def st_late_rows(spark, d):
+    """Every tenth row stands for one that came too late for the stream."""
+    kept = _finished(spark, _stream(spark, d).where("event_id % 10 <> 0").select("event_id"), "append")
+    return feeds.backfilled(kept, domain.table(spark, d, "events").select("event_id"), "event_id")

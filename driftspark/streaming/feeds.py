@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,28 @@ def upserting(upsert: Callable[[DataFrame, DataFrame], DataFrame], read: Callabl
         write(upsert(read(), batch))
 
     return run
+
+
+def value_changes(rows: DataFrame, key: list[str], at: str, value: str, schema: str) -> DataFrame:
+    """Rows at which a key's value differs from its last one, which is kept as state; a key's first row is a change.
+
+    schema: of the key's columns, the event time as ``at`` and the value as ``value``. State is one value per key.
+    """
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        seen = pd.concat(list(parts)).sort_values([at, value])
+        before = seen[value].shift(1)
+        if last is not None and len(seen):
+            before.iloc[0] = last
+        changed = seen[before.isna() | (seen[value] != before)]
+        state.update((str(seen[value].iloc[-1]),))
+        yield pd.DataFrame({**{c: [v] * len(changed) for c, v in zip(key, k, strict=True)}, "at": changed[at].to_numpy(), "value": changed[value].to_numpy()})
+
+    return rows.groupBy(*key).applyInPandasWithState(run, schema, "last string", "append", "NoTimeout")
+
+
+def backfilled(stream_rows: DataFrame, batch_rows: DataFrame, key: str) -> DataFrame:
+    """The rows that a stream kept, and from a batch read those it missed because they came behind its watermark."""
+    late = batch_rows.join(stream_rows.select(key), key, "left_anti")
+    return stream_rows.select(*batch_rows.columns).withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
