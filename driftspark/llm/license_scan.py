@@ -10,6 +10,9 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,31 @@ def shingles(text: Column) -> Column:
     return F.get(F.transform(F.array(word_array(F.coalesce(text, F.lit("")))), of), 0)
 
 
+#: Words too common to tell texts apart by.
+COMMON = "a all an and any as at be by for from if in is it its may must not of on or that the this to was which will with without you your under"
+
+
+def anchors(templates: dict[str, str]) -> list[str]:
+    """Words of which every shingle of every template has at least one.
+
+    Of the words that aren't common nor numbers (any word where a shingle has no other), the one in most uncovered shingles comes first.
+    """
+    common = set(COMMON.split())
+    left = []
+    for text in templates.values():
+        w = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", text.lower())
+        for i in range(len(w) - SHINGLE + 1):
+            g = set(w[i : i + SHINGLE])
+            left.append({x for x in g if x not in common and not x.isdigit()} or g)
+    out = []
+    while left:
+        counts = Counter(word for g in left for word in g)
+        best = max(counts, key=lambda word: (counts[word], len(word), word))
+        out.append(best)
+        left = [g for g in left if best not in g]
+    return sorted(out)
+
+
 def _minima(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, band, value): MinHash values of the hashes in ``h`` under BANDS hash functions."""
     least = df.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS)])
@@ -74,7 +102,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     each, bands = template_tables(spark, templates or TEMPLATES)
     known, scales = each.select("h").distinct(), each.select("scale").distinct()
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*rest).alias("row"), shingles(F.col("text")).alias("hs"))
+    # a text without any anchor as a whole word has no shingle of a template, so its shingles needn't be made
+    inside = r"[0-9a-z\x{80}-\x{10FFFF}]"
+    some_anchor = F.lower("text").rlike(f"(?<!{inside})(?:{'|'.join(anchors(templates or TEMPLATES))})(?!{inside})") if anchors(templates or TEMPLATES) else F.lit(False)
+    hs = F.when(some_anchor, shingles(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
+    rows = docs.select(F.struct(*rest).alias("row"), hs.alias("hs"))
     wanted = known.agg(F.collect_set("h").alias("wanted"))  # bounded by the templates, not by the texts
     none = F.array().cast("array<struct<pos:int,h:bigint>>")
 
