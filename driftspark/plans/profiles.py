@@ -23,7 +23,7 @@ rec AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY o, holder
 def _records(spark, d):
     c = domain.customers(spark, d)
     base = c.where("customer_id % 3 = 0").select("customer_id", F.concat("domicile", F.lit(" Trust")).alias("holder"), F.lit("owner").alias("role"), F.lit("high").alias("impact"), F.lit(50.0).alias("percent"), F.lit(0.9).alias("confidence"))
-    e = domain.evidence(spark, d).where("document_id % 2 = 0").join(c.select("customer_id"), "customer_id", "left_semi")
+    e = domain.evidence(spark, d).join(c.select("customer_id"), "customer_id", "left_semi")
     role = F.when(F.contains(F.lower("raw_text"), F.lit("license")), "lender").otherwise("investor")
     found = e.select("customer_id", F.col("source_name").alias("holder"), role.alias("role"), lookup("source_quality", {"A": "high", "B": "medium"}, "low").alias("impact"), F.lit(None).cast("double").alias("percent"), F.lit(0.6).alias("confidence")).distinct()
     return pf.ownership_records(base, found)
