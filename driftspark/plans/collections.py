@@ -180,12 +180,8 @@ def term_unique(spark, d):
 
 @query("text_encoding_repair", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE lang = 'fr'")
 def text_encoding_repair(spark, d):
-    """Texts whose UTF-8 bytes were read as Latin-1 are read again; the reading with the fewest broken characters wins."""
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    again = F.decode(F.encode(F.col("broken"), "ISO-8859-1"), "UTF-8")
-    bad = lambda c: 10 * F.regexp_count(c, F.lit("�")) + 4 * F.regexp_count(c, F.lit("[ÃÂ][\u0080-¿]"))
-    rows = domain.table(spark, d, "documents").where("lang = 'fr'").select("doc_id", broken.alias("broken")).withColumn("again", again)
-    return rows.select("doc_id", F.sha2(F.when(bad(F.col("again")) <= bad(F.col("broken")), F.col("again")).otherwise(F.col("broken")), 256).alias("sha"))
+    """Every text in the reading of its bytes that is least broken."""
+    return domain.table(spark, d, "documents").select("doc_id", F.sha2(tx.decoded(F.col("text")), 256).alias("sha"))
 
 
 @query("field_inference", FACTS + "SELECT document_id, fact_type, CASE WHEN fact_type IN ('regulatory_scrutiny') THEN 'websites|risk_rating|business_area' ELSE 'websites' END AS fields FROM facts WHERE fact_type IN ('regulatory_scrutiny')")

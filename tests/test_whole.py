@@ -1,5 +1,7 @@
 """Queries over whole inputs: against SQL without the cut that the registered SQL holds, or against small made-up rows."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -31,3 +33,18 @@ OWNERSHIP = ["own_documents", "own_records", "own_summary", "own_questions", "ow
 def test_ownership_reads_every_document(spark, sf, duck, name):
     cut = " WHERE document_id % 2 = 0"
     agree(plans.QUERIES[name](spark, sf), duck, plans.SQL[name].replace(cut, ""))
+
+
+def write(spark, folder, rows, schema, name):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_encoding_is_repaired_in_every_language(spark, sf, duck, tmp_path):
+    agree(plans.QUERIES["text_encoding_repair"](spark, sf), duck, plans.SQL["text_encoding_repair"].replace(" WHERE lang = 'fr'", ""))
+    good = ["Élève à l’école – déjà", "Größe über alles", "plain", "ñandú “él”", "naïve → 中文 Ã", None, ""]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(good, ["fr", "de", "en", "es", "en", "en", "fr"], strict=True))]
+    rows += [(10, good[0].encode().decode("cp1252"), "fr"), (11, good[1].encode().decode("latin-1"), "de"), (12, "ñandú él".encode().decode("cp1252"), "es"), (13, "ÃO JOÃO", "es")]
+    write(spark, tmp_path, rows, "doc_id long, text string, lang string", "documents")
+    got = {r.doc_id: r.sha for r in plans.QUERIES["text_encoding_repair"](spark, str(tmp_path)).collect()}
+    want = {i: t for i, t, _ in rows} | {10: good[0], 11: good[1], 12: "ñandú él"}
+    assert got == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
