@@ -231,14 +231,13 @@ def rank_material(classified: DataFrame) -> DataFrame:
     return out.withColumn("rank_in_customer", F.row_number().over(Window.partitionBy("customer_id").orderBy(*order))).drop("sp", "stale")
 
 
-def evaluate_policies(scored: DataFrame, policies: DataFrame) -> DataFrame:
+def evaluate_policies(scored: DataFrame, policies: DataFrame, watched: DataFrame) -> DataFrame:
     """(rm_id, alert) rows with the failures of the manager's policy; rows without failures are ranked within the manager.
 
-    policies(rm_id, watchlist: array, minimum_material_score, minimum_confidence, categories, severities, signal_types).
-    The watch list is exploded into an equi join where policies demand it; other alerts fail by their watch list alone.
+    policies(rm_id, minimum_material_score, minimum_confidence, categories, severities, signal_types), one a manager;
+    watched(rm_id, customer_id), as many as there are customers, meets the alerts in an equi join; other alerts fail by their watch list alone.
     """
-    watch = policies.withColumn("customer_id", F.explode("watchlist"))
-    both = scored.join(F.broadcast(watch), "customer_id")
+    both = scored.join(watched, "customer_id").join(policies, "rm_id")
     cases = [
         (~F.col("in_window"), "outside_refresh_window"),
         (F.col("confidence") < F.col("minimum_confidence"), "below_minimum_confidence"),

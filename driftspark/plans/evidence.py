@@ -118,12 +118,17 @@ def classified(spark, d):
     return ev.classify(scored(spark, d), F.col("customer_id") % 3 != 0)
 
 
+def watched(spark, d):
+    """Which manager watches which customer."""
+    rows = domain.table(spark, d, "customer").join(domain.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("n_name").alias("rm_id"), F.col("c_custkey").alias("customer_id"))
+
+
 def policies(spark, d):
     rows = domain.table(spark, d, "customer").join(domain.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.max("n_nationkey")
     every = lambda *x: F.array(*map(F.lit, x))
     return rows.groupBy(F.col("n_name").alias("rm_id")).agg(
-        F.collect_list("c_custkey").alias("watchlist"),
         (60 + 10 * (k % 8)).alias("minimum_material_score"),
         (0.6 + 0.05 * (k % 4)).alias("minimum_confidence"),
         F.when(k % 3 == 0, every("risk", "mixed")).otherwise(every("risk", "mixed", "opportunity", "ownership_control")).alias("categories"),
@@ -133,7 +138,15 @@ def policies(spark, d):
 
 
 def judged(spark, d):
-    return ev.evaluate_policies(scored(spark, d), policies(spark, d))
+    return ev.evaluate_policies(scored(spark, d), policies(spark, d), watched(spark, d))
+
+
+def notifications(spark, d):
+    """The managers' notifications after a run over an earlier state."""
+    every = judged(spark, d)
+    state = every.where("customer_id % 2 = 0").select("rm_id", "alert_id", F.lit("2024-01-15").cast("date").alias("first_seen"), F.lit(True).alias("active"), F.lit(0).alias("position"))
+    run = every.where("size(failures) = 0").withColumn("seen", F.lit("2024-02-01").cast("date"))
+    return ev.upsert_notifications(state, run)
 
 
 _FACT_OUT = "SELECT document_id, customer_id, fact_type, object, CAST(confidence AS DOUBLE) AS confidence FROM facts"
@@ -365,21 +378,18 @@ def policy_summary(spark, d):
 @query("notify_upsert", SCORED + POLICIES + """, q AS (SELECT rm_id, alert_id, policy_rank FROM pr WHERE len(failures) = 0), st AS (SELECT rm_id, alert_id, DATE '2024-01-15' AS first_seen, 0 AS position FROM pr WHERE customer_id % 2 = 0)
 SELECT rm_id, alert_id, coalesce(first_seen, DATE '2024-02-01') AS first_seen, policy_rank IS NOT NULL AS active, coalesce(policy_rank, position) AS position FROM st FULL JOIN q USING (rm_id, alert_id)""")
 def notify_upsert(spark, d):
-    every = judged(spark, d)
-    state = every.where("customer_id % 2 = 0").select("rm_id", "alert_id", F.lit("2024-01-15").cast("date").alias("first_seen"), F.lit(True).alias("active"), F.lit(0).alias("position"))
-    run = every.where("size(failures) = 0").withColumn("seen", F.lit("2024-02-01").cast("date"))
-    return ev.upsert_notifications(state, run)
+    return notifications(spark, d)
 
 
 @query("notify_list", SCORED + POLICIES + "SELECT rm_id, policy_rank, alert_id FROM pr WHERE policy_rank <= 5")
 def notify_list(spark, d):
-    return judged(spark, d).where("policy_rank <= 5").select("rm_id", "policy_rank", "alert_id")
+    """All active rows in rank order."""
+    return notifications(spark, d).where("active").select("rm_id", F.col("position").alias("policy_rank"), "alert_id").orderBy("rm_id", "policy_rank")
 
 
 @query("notify_seed", CLASSIFIED + POLICIES + "SELECT rm_id, alert_id FROM classified JOIN (SELECT rm_id, unnest(watchlist) AS customer_id FROM policies) USING (customer_id) WHERE material")
 def notify_seed(spark, d):
-    watch = policies(spark, d).select("rm_id", F.explode("watchlist").alias("customer_id"))
-    return classified(spark, d).where("material").join(watch, "customer_id").select("rm_id", "alert_id")
+    return classified(spark, d).where("material").join(watched(spark, d), "customer_id").select("rm_id", "alert_id")
 
 
 _SIGNALS = """, sig AS (SELECT customer_id, 'volume_spike' AS signal_id, 0.8 AS confidence FROM (SELECT customer_id, date_trunc('month', booked_on) AS m, CAST(sum(amount) AS DOUBLE) AS v FROM recent GROUP BY 1, 2) JOIN baselines USING (customer_id) WHERE v > expected_monthly_volume * 3 GROUP BY 1

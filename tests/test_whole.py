@@ -48,3 +48,28 @@ def test_encoding_is_repaired_in_every_language(spark, sf, duck, tmp_path):
     got = {r.doc_id: r.sha for r in plans.QUERIES["text_encoding_repair"](spark, str(tmp_path)).collect()}
     want = {i: t for i, t, _ in rows} | {10: good[0], 11: good[1], 12: "ñandú él"}
     assert got == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_notifications_have_no_cap(spark, sf, duck):
+    agree(plans.QUERIES["notify_list"](spark, sf), duck, plans.SQL["notify_list"].replace(" WHERE policy_rank <= 5", " WHERE policy_rank IS NOT NULL"))
+
+
+def test_watch_lists_are_joined_as_pairs(spark):
+    from driftspark.operators.evidence import evaluate_policies
+
+    alerts = spark.createDataFrame([(i % 2, f"a{i}", True, 0.9, 100 + i, "risk", "high", "x") for i in range(9)], "customer_id long, alert_id string, in_window boolean, confidence double, material_score int, category string, severity string, signal_type string")
+    policies = spark.createDataFrame([("m", 50, 0.5, ["risk"], ["high"], []), ("n", 107, 0.5, ["risk"], ["high"], [])], "rm_id string, minimum_material_score int, minimum_confidence double, categories array<string>, severities array<string>, signal_types array<string>")
+    watched = spark.createDataFrame([("m", 0), ("m", 1), ("n", 1)], "rm_id string, customer_id long")
+    out = evaluate_policies(alerts, policies, watched)
+    ranks = {(r.rm_id, r.alert_id): r.policy_rank for r in out.collect()}
+    assert ranks == {("m", f"a{i}"): 9 - i for i in range(9)} | {("n", f"a{i}"): 1 if i == 7 else None for i in (1, 3, 5, 7)}
+    assert "BROADCAST" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_notify_list_goes_beyond_the_fifth(spark, monkeypatch):
+    from driftspark.plans import evidence
+
+    rows = [("m", f"a{i}", 2 * i, [], i) for i in range(1, 8)] + [("m", "b", 2, ["category_disabled"], None)]
+    judged = spark.createDataFrame(rows, "rm_id string, alert_id string, customer_id long, failures array<string>, policy_rank int")
+    monkeypatch.setattr(evidence, "judged", lambda spark, d: judged)
+    assert [(r.policy_rank, r.alert_id) for r in plans.QUERIES["notify_list"](spark, "").collect()] == [(i, f"a{i}") for i in range(1, 8)]
