@@ -143,6 +143,34 @@ def make_alerts(comparisons: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- materiality
 
 
+#: Columns that a fact and an alert must have a value in.
+FACT_REQUIRED = ("fact_id", "customer_id", "document_id", "fact_type", "source_quality", "confidence")
+ALERT_REQUIRED = ("alert_id", "customer_id", "category", "signal_type", "object", "changed_fields", "severity", "confidence", "evidence", "fact_ids")
+
+
+def integrity(facts: DataFrame, alerts: DataFrame, documents: DataFrame, customers: DataFrame) -> DataFrame:
+    """(error, rows) of required fields without a value, facts and alerts that say or cite nothing, and references to unknown rows."""
+    lacks = lambda names: F.exists(F.array(*[F.col(n).isNull() for n in names]), lambda x: x)
+    none = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    own = facts.agg(F.count_if(lacks(FACT_REQUIRED)).alias("fact_fields"), F.count_if(blank("value") & blank("object")).alias("fact_content"))
+    said = alerts.agg(F.count_if(lacks(ALERT_REQUIRED)).alias("alert_fields"), F.count_if(none("changed_fields")).alias("empty_fields"), F.count_if(none("fact_ids")).alias("alert_facts"), F.count_if(none("evidence")).alias("alert_evidence"))
+    out = None
+    for counts in (own, said):
+        rows = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("error"), F.col(c).alias("rows")) for c in counts.columns])))
+        out = rows if out is None else out.unionByName(rows)
+    cited = alerts.select(F.explode("evidence").alias("e")).select("e.document_id")
+    references = [
+        ("fact_document", facts, documents, "document_id"),
+        ("fact_customer", facts, customers, "customer_id"),
+        ("alert_fact", alerts.select(F.explode("fact_ids").alias("fact_id")), facts, "fact_id"),
+        ("alert_document", cited, documents, "document_id"),
+    ]
+    for name, rows, known, key in references:
+        out = out.unionByName(rows.join(known.select(key), key, "left_anti").agg(F.lit(name).alias("error"), F.count("*").alias("rows")))
+    return out
+
+
 def instant(text: Column) -> Column:
     """A date or an instant as a timestamp; null where it can't be read."""
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))

@@ -301,12 +301,7 @@ def alert_suppression_stats(spark, d):
 SELECT 'alert_fact', count(*) FROM (SELECT unnest(fact_ids) AS f FROM alerts) WHERE f NOT IN (SELECT fact_id FROM facts) UNION ALL SELECT 'empty_fields', count(*) FROM alerts WHERE len(changed_fields) = 0 UNION ALL
 SELECT 'fact_customer', count(*) FROM facts WHERE customer_id % 9 <> 0 AND customer_id NOT IN (SELECT customer_id FROM customers)) SELECT error, rows FROM bad""")
 def integrity_check(spark, d):
-    f, a = facts(spark, d), alerts(spark, d)
-    count = lambda df, name: df.agg(F.lit(name).alias("error"), F.count("*").alias("rows"))
-    out = count(f.join(domain.evidence(spark, d).select("document_id"), "document_id", "left_anti"), "fact_document")
-    out = out.unionByName(count(a.select(F.explode("fact_ids").alias("fact_id")).join(f.select("fact_id"), "fact_id", "left_anti"), "alert_fact"))
-    out = out.unionByName(count(a.where("size(changed_fields) = 0"), "empty_fields"))
-    return out.unionByName(count(f.where("customer_id % 9 <> 0").join(domain.customers(spark, d).select("customer_id"), "customer_id", "left_anti"), "fact_customer"))
+    return ev.integrity(facts(spark, d), alerts(spark, d), domain.evidence(spark, d), domain.customers(spark, d))
 
 
 @query("run_report", ALERTS + "SELECT category, severity, count(*) AS alerts, round(avg(confidence), 4) AS mean_confidence FROM alerts GROUP BY GROUPING SETS ((category), (severity), ())")

@@ -73,3 +73,21 @@ def test_notify_list_goes_beyond_the_fifth(spark, monkeypatch):
     judged = spark.createDataFrame(rows, "rm_id string, alert_id string, customer_id long, failures array<string>, policy_rank int")
     monkeypatch.setattr(evidence, "judged", lambda spark, d: judged)
     assert [(r.policy_rank, r.alert_id) for r in plans.QUERIES["notify_list"](spark, "").collect()] == [(i, f"a{i}") for i in range(1, 8)]
+
+
+def test_integrity_counts_every_broken_row(spark, sf, duck):
+    from driftspark.operators.evidence import integrity
+
+    found = {r.error: r.rows for r in plans.QUERIES["integrity_check"](spark, sf).collect()}
+    want = dict(duck.execute(plans.SQL["integrity_check"].replace("customer_id % 9 <> 0 AND ", "")).fetchall())
+    assert want.items() <= found.items()
+    facts = [("f1", 9, 1, "t", "A", 0.5, "o", None), ("f2", 1, 1, "t", "A", 0.5, None, ""), ("f3", 1, 7, "t", None, 0.5, None, "v")]
+    alerts = [("a1", 1, "c", "s", "o", ["x"], "low", 0.5, [(1,), (8,)], ["f1", "f9"]), ("a2", 1, "c", "s", None, [], "low", 0.5, [], [])]
+    out = integrity(
+        spark.createDataFrame(facts, "fact_id string, customer_id long, document_id long, fact_type string, source_quality string, confidence double, object string, value string"),
+        spark.createDataFrame(alerts, "alert_id string, customer_id long, category string, signal_type string, object string, changed_fields array<string>, severity string, confidence double, evidence array<struct<document_id:long>>, fact_ids array<string>"),
+        spark.createDataFrame([(1,)], "document_id long"),
+        spark.createDataFrame([(1,)], "customer_id long"),
+    )
+    once = "fact_fields fact_content alert_fields empty_fields alert_facts alert_evidence fact_document fact_customer alert_fact alert_document".split()
+    assert {r.error: r.rows for r in out.collect()} == dict.fromkeys(once, 1)
