@@ -11,9 +11,9 @@ from driftspark.sources import domain
 from driftspark.streaming import feeds
 
 
-def _stream(spark, d):
+def _stream(spark, d, **options):
     schema = domain.table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    rows = spark.readStream.schema(schema).options(**options).parquet(f"{d}/events.parquet*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -91,6 +91,6 @@ def st_lookback_feed(spark, d):
 
 @query("st_late_rows", "SELECT event_id, event_id % 10 = 0 AS late FROM ev")
 def st_late_rows(spark, d):
-    """Every tenth row stands for one that came too late for the stream."""
-    kept = _finished(spark, _stream(spark, d).where("event_id % 10 <> 0").select("event_id"), "append")
+    """All events; late are those that came behind the watermark of the files before theirs, a file a batch in the order they were written."""
+    kept = _finished(spark, feeds.deduplicated(_stream(spark, d, maxFilesPerTrigger=1), ["event_id"], "ts").select("event_id"), "append")
     return feeds.backfilled(kept, domain.table(spark, d, "events").select("event_id"), "event_id")

@@ -1,8 +1,12 @@
 """Queries over whole inputs: against SQL without the cut that the registered SQL holds, or against small made-up rows."""
 
+import datetime
 import hashlib
+import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from driftspark import plans
@@ -91,3 +95,14 @@ def test_integrity_counts_every_broken_row(spark, sf, duck):
     )
     once = "fact_fields fact_content alert_fields empty_fields alert_facts alert_evidence fact_document fact_customer alert_fact alert_document".split()
     assert {r.error: r.rows for r in out.collect()} == dict.fromkeys(once, 1)
+
+
+def test_late_rows_are_those_behind_the_watermark(spark, tmp_path):
+    (tmp_path / "events.parquet").mkdir()
+    for i, rows in enumerate([[(10, 10), (1, 3)], [(20, 20)], [(21, 21)], [(30, 2), (23, 22)]]):
+        path = str(tmp_path / f"events.parquet/part-{i}.parquet")
+        table = {"event_id": [e for e, _ in rows], "ts": pa.array([datetime.datetime(2024, 1, day) for _, day in rows], pa.timestamp("us"))}
+        pq.write_table(pa.table(table), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {r.event_id: r.late for r in plans.QUERIES["st_late_rows"](spark, str(tmp_path)).collect()}
+    assert got == {10: False, 1: False, 20: False, 21: False, 30: True, 23: False}
