@@ -109,11 +109,14 @@ def disc_regulator(spark, d):
 
 @query("date_multi_format", "SELECT document_id, TIMESTAMP '2023-03-01' + to_days(CAST(document_id % 400 AS INT)) AS seen FROM evidence WHERE document_id % 5 <> 4")
 def date_multi_format(spark, d):
-    day = F.date_add(F.lit("2023-03-01").cast("date"), (F.col("document_id") % 400).cast("int"))
-    k = F.col("document_id") % 5
-    shown = F.when(k == 0, F.date_format(day, "yyyyMMdd'T'HHmmss'Z'")).when(k == 1, F.date_format(day, "yyyy-MM-dd")).when(k == 2, F.date_format(day, "d MMM yyyy")).when(k == 3, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
-    formats = ["yyyyMMdd'T'HHmmss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy"]
-    seen = F.coalesce(*[F.try_to_timestamp(shown, F.lit(f)) for f in formats])
+    """The first instant or day of a text, by the first format that it has one of."""
+    formats = {
+        "yyyyMMdd'T'HHmmss'Z'": r"\b(\d{8}T\d{6}Z)\b",
+        "yyyy-MM-dd HH:mm:ss": r"\b(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\b",
+        "yyyy-MM-dd": r"\b(\d{4}-\d{2}-\d{2})\b",
+        "d MMM yyyy": r"\b(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4})\b",
+    }
+    seen = F.coalesce(*[F.try_to_timestamp(F.regexp_extract("raw_text", shape, 1), F.lit(f)) for f, shape in formats.items()])
     return domain.evidence(spark, d).select("document_id", seen.cast("timestamp_ntz").alias("seen")).where("seen is not null")
 
 
@@ -148,19 +151,17 @@ def registry_cache_fallback(spark, d):
 
 @query("pages_prune_html", "SELECT page_id, '<p>kept</p>' AS html FROM pages")
 def pages_prune_html(spark, d):
-    hidden = F.concat(F.lit("<ix:header>x</ix:header><div style=\"display:none\">"), F.col("page_id"), F.lit("</div><p>kept</p>"))
-    out = F.regexp_replace(hidden, r"(?is)<(ix:header|ix:hidden)\b[^>]*>.*?</\1\s*>", "")
+    out = F.regexp_replace("html", r"(?is)<(ix:header|ix:hidden)\b[^>]*>.*?</\1\s*>", "")
     out = F.regexp_replace(out, r"(?is)<([a-z:]+)\b[^>]*style\s*=\s*[\"'][^\"']*display:\s*none[^\"']*[\"'][^>]*>.*?</\1\s*>", "")
     return domain.table(spark, d, "pages").select("page_id", out.alias("html"))
 
 
 @query("pages_published_at", "SELECT page_id, strftime(DATE '2022-01-01' + CAST(page_id % 300 AS INT), '%Y-%m-%d') AS day FROM pages WHERE page_id % 3 <> 2")
 def pages_published_at(spark, d):
-    day = F.date_add(F.lit("2022-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))
-    meta = F.concat(F.lit('<meta property="article:published_time" content="'), F.date_format(day, "yyyy-MM-dd"), F.lit('T08:00:00Z">'))
-    html = F.when(F.col("page_id") % 3 == 0, meta).when(F.col("page_id") % 3 == 1, F.concat(F.lit("<p>On "), F.date_format(day, "MMMM d, yyyy"), F.lit("</p>"))).otherwise("<p>undated</p>")
-    found = F.coalesce(tx.date_only(F.regexp_extract(html, r'(?i)published_time"\s+content="([^"]*)"', 1)), tx.date_only(F.substring(tx.visible_text(html), 1, 2000)))
-    return domain.table(spark, d, "pages").select("page_id", found.alias("day")).where("day is not null")
+    # a generated column, so that the text is made once and not in every place that date_only reads it
+    pages = domain.table(spark, d, "pages").select("page_id", "html", F.explode(F.array(F.substring(tx.visible_text(F.col("html")), 1, 2000))).alias("shown"))
+    found = F.coalesce(tx.date_only(F.regexp_extract("html", r'(?i)published_time"\s+content="([^"]*)"', 1)), tx.date_only(F.col("shown")))
+    return pages.select("page_id", found.alias("day")).where("day is not null")
 
 
 @query("text_first_sentence_with", r""", s AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(raw_text, '([.!?])\s+([A-Z0-9"''$])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: trim(s)), lambda s: length(s) >= 30) AS l, title FROM evidence)

@@ -106,3 +106,20 @@ def test_late_rows_are_those_behind_the_watermark(spark, tmp_path):
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     got = {r.event_id: r.late for r in plans.QUERIES["st_late_rows"](spark, str(tmp_path)).collect()}
     assert got == {10: False, 1: False, 20: False, 21: False, 30: True, 23: False}
+
+
+def test_pages_are_read(spark, tmp_path):
+    pages = [(1, '<ix:header>x</ix:header><div style="display:none">y</div><p>kept</p>'), (2, '<meta property="article:published_time" content="2022-03-04T08:00:00Z"><p>On May 6, 2021</p>'), (3, "<p>On May 6, 2021</p>"), (4, "<p>undated</p>"), (5, None)]
+    write(spark, tmp_path, pages, "page_id long, html string", "pages")
+    pruned = {r.page_id: r.html for r in plans.QUERIES["pages_prune_html"](spark, str(tmp_path)).collect()}
+    assert pruned == dict(pages) | {1: "<p>kept</p>"}
+    assert {r.page_id: r.day for r in plans.QUERIES["pages_published_at"](spark, str(tmp_path)).collect()} == {2: "2022-03-04", 3: "2021-05-06"}
+
+
+def test_dates_are_read_from_texts(spark, tmp_path):
+    texts = ["seen 20220304T050607Z", "on 2022-03-04 at noon", "the 4 Mar 2022 issue", "at 2022-03-04 05:06:07.", "soon", "Published March 4, 2022", "3/4/2022"]
+    write(spark, tmp_path, [(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string", "documents")
+    write(spark, tmp_path, [(1,)], "c_custkey long", "customer")
+    assert {r.doc_id: r.day for r in plans.QUERIES["date_normalize"](spark, str(tmp_path)).collect()} == dict.fromkeys((1, 3, 5, 6), "2022-03-04")
+    day, hour = datetime.datetime(2022, 3, 4), datetime.datetime(2022, 3, 4, 5, 6, 7)
+    assert {r.document_id: r.seen for r in plans.QUERIES["date_multi_format"](spark, str(tmp_path)).collect()} == {0: hour, 1: day, 2: day, 3: hour}
