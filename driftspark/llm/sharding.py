@@ -2,55 +2,78 @@
 
 Groups are equal texts. LPT takes groups from the largest down and gives each to
 the least-loaded shard through a heap. Groups of one size are interchangeable, so
-the heap runs over sizes with their numbers of groups, not over groups: what
-reaches the driver is bounded by the number of distinct sizes (exact below
-``EXACT_BELOW`` bytes, in steps of 1/4096 above), never by the number of rows.
+the heap runs over sizes with their numbers of groups, not over groups. The sizes
+reach the driver from the largest down, one partition at a time, and what each of
+them gives to the shards is written out in portions of ``PORTION``: the driver holds
+one portion and the heap, whatever the number of rows, groups or sizes.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import drop, store, table
+from driftspark.llm.common import drop, shared_dir, store, table
 
-#: Sizes up to this are kept apart byte by byte; larger ones in steps of a 4096th.
-EXACT_BELOW = 1 << 20
+#: Sizes that the driver plans before it writes them out.
+PORTION = 1 << 17
 
 
-def lpt_counts(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, list[int]]]:
-    """classes: (class, number of groups, total size). For each class the running totals of groups for shards 0, 1, ...
+def lpt_counts(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """sizes: (size of a group, number of such groups) from the largest down. For each size the running totals of groups for shards 0, 1, ...
 
-    The classes come from the largest down. Of a class with many groups, whole rounds of ``shards`` groups
-    are dealt out at once as soon as the loads lie within one group of each other: the heap would do the same.
+    The least-loaded shard comes first, of equal ones the lowest number. Of a size with many groups, whole rounds of
+    ``shards`` groups are dealt out at once as soon as the loads lie within one group of each other: the heap would do the same.
     """
-    heap = [(0.0, s) for s in range(shards)]
-    out = []
-    for key, n, total in sorted(classes, key=lambda c: -c[2] / c[1]):
-        size = total / n
+    heap = [(0, s) for s in range(shards)]
+    for size, n in sizes:
         given = [0] * shards
         left = n
         while left:
-            low, high = heap[0][0], max(heap)[0]
-            if left >= 2 * shards and high - low <= size:
+            if left >= 2 * shards and max(heap)[0] - heap[0][0] < size:
                 rounds = left // shards - 1
                 heap = [(load + rounds * size, s) for load, s in heap]
                 given = [g + rounds for g in given]
                 left -= rounds * shards
-                heapq.heapify(heap)
             else:
                 load, s = heap[0]
-                second = min(heap[1:])[0] if shards > 1 else load + size * left
-                take = max(1, min(left, int((second - load) / size)))
+                take = left
+                if shards > 1:
+                    second, other = min(heap[1:3])
+                    whole, rest = divmod(second - load, size)
+                    take = min(left, max(1, whole + (rest > 0 or s < other)))
                 heapq.heapreplace(heap, (load + take * size, s))
                 given[s] += take
                 left -= take
-        running = []
+        running, total = [], 0
         for g in given:
-            running.append((running[-1] if running else 0) + g)
-        out.append((key, running))
+            total += g
+            running.append(total)
+        yield size, running
+
+
+def _plan(groups: DataFrame, shards: int) -> DataFrame:
+    """(total, upto) for each size of the groups, by lpt_counts."""
+    spark = groups.sparkSession
+    path, schema = f"{shared_dir(spark)}/shard-plan-{uuid.uuid4().hex}", "total long, upto array<long>"
+    sizes = groups.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.desc("total")).toLocalIterator()
+    portion: list = []
+
+    def write():
+        spark.createDataFrame(portion, schema).write.mode("append").parquet(path)
+        portion.clear()
+
+    for row in lpt_counts(((r.total, r.n) for r in sizes), shards):
+        portion.append(row)
+        if len(portion) == PORTION:
+            write()
+    write()
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
     return out
 
 
@@ -59,10 +82,12 @@ def shard(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] = ()) -> DataF
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ('bytes'), shard, slot (gapless from 0
     within a shard), grown_shard (null under this law) and the columns named in ``keep``.
-    A null text has size 1 and crc32 0; null texts stay together, and with no other text. Repeated rows and null or
-    repeated doc_ids each keep a row of their own. An empty table gives an empty result.
+    A null text has size 1 and crc32 0; null texts stay together, and with no other text. A text of any length is one group with
+    its copies. Groups of equal size are taken in the order of their partitions and digests, and of equally loaded shards the
+    lowest comes first. Repeated rows and null or repeated doc_ids each keep a row of their own; slots follow the partitions and, in
+    these, doc_id (nulls first). Columns of docs other than doc_id and text don't matter, unless named in ``keep``. An empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
     blob = F.col("text").cast("binary")
     rows = store(
         docs.select(
@@ -74,26 +99,21 @@ def shard(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] = ()) -> DataF
         ),
         "shard-rows",
     )
-    total = F.sum("size")
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.col("total"))) - 12)
-    size_class = F.when(F.col("total") < EXACT_BELOW, F.col("total")).otherwise((F.floor(F.col("total") / step) * step).cast("long"))
-    groups = store(
-        rows.groupBy("digest").agg(total.alias("total")).withColumns({"class": size_class, "part": F.spark_partition_id()}),
-        "shard-groups",
-    )
-    per_part = groups.groupBy("class", "part").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy("class").orderBy("part")
-    starts = per_part.withColumn("start", F.sum("n").over(by_class) - F.col("n")).drop("n")
-    histogram = [tuple(r) for r in groups.groupBy("class").agg(F.count("*"), F.sum("total")).toLocalIterator()]
-    plan = spark.createDataFrame(lpt_counts(histogram, shards) or [], "class long, upto array<long>")
+    groups = store(rows.groupBy("digest").agg(F.sum("size").alias("total")).withColumn("part", F.spark_partition_id()), "shard-groups")
+    per_part = groups.groupBy("total", "part").agg(F.count("*").alias("n"))
+    by_size = Window.partitionBy("total").orderBy("part")
+    starts = per_part.withColumn("start", F.sum("n").over(by_size) - F.col("n")).drop("n")
+    plan = _plan(groups, shards)
     ranked = (
-        groups.withColumn("nth", F.row_number().over(Window.partitionBy("class", "part").orderBy("digest")) - 1)
-        .join(starts, ["class", "part"])
-        .join(plan, "class")
+        groups.withColumn("nth", F.row_number().over(Window.partitionBy("total", "part").orderBy("digest")) - 1)
+        .join(starts, ["total", "part"])
+        .join(plan, "total")
         .select("digest", F.size(F.filter("upto", lambda u: u <= F.col("start") + F.col("nth"))).alias("shard"))
     )
+    # stored before the join, so that a group of very many rows can be split among tasks
+    ranked = store(ranked, "shard-ranked")
     placed = store(rows.join(ranked, "digest").drop("digest").withColumn("part", F.spark_partition_id()), "shard-placed")
-    drop(rows, groups)
+    drop(rows, groups, plan, ranked)
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
     within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
