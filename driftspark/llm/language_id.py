@@ -3,6 +3,8 @@
 The family is predicted first, by one-versus-rest linear SVMs; within it, one-versus-one linear SVMs vote between
 closely related languages. The features are hashed byte 1- to 4-grams of the whole lower-cased text; a classifier's
 margin is the mean weight of a text's grams, so scoring is a table look-up per byte and grows with the text alone.
+Grams of the training texts are counted in tasks; the driver gets at most DIMS numbers for each of the sampled rows.
+Whether a text has a letter is asked of the package ``regex``, which every executor needs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ FAMILIES = {
     "sinitic": "zh yue wuu",
 }
 DIMS = 1 << 14
-#: Training rows of each language, and bytes taken of each of them when learning; scoring reads whole texts.
-ROWS_PER_LANGUAGE, TRAIN_BYTES = 400, 3000
+#: Bytes of a text whose grams are counted at once.
+PIECE = 1 << 20
+#: Training rows of each language; their whole texts are learned from, as whole texts are scored.
+ROWS_PER_LANGUAGE = 400
 
 
 def family(lang: str) -> str:
@@ -49,11 +53,14 @@ def gram_ids(data: np.ndarray) -> list[np.ndarray]:
 
 def _features(text: bytes) -> np.ndarray:
     """Relative frequencies of a text's grams."""
-    data = LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]
-    counts = np.zeros(DIMS, np.float32)
-    for n, ids in enumerate(gram_ids(data)):
-        counts += np.bincount(ids[n:], minlength=DIMS)
-    return counts / max(1, len(data))
+    counts, length = np.zeros(DIMS, np.float64), len(text) + 2
+    padded = b" " + text + b" "
+    for at in range(0, length, PIECE):  # a piece begins 3 bytes early, for the grams that end in it
+        before = min(3, at)
+        data = LOWER[np.frombuffer(padded[at - before : at + PIECE], np.uint8)]
+        for n, ids in enumerate(gram_ids(data)):
+            counts += np.bincount(ids[max(before, n - at + before) :], minlength=DIMS)
+    return (counts / length).astype(np.float32)
 
 
 def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int = 300, reg: float = 1e-4, seed: int = 7) -> np.ndarray:
@@ -74,11 +81,11 @@ def svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, steps: int =
     return np.append(mean / steps, np.float32(mean_bias / steps))
 
 
-def fit(sample: list[tuple[bytes, str]]) -> dict:
-    """Classifiers from (text, lang) rows: family against the rest, and each pair of languages in a family."""
+def fit(sample: list[tuple[np.ndarray, str]]) -> dict:
+    """Classifiers from (features, lang) rows: family against the rest, and each pair of languages in a family."""
     langs = sorted({lang for _, lang in sample})
     families = sorted({family(lang) for lang in langs})
-    x = np.stack([_features(t) for t, _ in sample]) if sample else np.zeros((0, DIMS), np.float32)
+    x = np.stack([f for f, _ in sample]) if sample else np.zeros((0, DIMS), np.float32)
     of = np.array([lang for _, lang in sample])
     fam = np.array([family(lang) for lang in of])
     pairs = [(a, b) for f in families for a, b in combinations([z for z in langs if family(z) == f], 2)]
@@ -131,16 +138,34 @@ def decide(model: dict, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, sure * within
 
 
-def sample_rows(docs: DataFrame, lang: str = "lang", per_language: int = ROWS_PER_LANGUAGE, n_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, str]]:
-    """A bounded training sample: per_language rows of each language by a hash of their text, n_bytes of each."""
-    rows = docs.where(f"{lang} is not null and length(text) > 0").select(lang, "text")
-    counts = rows.groupBy(lang).count()
+def _counted(batches):
+    """Arrow function: the grams of each text, as the places and values that aren't 0."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = _features(batch.column("text")[i].as_py().encode())
+            at = np.flatnonzero(x)
+            packed = [pa.array([a.tobytes()], pa.binary()) for a in (at.astype(np.uint16), x[at])]
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), batch.column("o").slice(i, 1), *packed], names=["lang", "o", "at", "x"])
+
+
+def sample_rows(docs: DataFrame, lang: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[np.ndarray, str]]:
+    """A bounded training sample: (features of the whole text, language) for per_language texts of each language by a hash of the text.
+
+    Rows without a language or text are left out; a text that repeats in a language counts once. Features are made in tasks.
+    """
+    rows = docs.where(f"{lang} is not null and length(text) > 0").select(F.col(lang).alias("lang"), "text", F.xxhash64("text", F.lit(11)).alias("o"))
+    counts = rows.groupBy("lang").count()
     rate = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
-    order = F.xxhash64("text", F.lit(11))
-    part = (F.pmod(order, F.lit(1 << 20)) / (1 << 20)) < rate
-    picked = rows.join(F.broadcast(counts), lang).where(part).select(lang, F.substring("text", 1, n_bytes).alias("text"), order.alias("o")).dropDuplicates([lang, "o"])
-    first = picked.groupBy(lang).agg(F.slice(F.array_sort(F.collect_list(F.struct("o", "text"))), 1, per_language).alias("rows"))
-    return [(r.text.encode()[:n_bytes], row[0]) for row in sorted(first.collect(), key=lambda r: r[0]) for r in row.rows]
+    part = (F.pmod("o", F.lit(1 << 20)) / (1 << 20)) < rate
+    drawn = rows.join(F.broadcast(counts), "lang").where(part).groupBy("lang").agg(F.collect_set("o").alias("os"))
+    picked = drawn.select("lang", F.explode(F.slice(F.array_sort("os"), 1, per_language)).alias("o"))
+    found = rows.join(F.broadcast(picked), ["lang", "o"]).mapInArrow(_counted, "lang string, o long, at binary, x binary").dropDuplicates(["lang", "o"])
+    out = []
+    for r in found.orderBy("lang", "o").toLocalIterator():
+        x = np.zeros(DIMS, np.float32)
+        x[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.x, np.float32)
+        out.append((x, r.lang))
+    return out
 
 
 def _predict(shared):
