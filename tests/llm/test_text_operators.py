@@ -1,6 +1,7 @@
 """Brute force, held-out accuracy and edge cases of the operators over texts."""
 
-import hashlib
+import glob
+import heapq
 import math
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.llm import decontamination, language_id, license_scan, lm_scoring, mixing, near_dedup, sharding, token_counts, toxicity
+from driftspark.llm.common import shared_dir
 from tests.llm.conftest import rows, sentence
 
 
@@ -135,11 +137,28 @@ def test_language_id_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in found)
 
 
-def test_language_id_edges(docs, none):
-    model = language_id.fit([(b"the cat is on the mat", "en"), (b"der hund ist in dem haus", "de")])
+def test_language_id_learns_from_whole_texts(spark):
+    """The only sign of a language lies behind 6000 bytes of text that both languages share."""
+    shared = " ".join(sentence(5, 3000).split())
+    rows = [(f"{shared} {i} " + "qwx " * 900, "xx") for i in range(12)] + [(f"{shared} {i} " + "jyk " * 900, "yy") for i in range(12)]
+    sample = language_id.sample_rows(spark.createDataFrame([*rows, *rows, (None, "xx"), ("", "yy"), ("z", None)], "text string, lang string"))
+    assert len(shared) > 6000 and Counter(lang for _, lang in sample) == {"xx": 12, "yy": 12}
+    model = language_id.fit(sample)
+    late = spark.createDataFrame([(1, shared + " qwx" * 900), (2, shared + " jyk" * 900)], "doc_id long, text string")
+    assert {r.row.doc_id: r.lang_pred for r in language_id.identify(late, model).collect()} == {1: "xx", 2: "yy"}
+
+
+def test_language_id_edges(docs, none, monkeypatch):
+    model = language_id.fit([(language_id._features(t), lang) for t, lang in ((b"the cat is on the mat", "en"), (b"der hund ist in dem haus", "de"))])
     assert language_id.identify(none, model).count() == 0
     got = {(r.row.doc_id, r.lang_pred) for r in language_id.identify(docs, model).collect()}
     assert {(40, "und"), (41, "und"), (42, "und")} <= got and (43, "en") in got
+    whole = np.frombuffer(b" a text longer than a piece ", np.uint8)
+    grams = Counter(int(g) for n, ids in enumerate(language_id.gram_ids(whole)) for g in ids[n:])
+    for piece in (1 << 20, 7, 2):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        x = language_id._features(b"a text longer than a piece")
+        assert {i: round(v * len(whole)) for i, v in enumerate(x) if v} == grams
     empty = language_id.fit([])
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
 
@@ -206,6 +225,46 @@ def test_token_counts_through_the_cache(spark, docs, none, tmp_path):
     assert token_counts.count_tokens(none, definition, cache).count() == 0
 
 
+def test_word_tokenizer_is_counted_by_words_and_equals_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    definition = open(path, encoding="utf-8").read()
+    assert token_counts.drops_white_space(definition)
+    count, tokenizer = token_counts.counter(definition), Tokenizer.from_file(path)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert count([t.encode() for t in texts]) == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_white_space_counts_where_the_tokenizer_keeps_it(spark, docs, name, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    if name.endswith(".json"):
+        definition, tokenizer = open(path, encoding="utf-8").read(), Tokenizer.from_file(path)
+        count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    else:
+        definition, pieces = open(path, "rb").read(), sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda t: len(pieces.encode(t))
+    assert not token_counts.drops_white_space(definition)
+    odd = spark.createDataFrame([(70, "a b"), (71, "a \n\n  b"), (72, " a b "), (73, "<|endoftext|> <s>")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    got = Counter((r.row.doc_id, r.n_tokens) for r in token_counts.count_tokens(every, definition, f"{tmp_path}/cache").collect())
+    assert got == Counter((r.doc_id, count(r.text or "")) for r in every.collect())
+
+
+def test_token_count_query_keeps_its_cache(spark, sf):
+    cache = lambda: sum(1 for _ in glob.glob(f"{shared_dir(spark)}/token-cache/*/*/part-*.parquet"))
+    first = sorted(token_counts.op6_token_counts(spark, sf).collect())
+    stored = [token_counts.read_cache(spark, p).count() for p in glob.glob(f"{shared_dir(spark)}/token-cache/*")]
+    assert cache() and sorted(token_counts.op6_token_counts(spark, sf).collect()) == first
+    assert [token_counts.read_cache(spark, p).count() for p in glob.glob(f"{shared_dir(spark)}/token-cache/*")] == stored
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -303,21 +362,41 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def plain_lpt(sizes, shards):
+    """Loads of longest-first through a heap, group by group."""
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return sorted(load for load, _ in heap)
+
+
 def test_lpt_matches_the_plain_heap():
-    import heapq
     import random
 
-    r = random.Random(4)
-    classes = [(s, n, s * n) for s, n in {r.randint(1, 900): r.randint(1, 60) for _ in range(80)}.items()]
-    plain = [0] * 8
-    for size, n, _ in sorted(classes, reverse=True):
-        for _ in range(n):
-            i = min(range(8), key=plain.__getitem__)
-            plain[i] += size
-    loads = [0] * 8
-    for key, upto in sharding.lpt_counts(classes, 8):
-        for s, given in enumerate(np.diff([0, *upto])):
-            loads[s] += key * int(given)
-        assert upto[-1] == dict((c[0], c[1]) for c in classes)[key]
-    assert max(loads) - min(loads) <= max(max(plain) - min(plain), 8)
-    assert hashlib and heapq
+    for seed in range(60):
+        r = random.Random(seed)
+        shards = r.randint(1, 9)
+        top = r.choice([5, 900, 50_000_000])
+        classes = {r.randint(1, top): r.randint(1, 60) for _ in range(r.randint(0, 80))}
+        loads = [0] * shards
+        for size, upto in sharding.lpt_counts(sorted(classes.items(), reverse=True), shards):
+            assert upto[-1] == classes[size]
+            for s, given in enumerate(np.diff([0, *upto])):
+                loads[s] += size * int(given)
+        assert sorted(loads) == plain_lpt([s for s, n in classes.items() for _ in range(n)], shards)
+
+
+def test_shards_are_those_of_the_plain_heap(spark, monkeypatch):
+    """Copies add up to groups of over 1 MB; sizes are as near equal as longest-first makes them."""
+    monkeypatch.setattr(sharding, "PORTION", 7)
+    texts = [(i, "x" * (1 + 37 * (i % 61))) for i in range(400)] + [(1000 + i, "y" * 9000) for i in range(150)] + [(2000 + i, "z" * 700_001) for i in range(3)] + [(3000, "w" * 1_500_000), (3001, None), (3001, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sharding.shard(docs, shards=8).collect()
+    groups = Counter()
+    for _, t in texts:
+        groups[t] += len((t or "").encode()) + 1
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r["size"]
+    assert sorted(loads.values()) == plain_lpt(groups.values(), 8)
