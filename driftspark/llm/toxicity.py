@@ -2,8 +2,10 @@
 
 A word's input is an embedding of the word (hashed; zero until learned) beside the mean embedding of its character
 trigrams, so unseen spellings still have one. Forward and backward GRUs read WINDOW words; attention pools their states;
-a document's score is the highest of all its overlapping windows, calibrated on documents. Everything is trained in
-numpy on the driver from a bounded sample of labelled rows; scoring covers every window of every whole text, in tasks.
+a document's score is the highest of all its overlapping windows, calibrated on documents. The network is trained in
+numpy on the driver from a bounded sample of labelled rows. Tasks read the whole text of each of these and choose the
+windows that the driver learns from: those with the strongest words, and others drawn over the whole text; the calibration
+takes every window of them. Scoring covers every window of every whole text, in tasks.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import LOWER, NOT_ALNUM, bounds, remainder, slices, spans, table, utf8
+from driftspark.llm.common import LOWER, NOT_ALNUM, bounds, drop, remainder, slices, spans, store, table, utf8
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 13, 1 << 13, 12, 8, 8
-#: Labelled rows of either class to learn from, and bytes of each of them; scoring has no such bounds.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 3000, 6000
+#: Labelled rows of either class to learn from; scoring has no such bound.
+TOXIC_ROWS, CLEAN_ROWS = 1000, 3000
+#: Windows of each of them that the driver gets: so many of the strongest, and so many drawn from all others.
+STRONG, DRAWN = 16, 32
+#: Words whose log-odds tell the strongest windows.
+ODDS_WORDS = 1 << 16
 EPOCHS, BATCH, RATE = 20, 128, 0.01
 
 
@@ -145,9 +151,9 @@ def gradients(net: dict, x: np.ndarray, places: np.ndarray, mask: np.ndarray, y:
 # ---------------------------------------------------------------- training
 
 
-def _windows_of(texts: list[bytes]):
-    """Inputs of the distinct words of some texts, the texts' windows, and the row and the distinct word of each word."""
-    data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+def _inputs_of(texts: list[bytes]):
+    """Inputs of the distinct words of some windows, where each window's words begin and end, and the distinct word of each word."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     known: dict[int, bytes] = {}
     hashes, in_row = [], []
@@ -164,15 +170,15 @@ def _windows_of(texts: list[bytes]):
     ends = np.cumsum([len(w) for w in spelt]).astype(np.int64)
     starts = ends - np.array([len(w) for w in spelt], np.int64)
     inputs = word_inputs(np.frombuffer(b"".join(spelt), np.uint8), starts, ends, distinct.astype(np.uint64))
-    start, end, of = windows(bounds(rows, len(texts)))
-    return inputs, start, end, of, rows.astype(np.int32), codes.astype(np.int32)
+    first = bounds(rows, len(texts))
+    return inputs, first[:-1], first[1:], codes.astype(np.int32)
 
 
-def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int = 5) -> dict:
-    """Network and calibration from (text, label) rows. share: of toxic rows among all; by default that of the sample.
+def train(sample: list[tuple[list[bytes], int]], seed: int = 5) -> dict:
+    """Network from (windows of a text, label) rows, a text's strongest window first; each window is at most WINDOW words.
 
-    A label marks a document, not a window. The first windows to learn as positive are those with the words of the
-    highest log-odds between the two classes of documents; later epochs take the window the network scores highest.
+    A label marks a document, not a window. The first windows to learn as positive are the strongest ones; later epochs
+    take the window the network scores highest. ``calibrate`` turns logits into probabilities.
     """
     net = new_network(seed)
     y = np.array([label for _, label in sample], np.float32)
@@ -180,19 +186,12 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
     if not len(y) or rate in (0.0, 1.0):
         return {"net": net, "scale": 0.0, "shift": float(np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5)))}
     rng = np.random.default_rng(seed)
-    (word, tri, cut), start, end, of, rows, codes = _windows_of([t for t, _ in sample])
+    (word, tri, cut), start, end, codes = _inputs_of([w for ws, _ in sample for w in ws])
     n_docs = len(y)
-    pairs = np.unique(codes * np.int64(n_docs) + rows)
-    in_docs = np.bincount(pairs // n_docs, minlength=len(word))
-    in_toxic = np.bincount(pairs // n_docs, y[pairs % n_docs], len(word))
-    odds = np.log((in_toxic + rate) / (in_docs - in_toxic + 1 - rate))
-    strength = np.empty(len(start), np.float32)
-    for s in range(0, len(start), 4096):
-        places, mask = unfold(codes, start[s : s + 4096], end[s : s + 4096])
-        strength[s : s + 4096] = np.where(mask, odds[places] if len(odds) else 0.0, -9).max(axis=1)
+    of = np.concatenate([[0], np.cumsum([len(ws) for ws, _ in sample])])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.items()}
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    best = np.array([of[i] + strength[of[i] : of[i + 1]].argmax() for i in range(n_docs)])
+    best = of[:-1].copy()
     step = 0
     for epoch in range(EPOCHS):
         some = rng.choice(clean, min(len(clean), 3 * len(toxic)), replace=False)
@@ -224,9 +223,13 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
         if epoch in (3, 9, 15):
             logit = _all_logits(net, embed(net, word, tri, cut), codes, start, end)
             best = np.array([of[i] + logit[of[i] : of[i + 1]].argmax() for i in range(n_docs)])
-    top = np.maximum.reduceat(_all_logits(net, embed(net, word, tri, cut), codes, start, end), of[:-1])
-    share = rate if share is None else share
-    each = np.where(y == 1, share / rate, (1 - share) / (1 - rate))  # the sample may hold more of one class
+    return {"net": net, "scale": 1.0, "shift": 0.0}
+
+
+def calibrate(top: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """(scale, shift) of the logits of documents with labels y. share: of toxic rows among all, since a sample may hold more of one class."""
+    rate = y.mean()
+    each = np.where(y == 1, share / rate, (1 - share) / (1 - rate))
     scale, shift = 1.0, 0.0
     for _ in range(200):  # logistic regression of the labels on the documents' highest logits, by Newton steps
         p = 1 / (1 + np.exp(-np.clip(scale * top + shift, -30, 30)))
@@ -234,22 +237,86 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, seed: int
         grad = np.array([(each * (p - y) * top).sum(), (each * (p - y)).sum()])
         hess = np.array([[(w * top**2).sum() + 1e-3, (w * top).sum()], [(w * top).sum(), w.sum() + 1e-3]])
         scale, shift = np.array([scale, shift]) - 0.5 * np.linalg.solve(hess, grad)
-    return {"net": net, "scale": float(scale), "shift": float(shift)}
+    return float(scale), float(shift)
 
 
 def _all_logits(net: dict, x: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.concatenate([forward(net, x, *unfold(codes, start[s : s + 4096], end[s : s + 4096])) for s in range(0, len(start), 4096)])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS, n_bytes: int = TRAIN_BYTES) -> tuple[list[tuple[bytes, int]], float]:
-    """(rows, share): at most so many toxic and clean labelled texts by a hash of their id, n_bytes of each; the share of toxic labels."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic) of at most so many toxic and clean labelled texts by a hash of their id, stored; the share of toxic labels.
+
+    Labels other than 0 and 1, null ids and texts are left out. An id with unlike labels is toxic; of unlike texts of an id the
+    one of the smallest SHA-256 counts.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
-    first = lambda value, n: known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = first(1, toxic).unionByName(first(0, clean))
-    joined = docs.select("doc_id", F.substring("text", 1, n_bytes).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = joined.where("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toLocalIterator()
-    return [(r.text.encode()[:n_bytes], int(r.toxic)) for r in rows], share or 0.0
+    texts = docs.where("text is not null").select("doc_id", "text")
+    present = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    first = lambda value, n: present.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    picked = store(first(1, toxic).unionByName(first(0, clean)), "picked")
+    joined = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    out = store(joined, "labelled")
+    drop(picked)
+    return out, share or 0.0
+
+
+def _words_of(text: bytes):
+    data = LOWER[np.frombuffer(text, np.uint8)]
+    return data, spans(data, np.array([0, len(data)]), NOT_ALNUM)
+
+
+def _doc_words(batches):
+    """Arrow function: the distinct words of each text, with its label."""
+    for batch in batches:
+        texts, labels = batch.column("text"), batch.column("toxic").to_pylist()
+        for i, label in enumerate(labels):
+            h = np.unique(_words_of(texts[i].as_py().encode())[1][0])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), label, np.int32))], names=["h", "toxic"])
+
+
+def _chosen(words: np.ndarray, odds: np.ndarray):
+    """Arrow function: the windows of each text to learn from, given the log-odds of sorted words."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            out = []
+            for i in range(batch.num_rows):
+                text = texts[i].as_py().encode()
+                data, (h, rows, starts, ends) = _words_of(text)
+                start, end, _ = windows(bounds(rows, 1))
+                at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+                strength = np.where(words[at] == h, odds[at], np.float32(-9)) if len(words) else np.zeros(len(h), np.float32)
+                places, mask = unfold(strength, start, end)
+                order = np.argsort(-np.where(mask, places, -9).max(axis=1), kind="stable")
+                rest = order[STRONG:]
+                drawn = np.random.default_rng(len(text)).choice(rest, min(DRAWN, len(rest)), replace=False)
+                some = np.concatenate([order[:STRONG], drawn]).astype(np.int64)
+                out.append([data[starts[start[w]] : ends[min(start[w] + WINDOW, end[w]) - 1]].tobytes() if len(h) else b"" for w in some])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "toxic", "windows"])
+
+    return run
+
+
+def fit(sample: DataFrame, share: float | None = None) -> dict:
+    """Model from sample(doc_id, text, toxic), of a bounded number of rows. share: of toxic rows among all; by default that of the sample."""
+    spark, kind = sample.sparkSession, sample.schema["doc_id"].dataType.simpleString()
+    n, positive = sample.agg(F.count("*"), F.sum("toxic")).first()
+    rate = (positive or 0) / max(1, n)
+    counts = sample.mapInArrow(_doc_words, "h long, toxic int").groupBy("h").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    odds = counts.select("h", F.log((F.col("t") + rate) / (F.col("n") - F.col("t") + (1 - rate))).cast("float").alias("odds")) if 0 < rate < 1 else spark.createDataFrame([], "h long, odds float")
+    top = odds.orderBy(F.desc("odds"), "h").limit(ODDS_WORDS).toArrow()
+    words = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    chosen = sample.mapInArrow(_chosen(words[order], top.column("odds").to_numpy()[order]), f"doc_id {kind}, toxic int, windows array<binary>")
+    model = train([([bytes(w) for w in r.windows], r.toxic) for r in chosen.orderBy("doc_id").toLocalIterator()])
+    if model["scale"]:
+        logits = score(sample, model).select("logit", "row.toxic").toArrow()
+        y = logits.column("toxic").to_numpy().astype(np.float64)
+        model["scale"], model["shift"] = calibrate(logits.column("logit").to_numpy(), y, float(y.mean()) if share is None else share)
+    return model
 
 
 # ---------------------------------------------------------------- scoring
@@ -271,13 +338,13 @@ def _score(shared):
                 start, end, of = windows(bounds(rows, hi - lo))
                 top = np.maximum.reduceat(_all_logits(net, x, codes, start, end), of[:-1]).astype(np.float64)
                 p = 1 / (1 + np.exp(-np.clip(model["scale"] * top + model["shift"], -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(p), pa.array(np.diff(of))], names=["row", "score", "n_windows"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(p), pa.array(np.diff(of)), pa.array(top)], names=["row", "score", "n_windows", "logit"])
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """row (a struct of the columns of docs but text), score (0 to 1) and n_windows of each whole text.
+    """row (a struct of the columns of docs but text), score (0 to 1), n_windows and logit (before calibration) of each whole text.
 
     Null and empty texts have one window without words, whose score is the bias alone. Repeated rows each get a row.
     Without labelled rows of both classes every text gets the labels' smoothed rate. The broadcast model has a fixed size.
@@ -285,11 +352,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     source = docs.select("text", F.struct(*rest).alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return source.mapInArrow(_score(shared), f"row {source.schema['row'].dataType.simpleString()}, score double, n_windows long")
+    return source.mapInArrow(_score(shared), f"row {source.schema['row'].dataType.simpleString()}, score double, n_windows long, logit double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
-    model = train(*labelled_sample(docs.where("not held_out"), labels))
+    model = fit(*labelled_sample(docs.where("not held_out"), labels))
     return score(docs, model).select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 """Brute force, held-out accuracy and edge cases of the operators over texts."""
 
 import glob
+import hashlib
 import heapq
 import math
 import re
@@ -90,12 +91,12 @@ def test_lm_scoring_edges(docs, none):
 
 def test_toxicity_learns_and_scores_whole_texts(spark):
     plain = lambda seed, n: re.sub("[0-9]", "", sentence(seed, n))
-    sample = [(plain(i, 60).encode(), 0) for i in range(120)]
-    for i in range(40):
-        words = plain(1000 + i, 60).split()
-        words[i + 5] = "nasty"
-        sample.append((" ".join(words).encode(), 1))
-    model = toxicity.train(sample)
+    sample = [(i, plain(i, 60), 0) for i in range(120)]
+    for i in range(40):  # half of them hold their word far behind 6000 bytes
+        words = plain(1000 + i, 60 if i % 2 else 2500).split()
+        words[i + 5 if i % 2 else 2300 + i] = "nasty"
+        sample.append((1000 + i, " ".join(words), 1))
+    model = toxicity.fit(spark.createDataFrame(sample, "doc_id long, text string, toxic int"))
     late = plain(5, 3000) + " nasty " + plain(6, 50)
     docs = spark.createDataFrame([(1, late), (2, plain(5, 3000)), (3, None), (4, ""), (4, "")], "doc_id long, text string")
     got = [(r.row.doc_id, r.score, r.n_windows) for r in toxicity.score(docs, model).collect()]
@@ -104,6 +105,16 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert {i: n for i, _, n in got}[2] == math.ceil((3000 - 32) / 16) + 1
 
 
+def test_labelled_sample_is_defined_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "c"), (3, "c"), (None, "d"), (4, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (9, 1), (None, 1), (4, None), (4, 7)], "doc_id long, toxic int")
+    sample, share = toxicity.labelled_sample(docs, labels)
+    least = min(("a", "b"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(tuple, sample.collect())) == [(1, least, 1), (3, "c", 0)] and share == 0.75
+    sample, _ = toxicity.labelled_sample(docs, labels, toxic=0, clean=1)
+    assert [r.doc_id for r in sample.collect()] == [3]
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = {k: v.astype(float) for k, v in toxicity.new_network(1).items()}
@@ -123,8 +134,8 @@ def test_toxicity_gradients():
         assert (up - down) / 2e-3 == pytest.approx(g[name][at], rel=2e-2, abs=2e-5)
 
 
-def test_toxicity_without_both_classes(docs, none):
-    model = toxicity.train([])
+def test_toxicity_without_both_classes(spark, docs, none):
+    model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     assert toxicity.score(none, model).count() == 0
     assert {round(r.score, 6) for r in toxicity.score(docs, model).collect()} == {0.5}
 
