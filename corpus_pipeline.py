@@ -24,7 +24,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; null and empty texts stay. It learns from labelled rows of the table."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
-    model = toxicity.train(*toxicity.labelled_sample(docs.where(remainder("doc_id", 4) != 2), labels))
+    model = toxicity.fit(*toxicity.labelled_sample(docs.where(remainder("doc_id", 4) != 2), labels))
     scored = toxicity.score(_whole(docs), model)
     blank = F.length(F.trim(F.coalesce("row.kept.text", F.lit("")))) == 0
     return scored.where((F.col("score") < TOXIC) | blank).select("row.kept.*")
