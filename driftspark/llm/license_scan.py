@@ -1,24 +1,29 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-Only shingles (SHINGLE words) of some template can count towards containment, so a text's windows hold these alone. A
-template of m shingles belongs to the scale c, the next power of 2; windows of that scale hold c + s - 1 shingles and begin
-every s = max(1, c / 4), so one of them holds any run of c. The Jaccard similarity of such a window with a template of
-which it holds 80 % is at least 0.4 c / (c + 0.4 c) = 0.29 even where other templates' shingles fill it; with BANDS
-bands of one MinHash value it is retrieved with a probability of 1 - 0.71 ** BANDS, which is over 0.99998.
-DataFrame functions only.
+A template of m shingles (SHINGLE words each) belongs to the scale c, the next power of 2; windows of that scale hold c + s - 1
+shingles of the text and begin every s = max(1, c / 4), so one of them holds any run of c. A window with the share ``containment``
+of a template's shingles has a Jaccard similarity with it of at least J = need / (c + s - 1 + m - need), need being that share of
+m, rounded up. MinHash values are the k smallest of one hash over a set's shingles, and each is a band of its own: of the k smallest
+in the union, one that both sets hold is among the k smallest of either. None of them is held by both with a probability of at
+most (1 - J) ** k. A scale has so many bands k that this is at most MISS for each of its templates. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import drop, store, table
+from driftspark.llm.common import store, table
 
-SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 32
+SHINGLE, CONTAINMENT = 5, 0.8
+#: Probability with which a window that holds enough of a template may fail to retrieve it.
+MISS = 1e-5
+#: Shingles whose windows are read at once; the longest step of the windows divides it.
+PIECE = 1 << 12
 
 #: Public license notices, to be found in texts.
 TEMPLATES = {
@@ -77,60 +82,93 @@ def anchors(templates: dict[str, str]) -> list[str]:
     return sorted(out)
 
 
-def _minima(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, band, value): MinHash values of the hashes in ``h`` under BANDS hash functions."""
-    least = df.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS)])
-    return least.select(*keys, F.posexplode(F.array(*[f"m{i}" for i in range(BANDS)])).alias("band", "value"))
+def step_of(scale: int) -> int:
+    return max(1, scale // 4)
 
 
-def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(shingles(template, m, scale, h), bands(template, scale, band, value)); templates shorter than a shingle have none."""
+def need_of(m: int, containment: float) -> int:
+    """Shingles of a template of m that a window must hold."""
+    return max(1, math.ceil(m * containment - 1e-9))
+
+
+def bands_of(scale: int, sizes: list[int], containment: float) -> int:
+    """Bands of a scale with templates of these sizes, from the least similarity of a window that holds enough of one."""
+    width = scale + step_of(scale) - 1
+    least = min(need_of(m, containment) / (width + m - need_of(m, containment)) for m in sizes)
+    return 1 if least >= 1 else math.ceil(math.log(MISS) / math.log1p(-least))
+
+
+def _minima(hs: Column, bands: int) -> Column:
+    """The MinHash values of an array of shingles: the smallest distinct ones, one for each band."""
+    return F.slice(F.sort_array(F.array_distinct(hs)), 1, bands)
+
+
+def template_rows(spark: SparkSession, templates: dict[str, str]) -> list:
+    """(template, m, scale, hs) of each template with a shingle: as many rows as templates are given."""
     texts = spark.createDataFrame(list(templates.items()), "template string, text string")
     hashes = texts.select("template", F.array_distinct(shingles(F.col("text"))).alias("hs")).where("size(hs) > 0")
-    sized = hashes.withColumn("m", F.size("hs")).withColumn("scale", F.pow(F.lit(2), F.ceil(F.log2("m"))).cast("int"))
-    each = store(sized.select("template", "m", "scale", F.explode("hs").alias("h")), "templates")
-    return each, _minima(each, "template", "scale")
+    return hashes.select("template", F.size("hs").alias("m"), F.pow(F.lit(2), F.ceil(F.log2(F.size("hs")))).cast("int").alias("scale"), "hs").collect()
+
+
+def _windows(piece: Column, number: Column, scales: dict[int, tuple[int, list[int]]]) -> Column:
+    """Of all windows that begin in a piece, those with some template's value in some band: (scale, window, minima, shingles)."""
+
+    def of_scale(h, scale, bands, values):
+        step = step_of(scale)
+        width = scale + step - 1
+        last = F.least(F.lit(PIECE // step), F.ceil(F.size(h) / step).cast("int")) - 1
+        every = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), _minima(F.slice(h, k * step + 1, width), bands).alias("minima")))
+        some = F.filter(every, lambda x: F.arrays_overlap(x["minima"], F.array(*[F.lit(v) for v in values])))
+        return F.transform(some, lambda x: F.struct(F.lit(scale).alias("scale"), (number * (PIECE // step) + x["k"]).alias("window"), x["minima"].alias("minima"), F.slice(h, x["k"] * step + 1, width).alias("held")))
+
+    # bound as a lambda's argument, a piece is cut from its text once
+    return F.get(F.transform(F.array(piece), lambda h: F.concat(*[of_scale(h, c, b, v) for c, (b, v) in scales.items()])), 0)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """row (a struct of the columns of docs but text), matches: an array of (template, containment, first word, last word) sorted by template.
 
     A template matches where a window of a text holds at least ``containment`` of its distinct shingles; of several windows
-    the best counts, then the first. Null, empty and short texts match nothing. Repeated rows each get a row.
+    the best counts, then the first. Null, empty and short texts match nothing, and a template shorter than a shingle is in no text. A
+    long text is read in pieces of PIECE shingles, each with all windows that begin in it. Repeated rows each get a row; the columns
+    of docs come back inside ``row``, so none clashes. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    each, bands = template_tables(spark, templates or TEMPLATES)
-    known, scales = each.select("h").distinct(), each.select("scale").distinct()
+    templates = templates or TEMPLATES
+    known = template_rows(spark, templates)
     rest = [c for c in docs.columns if c != "text"]
+    empty = F.array().cast("array<struct<template:string,containment:double,first:int,last:int>>")
+    if not known:
+        return docs.select(F.struct(*rest).alias("row"), empty.alias("matches"))
+    sizes = defaultdict(list)
+    for t in known:
+        sizes[t.scale].append(t.m)
+    bands = {c: bands_of(c, ms, containment) for c, ms in sorted(sizes.items())}
+    own = spark.createDataFrame(known, "template string, m int, scale int, hs array<bigint>")
+    values = own.select("template", "scale", _minima(F.col("hs"), max(bands.values())).alias("minima")).collect()
+    scales = {c: (n, sorted({v for r in values if r.scale == c for v in r.minima[:n]})) for c, n in bands.items()}
+    by_band = spark.createDataFrame([(r.template, r.scale, v) for r in values for v in r.minima[: bands[r.scale]]], "template string, scale int, value long")
     # a text without any anchor as a whole word has no shingle of a template, so its shingles needn't be made
     inside = r"[0-9a-z\x{80}-\x{10FFFF}]"
-    some_anchor = F.lower("text").rlike(f"(?<!{inside})(?:{'|'.join(anchors(templates or TEMPLATES))})(?!{inside})") if anchors(templates or TEMPLATES) else F.lit(False)
+    some_anchor = F.lower("text").rlike(f"(?<!{inside})(?:{'|'.join(anchors(templates))})(?!{inside})")
     hs = F.when(some_anchor, shingles(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
-    rows = docs.select(F.struct(*rest).alias("row"), hs.alias("hs"))
-    wanted = known.agg(F.collect_set("h").alias("wanted"))  # bounded by the templates, not by the texts
-    none = F.array().cast("array<struct<pos:int,h:bigint>>")
-
-    def kept(hs):
-        some = F.filter(F.transform(hs, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda x: F.array_contains("wanted", x["h"]))
-        return F.when(F.arrays_overlap(hs, F.col("wanted")), some).otherwise(none)
-
-    tried = rows.crossJoin(F.broadcast(wanted)).select("row", F.get(F.transform(F.array("hs"), kept), 0).alias("hits"))
-    found = store(tried.withColumn("uid", F.monotonically_increasing_id()), "hits")
-    hits = found.where("size(hits) > 0").select("uid", F.explode("hits").alias("x")).select("uid", "x.pos", "x.h")
-    step = F.greatest(F.lit(1), F.floor(F.col("scale") / 4)).cast("int")
-    width = F.col("scale") + F.col("step") - 1
-    windows = hits.crossJoin(F.broadcast(scales)).withColumn("step", step)
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - width + 1) / F.col("step"))).cast("int")
-    windows = windows.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("pos") / F.col("step")).cast("int"))))
-    windows = store(windows.select("uid", "scale", "window", "pos", "h"), "windows")
-    retrieved = _minima(windows, "uid", "scale", "window").join(F.broadcast(bands), ["scale", "band", "value"]).select("uid", "scale", "window", "template").distinct()
-    held = windows.join(retrieved, ["uid", "scale", "window"]).join(F.broadcast(each), ["scale", "template", "h"])
-    exact = held.groupBy("uid", "template", "window", "m").agg(F.count_distinct("h").alias("n"), F.min("pos").alias("first"), (F.max("pos") + SHINGLE - 1).alias("last"))
-    exact = exact.where(F.col("n") >= F.col("m") * containment)
-    best = exact.groupBy("uid", "template").agg(F.max(F.struct((F.col("n") / F.col("m")).alias("containment"), (-F.col("first")).alias("o"), "first", "last")).alias("b"))
+    rows = store(docs.select(F.struct(*rest).alias("row"), hs.alias("hs")).withColumn("uid", F.monotonically_increasing_id()), "shingles")
+    longest = max(c + step_of(c) for c in bands)
+    pieces = F.transform(F.sequence(F.lit(0), ((F.size("hs") - 1) / PIECE).cast("int")), lambda p: F.struct(p.alias("p"), F.slice("hs", p * PIECE + 1, PIECE + longest).alias("h")))
+    dealt = rows.where("size(hs) > 0").select("uid", F.explode(pieces).alias("x"))
+    near = store(dealt.select("uid", F.explode(_windows(F.col("x.h"), F.col("x.p"), scales)).alias("w")).select("uid", "w.*"), "windows")
+    at = near.select("uid", "scale", "window", F.explode("minima").alias("value"))
+    # the bands and shingles of the templates are as many as the templates have, so these broadcasts don't grow with the texts
+    retrieved = at.join(F.broadcast(by_band), ["scale", "value"]).select("uid", "scale", "window", "template").distinct()
+    held = near.select("uid", "scale", "window", "held").join(retrieved, ["uid", "scale", "window"]).join(F.broadcast(own.select("template", "m", "hs")), "template")
+    n = F.size(F.array_intersect("held", "hs"))
+    start = F.col("window") * F.greatest(F.lit(1), F.floor(F.col("scale") / 4)).cast("int")
+    held = held.withColumn("n", n).where(F.col("n") >= F.ceil(F.col("m") * F.lit(containment) - 1e-9))
+    places = F.filter(F.transform("held", lambda h, i: F.when(F.array_contains("hs", h), i)), lambda i: i.isNotNull())
+    exact = held.withColumn("places", places).select("uid", "template", (F.col("n") / F.col("m")).alias("containment"), (start + F.array_min("places")).cast("int").alias("first"), (start + F.array_max("places") + SHINGLE - 1).cast("int").alias("last"))
+    best = exact.groupBy("uid", "template").agg(F.max(F.struct("containment", (-F.col("first")).alias("o"), "first", "last")).alias("b"))
     per_row = best.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("template", "b.containment", "b.first", "b.last"))).alias("matches"))
-    empty = F.array().cast("array<struct<template:string,containment:double,first:int,last:int>>")
-    return found.select("uid", "row").join(per_row, "uid", "left").select("row", F.coalesce("matches", empty).alias("matches"))
+    return rows.select("uid", "row").join(per_row, "uid", "left").select("row", F.coalesce("matches", empty).alias("matches"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
