@@ -335,18 +335,84 @@ def test_registers_merge_and_estimate():
 # ---------------------------------------------------------------- mixing, licenses, sharding
 
 
-def test_raking_meets_the_targets(spark, docs, none):
+def test_raking_meets_the_targets(spark):
     cells = spark.createDataFrame([("a", "en", "p", 100), ("a", "de", "p", 50), ("b", "en", "q", 10), ("b", "de", "p", 30), ("b", "de", "q", 5)], "source string, lang string, topic string, tokens long")
     goal = {"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"p": 0.8, "q": 0.2}}
-    targets = {by: spark.createDataFrame(list(t.items()), f"{by} string, target double") for by, t in goal.items()}
-    got = mixing.rake(cells, targets, tolerance=1e-9, rounds=200).collect()
+    targets = {by: mixing.completed(cells, by, t) for by, t in goal.items()}
+    got, off = mixing.rake(cells, targets, tolerance=1e-7)
+    got = got.collect()
     for by, t in goal.items():
+        assert off[by] <= 1e-7
         for value, share in t.items():
             assert sum(r.factor * r.tokens for r in got if r[by] == value) / 195 == pytest.approx(share, abs=1e-4)
-    mixed = mixing.mix(docs).collect()
-    assert len(mixed) == len(rows()) and all(0 <= r.probability <= 1 for r in mixed)
-    assert max(r.probability for r in mixed) == pytest.approx(1)
+
+
+def test_raking_states_what_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "en", "p", 100), ("b", "de", "p", 100)], "source string, lang string, topic string, tokens long")
+    goal = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.5, "de": 0.5}}
+    _, off = mixing.rake(cells, {by: mixing.completed(cells, by, t) for by, t in goal.items()})
+    assert off["source"] == pytest.approx(0.4) and off["lang"] == pytest.approx(0)
+
+
+def test_given_targets_with_a_rest(spark):
+    cells = spark.createDataFrame([("a", 10), ("b", 30), ("c", 60), ("d", 0)], "lang string, tokens long")
+    got = dict(map(tuple, mixing.completed(cells, "lang", {"a": 0.5, "x": 0.1, "*": 0.3}).collect()))
+    assert got == {k: pytest.approx(v) for k, v in {"a": 0.5 / 0.8, "b": 0.1 / 0.8, "c": 0.2 / 0.8}.items()}
+
+
+def brute_mix(texts, goal, power, topics):
+    """Topic, tokens and factor of each row by plain loops."""
+    out = []
+    for _, text, lang, source in texts:
+        w = [x for x in re.split("[\t\n\x0b\f\r ]+", lower(text)) if x]
+        held = sorted((-w.count(t), t) for t in topics if t in w)
+        out.append([held[0][1] if held else "other", len(w), lang or "∅", source or "∅"])
+    sums = Counter()
+    for topic, n, lang, source in out:
+        sums[source, lang, topic] += n
+    total = sum(sums.values())
+    shares = [Counter(), Counter(), Counter()]
+    for cell, n in sums.items():
+        for i in range(3):
+            shares[i][cell[i]] += n / total
+    want = [{k: v**power for k, v in shares[0].items() if v}, goal, dict(shares[2])]
+    want = [{k: v / sum(t.values()) for k, v in t.items()} for t in want]
+    factor = dict.fromkeys(sums, 1.0)
+    for _ in range(500):
+        for i in range(3):
+            mass = Counter()
+            for cell, n in sums.items():
+                mass[cell[i]] += factor[cell] * n
+            for cell in sums:
+                factor[cell] *= want[i].get(cell[i], 0) * total / mass[cell[i]] if mass[cell[i]] else 0
+    return [(t, n, factor[s, la, t]) for t, n, la, s in out]
+
+
+def test_mix_against_brute_force(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(mixing.rake, "__defaults__", (1e-6,))
+    more = [(200 + i, "the of " * 4 + ("harbour " * 6 if i % 4 == 0 else "") + sentence(i, 30), "en de".split()[i % 2], f"s{i % 3}") for i in range(40)]
+    texts = [r[:4] for r in rows()] + more
+    every = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
+    topics = mixing.learn_topics(every.select(F.coalesce("lang", F.lit("∅")).alias("lang"), "text"), n=1, least=0.1)
+    assert topics == ["harbour"]
+    monkeypatch.setattr(mixing, "learn_topics", lambda d: topics)
+    goal = {"en": 0.6, "de": 0.3, "fr": 0.1}
+    got = mixing.mix(every, temper={"source": 0.5, "topic": 1.0}, targets={"lang": goal}).collect()
+    want = Counter((i, t, n, round(f, 3)) for (i, *_), (t, n, f) in zip(texts, brute_mix(texts, goal, 0.5, topics), strict=True))
+    assert Counter((r.row.doc_id, r.topic, r.tokens, round(r.factor, 3)) for r in got) == want
+    most = max(r.factor for r in got)
+    assert all(r.probability == pytest.approx(r.factor / most) for r in got) and all(r.sampled for r in got if r.probability == 1)
+    assert len({(r.row.doc_id, r.row.text, r.sampled) for r in got}) == len({(r[0], r[1]) for r in texts})
     assert mixing.mix(none).count() == 0
+    blank = spark.createDataFrame([(1, None, None, None), (2, "", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert [r.sampled for r in mixing.mix(blank).collect()] == [True, True]
+
+
+def test_sampling_follows_the_probabilities(spark):
+    rows = [(i, "a b c", "en" if i % 2 else "de", "s") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), targets={"lang": {"en": 0.75, "de": 0.25}}, topic=F.col("source")).collect()
+    kept = Counter(r.row.lang for r in got if r.sampled)
+    assert kept["en"] == 2000 and abs(kept["de"] - 2000 / 3) < 80 and {r.topic for r in got} == {"s"}
 
 
 def test_license_scan(spark, docs, none):
@@ -373,6 +439,53 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def brute_licenses(text, templates, containment=0.8):
+    """Templates of which some run of as many shingles as their scale holds enough: every run, not every window."""
+    words = lambda t: [w for w in re.split("[^0-9a-z\x80-\U0010FFFF]+", (t or "").lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    g, out = grams(words(text)), set()
+    for name, t in templates.items():
+        own = set(grams(words(t)))
+        c = 1 << max(0, math.ceil(math.log2(len(own)))) if own else 0
+        if own and any(len(own & set(g[i : i + c])) >= containment * len(own) - 1e-9 for i in range(max(1, len(g) - c + 1))):
+            out.add(name)
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 12, 64])
+def test_license_scan_finds_every_run_of_brute_force(spark, monkeypatch, piece):
+    """Notices with changed, lost and doubled words, anywhere in texts, over the borders of pieces too."""
+    import random
+
+    monkeypatch.setattr(license_scan, "PIECE", piece)
+    texts = []
+    for i in range(90):
+        r = random.Random(i)
+        parts = [sentence(i, r.randint(0, 260))]
+        for name in r.sample(sorted(license_scan.TEMPLATES), r.randint(1, 3)):
+            w = license_scan.TEMPLATES[name].split()
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[], [w[at]] * 2, ["changed"], [w[at]]])
+            parts += [" ".join(w), sentence(1000 + i, r.randint(0, 30))]
+        texts.append((i, r.choice([" ", "\n\n"]).join(parts)))
+    texts += [(100, sentence(100, 9000) + " " + license_scan.TEMPLATES["mit"] + " " + sentence(101, 9000))]
+    got = {r.row.doc_id: {m.template for m in r.matches} for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        assert brute_licenses(t, license_scan.TEMPLATES) <= got[i]
+        w = {x for m in got[i] for x in [m]}
+        assert w <= set(license_scan.TEMPLATES)
+
+
+def test_license_bands_keep_the_guarantee():
+    for c, sizes in {1: [1], 4: [3, 4], 8: [8], 16: [9], 32: [30], 64: [36], 128: [76, 82, 83]}.items():
+        n = license_scan.bands_of(c, sizes, 0.8)
+        for m in sizes:
+            need = license_scan.need_of(m, 0.8)
+            j = need / (c + license_scan.step_of(c) - 1 + m - need)
+            assert j >= 1 or (1 - j) ** n <= license_scan.MISS
+
+
 def plain_lpt(sizes, shards):
     """Loads of longest-first through a heap, group by group."""
     heap = [(0, s) for s in range(shards)]
