@@ -5,7 +5,8 @@ Register i of a document is floor(1 - log_BASE(x_i)) of the smallest exponential
 least their Jaccard similarity J. Bands of ``rows`` registers propose candidates; a bucket compares its members
 with its smallest one, and where members remain in different components, across components too, in blocks. The
 counts of larger, smaller and equal registers give J by maximum likelihood; what that doesn't rule out is verified on the
-full sets. At J = 0.85 with 24 bands of 5 a link is missed with probability 8e-7, at J = 0.8 with 30 bands of 4 with 1e-7.
+full sets. Bands are as wide as the threshold allows with a probability of at most MISS to miss a link at it (``band_rows``):
+at J = 0.85 24 bands of 5 miss 8e-7, at J = 0.8 30 bands of 4 miss 1e-7.
 """
 
 from __future__ import annotations
@@ -22,14 +23,24 @@ from driftspark.llm.graph import components
 REGISTERS, BASE, RATE, LIMIT = 120, 1.02, 20.0, 65534
 #: Standard errors by which an estimate may fall short of the threshold and still be verified.
 SLACK = 6.0
-#: Members of a bucket compared at once across components.
-BLOCK = 256
+#: Probability with which no band may hold a pair right at the threshold.
+MISS = 1e-6
+#: Members of a bucket compared at once across components, and shingles that these may have together (a larger set stands alone).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Bytes of text whose words a task holds at once (a longer text stands alone).
 SLICE = 1 << 19
 
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def band_rows(percent: int) -> int:
+    """Registers in a band: the most that miss a pair of that similarity with a probability of at most MISS."""
+    fits = [r for r in range(1, REGISTERS + 1) if REGISTERS % r == 0 and (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISS]
+    if not fits:
+        raise ValueError(f"{REGISTERS} registers can't find pairs of {percent} % with a probability of {1 - MISS}")
+    return max(fits)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct k-word shingles of each text; of fewer words, the whole sequence as one."""
     h, rows = words(data, offsets, SPACE)
@@ -131,7 +142,7 @@ def _wanted_sets(k: int, bits):
     """Arrow function: the sets of texts whose digest may be asked for."""
 
     def run(batches):
-        seen = np.unpackbits(bits.value)
+        seen, sent = np.unpackbits(bits.value), set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi in slices(offsets, SLICE):
@@ -139,7 +150,10 @@ def _wanted_sets(k: int, bits):
                 g, cut = shingle_sets(LOWER[data[offsets[lo] : offsets[hi]]], off, k)
                 digest = digests(g, cut)
                 for i in np.flatnonzero((seen[filter_at(digest[:, 0].copy())] == 1) & (np.diff(cut) > 0)):
-                    yield pa.RecordBatch.from_arrays([pa.array([digest[i].tobytes()], pa.binary()), pa.array([g[cut[i] : cut[i + 1]].tobytes()], pa.binary())], names=["digest", "set"])
+                    if (name := digest[i].tobytes()) in sent:  # one of a task's copies is enough
+                        continue
+                    sent.add(name)
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([g[cut[i] : cut[i + 1]].tobytes()], pa.binary())], names=["digest", "set"])
 
     return run
 
@@ -258,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
     smallest only where a component has no other. ``first`` is true for one row of each component, one of those kept. An
     empty table gives an empty result.
     """
-    rows = 5 if percent >= 85 else 4
+    rows = band_rows(percent)
     rest = [c for c in docs.columns if c != "text"]
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest).alias("row"))
     row_type = source.schema["row"].dataType.simpleString()
@@ -284,10 +298,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
     # buckets whose members, the smallest apart, are still in different components: compare across these
     comp = buckets.where("rep <> first").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     open_buckets = comp.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "bucket")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int")
-    still = comp.join(open_buckets, ["band", "bucket"]).withColumns({"blocks": blocks, "own": own})
-    still = store(still.join(reps, "rep").select("band", "bucket", "rep", "comp", "n", "digest", "sketch", "blocks", "own"), "open")
+    still = store(comp.join(open_buckets, ["band", "bucket"]).join(reps, "rep").select("band", "bucket", "rep", "comp", "n", "digest", "sketch"), "open")
+    load = still.groupBy("band", "bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    still = store(still.join(load, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")), "blocks")
     if still.limit(1).count():
         sets = _sets(docs, still, k)
         dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
@@ -297,11 +310,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
         links = store(links.unionByName(more), "links")
         drop(sets)
         found = components(links)
+    # what is joined to the rows is stored first, so that a group of very many copies can be split among tasks
     root = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    root = store(root, "roots")
     member = rowed.select("uid", F.col(f"row.{key}").alias("key"), "n", "digest").join(root, "digest", "left")
     member = store(member.select("uid", "key", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("uid")).alias("root")), "members")
-    drop(reps, buckets, still)
-    smallest = member.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid")).alias("least"))
+    drop(reps, buckets, still, links, root)
+    smallest = store(member.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid")).alias("least")), "smallest")
     out = member.join(smallest, "root").select(
         "uid",
         F.col("n").alias("n_shingles"),
