@@ -296,7 +296,7 @@ def brute_components(texts, k, percent):
     return [len(s) for s in sets], [top(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
+@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80), (2, 60)])
 def test_near_dedup_against_brute_force(spark, docs, k, percent):
     family = sentence(77, 120).split()
     more = []
@@ -321,6 +321,15 @@ def test_near_dedup_empty(none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_bands_find_what_they_should():
+    assert (near_dedup.band_rows(85), near_dedup.band_rows(80)) == (5, 4)
+    for percent in (40, 50, 60, 70, 75, 90, 95, 100):
+        r = near_dedup.band_rows(percent)
+        assert (1 - (percent / 100) ** r) ** (near_dedup.REGISTERS // r) <= near_dedup.MISS
+    with pytest.raises(ValueError):
+        near_dedup.band_rows(5)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     a, b = (rng.integers(0, 1 << 63, 4000).astype(np.uint64) for _ in range(2))
