@@ -5,8 +5,8 @@ join per marginal and round, until every marginal is met or a round hardly bring
 probability in proportion to their cell's factor, so that the expected tokens of the sample meet the marginals. What each
 marginal still lacks is returned as its residual. DataFrame functions only.
 
-Topics are learned from all texts: a topic is a word that a few documents of a language use much more often than chance would
-have it (residual inverse document frequency), and a document's topic is the one of these words that it holds most often.
+Topics are learned from all texts: a topic is a word that a fair share of a language's documents holds, but no common one (its
+document frequency lies between two bounds), and a document's topic is the one of these words that it holds most often.
 """
 
 from __future__ import annotations
@@ -16,43 +16,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import drop, lower_ascii, store, table
+from driftspark.llm.common import drop, store, table
 
 #: A target share is the present share to this power, made to sum to 1; 1 keeps the present mix.
 TEMPER = {"source": 0.85, "lang": 0.9, "topic": 1.0}
 #: Largest difference of shares that counts as met, and the part of it that a round must take away to be worth another.
 TOLERANCE, PROGRESS = 1e-4, 0.02
-#: Topics to learn, and the least share of a language's documents that hold a topic's word.
-TOPICS, LEAST_SHARE = 12, 0.01
+#: Topics to learn, and the least and largest share of a language's documents that hold a topic's word.
+TOPICS, LEAST_SHARE, MOST_SHARE = 12, 0.01, 0.1
 #: The value of a target table that stands for all values it doesn't list, and that of a null.
 REST, NULL = "*", "∅"
 OTHER = "other"
 
 
 def word_array(text: Column) -> Column:
-    """Runs of other than ASCII white space, A-Z lower-cased; none for null."""
-    bare = F.trim(lower_ascii(F.coalesce(text, F.lit(""))), F.lit("\t\n\x0b\f\r "))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\t\n\x0B\f\r ]+"))
+    """A lower-cased text split at its runs of ASCII white space; the first and the last value may be empty. Null is as empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\t\n\x0B\f\r ]+")
 
 
-def learn_topics(docs: DataFrame, n: int = TOPICS, least: float = LEAST_SHARE) -> list[str]:
-    """The n words of highest residual inverse document frequency in a language, over all docs(lang, text).
+def n_words(words: Column) -> Column:
+    """Values of a word_array that aren't empty."""
+    ends = (F.get(words, 0) == "").cast("int") + (F.element_at(words, -1) == "").cast("int")
+    return F.greatest(F.lit(0), F.size(words) - ends).cast("long")
 
-    A word is of at least two letters, nothing else, and in ``least`` of its language's documents; ties go to the lesser word. The words
-    with that many documents are at most as many as 1 / least documents hold, so the broadcast of them doesn't grow with the corpus.
+
+def learn_topics(docs: DataFrame, n: int = TOPICS, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> list[str]:
+    """The n words in the largest shares of a language's documents that are neither rare nor common in it, over all docs(lang, text).
+
+    A word is of at least two letters, nothing else, and in between ``least`` and ``most`` of the documents; ties go to the lesser word.
     """
     sizes = docs.groupBy("lang").agg(F.count("*").alias("docs"))
     held = docs.select("lang", F.explode(F.array_distinct(word_array(F.col("text")))).alias("word"))
-    held = held.groupBy("lang", "word").agg(F.count("*").alias("df"))
-    frequent = held.join(F.broadcast(sizes), "lang").where((F.col("df") >= F.col("docs") * least) & (F.col("df") > 1))
-    frequent = store(frequent.where(F.col("word").rlike(r"^\p{L}{2,}$")), "frequent")
-    used = docs.select("lang", F.explode(word_array(F.col("text"))).alias("word")).join(F.broadcast(frequent.select("lang", "word")), ["lang", "word"])
-    used = used.groupBy("lang", "word").agg(F.count("*").alias("cf"))
-    residual = F.log2(F.col("docs") / F.col("df")) + F.log2(1 - F.exp(-F.col("cf") / F.col("docs")))
-    best = frequent.join(used, ["lang", "word"]).groupBy("word").agg(F.max(residual).alias("residual"))
-    out = [r.word for r in best.orderBy(F.desc("residual"), "word").limit(n).collect()]
-    drop(frequent)
-    return out
+    held = held.groupBy("lang", "word").agg(F.count("*").alias("df")).where("df > 1")
+    share = F.col("df") / F.col("docs")
+    between = held.join(F.broadcast(sizes), "lang").where((share >= least) & (share <= most) & F.col("word").rlike(r"^\p{L}{2,}$"))
+    return [r.word for r in between.groupBy("word").agg(F.max(share).alias("share")).orderBy(F.desc("share"), "word").limit(n).collect()]
 
 
 def topic_of(words: Column, topics: list[str]) -> Column:
@@ -125,7 +123,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
 def mix(docs: DataFrame, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float] | DataFrame] | None = None, topic: Column | None = None, seed: int = 17) -> DataFrame:
     """docs(source, lang, text, ...) -> row (a struct of all columns), topic, tokens, factor, probability (0 to 1), sampled, residual.
 
-    Tokens are words. A marginal's targets are those given in ``targets`` (weights by value, see ``completed``), else its present
+    Tokens are words, runs of other than ASCII white space. A marginal's targets are those given in ``targets`` (weights by value, see ``completed``), else its present
     shares tempered by its power in ``temper``. ``topic`` may name a column instead of the learned topics. residual: by marginal, the
     largest difference of the shares reached from their targets.
     A null source, language or topic is a value of its own, NULL. Null and empty texts have no tokens and count in no marginal; they
@@ -137,7 +135,7 @@ def mix(docs: DataFrame, temper: dict[str, float] | None = None, targets: dict[s
     topics = learn_topics(docs.select(named["lang"].alias("lang"), "text")) if topic is None else []
     chosen = (lambda w: topic_of(w, topics)) if topic is None else (lambda w: F.coalesce(topic.cast("string"), F.lit(NULL)))
     # bound as a lambda's argument, a text is split into words once
-    read = F.get(F.transform(F.array(word_array(F.col("text"))), lambda w: F.struct(chosen(w).alias("topic"), F.size(w).cast("long").alias("tokens"))), 0)
+    read = F.get(F.transform(F.array(word_array(F.col("text"))), lambda w: F.struct(chosen(w).alias("topic"), n_words(w).alias("tokens"))), 0)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(by) for by, c in named.items()], read.alias("read"))
     rows = store(rows.select("row", "source", "lang", "read.topic", "read.tokens"), "mixed-rows")
     cells = store(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
