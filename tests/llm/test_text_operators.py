@@ -402,7 +402,7 @@ def test_mix_against_brute_force(spark, docs, none, monkeypatch):
     more = [(200 + i, "the of " * 4 + ("harbour " * 6 if i % 4 == 0 else "") + sentence(i, 30), "en de".split()[i % 2], f"s{i % 3}") for i in range(40)]
     texts = [r[:4] for r in rows()] + more
     every = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
-    topics = mixing.learn_topics(every.select(F.coalesce("lang", F.lit("∅")).alias("lang"), "text"), n=1, least=0.1)
+    topics = mixing.learn_topics(every.select(F.coalesce("lang", F.lit("∅")).alias("lang"), "text"), n=1, least=0.1, most=0.4)
     assert topics == ["harbour"]
     monkeypatch.setattr(mixing, "learn_topics", lambda d: topics)
     goal = {"en": 0.6, "de": 0.3, "fr": 0.1}
