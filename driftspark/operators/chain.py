@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def touching(transfers: DataFrame, listed: DataFrame) -> DataFrame:
     """Transfers of which either side is listed(address), with the side."""
-    side = lambda c: transfers.join(F.broadcast(listed.withColumnRenamed("address", c)), c).withColumn("side", F.lit(c))
+    side = lambda c: transfers.join(listed.withColumnRenamed("address", c), c).withColumn("side", F.lit(c))
     return side("sender").unionByName(side("receiver"))
 
 
 def structuring(transfers: DataFrame, mixers: DataFrame, below: float, days: int, least: int) -> DataFrame:
-    """Senders with many small transfers to listed receivers inside a window of days."""
-    small = transfers.where(F.col("amount") < below).join(F.broadcast(mixers.withColumnRenamed("address", "receiver")), "receiver", "left_semi")
-    start = F.floor(F.unix_date("ts") / days) * days
-    return small.groupBy("sender", F.date_from_unix_date(start.cast("int")).alias("window_start")).agg(F.count("*").alias("transfers"), F.sum("amount").cast("double").alias("volume")).where(F.col("transfers") >= least)
+    """Senders with many small transfers to listed receivers inside a span of days, for each span that begins with one."""
+    small = transfers.where(F.col("amount") < below).join(mixers.withColumnRenamed("address", "receiver"), "receiver", "left_semi")
+    return _bursts(small, ["sender"], days, least, "transfers", F.sum("amount").cast("double").alias("volume"))
+
+
+def _bursts(rows: DataFrame, by: list[str], days: int, least: int, count: str, *sums: Column) -> DataFrame:
+    """(by, window_start, counts and sums) of every span of days that begins with a row and holds at least so many.
+
+    Rows are summed by key and day first, so a window holds at most one row a day, however many rows a key has.
+    """
+    daily = rows.groupBy(*by, F.to_date("ts").alias("window_start")).agg(F.count("*").alias(count), *sums)
+    ahead = Window.partitionBy(*by).orderBy(F.unix_date("window_start")).rangeBetween(0, days - 1)
+    added = [c for c in daily.columns if c not in (*by, "window_start")]
+    return daily.select(*by, "window_start", *[F.sum(c).over(ahead).alias(c) for c in added]).where(F.col(count) >= least)
 
 
 def bridges(transfers: DataFrame, days: int, band: float) -> DataFrame:
@@ -39,9 +49,8 @@ def unusual_volume(transfers: DataFrame, weeks: int, z: float) -> DataFrame:
 
 
 def repeated_calls(transfers: DataFrame, days: int, least: int) -> DataFrame:
-    """Pairs of sender and receiver with at least so many transfers in a window."""
-    start = F.floor(F.unix_date("ts") / days) * days
-    return transfers.groupBy("sender", "receiver", F.date_from_unix_date(start.cast("int")).alias("window_start")).agg(F.count("*").alias("calls")).where(F.col("calls") >= least)
+    """Pairs of sender and receiver with at least so many transfers in a span of days, for each span that begins with one."""
+    return _bursts(transfers, ["sender", "receiver"], days, least, "calls")
 
 
 def within_hops(transfers: DataFrame, labelled: DataFrame, hops: int) -> DataFrame:

@@ -197,7 +197,7 @@ def keyword_sum(text: Column, weights: dict[str, int]) -> Column:
     return out
 
 
-def score(alerts: DataFrame, now: str, hours: int, collected: bool = False, undated: bool = True) -> DataFrame:
+def score(alerts: DataFrame, now: str, hours: int, collected: bool = False, undated: bool = True, keywords: dict[str, int] = rules.MATERIAL_KEYWORDS, impact_keywords: dict[str, int] = rules.BUSINESS_IMPACT_KEYWORDS) -> DataFrame:
     """Alerts with freshness, material score, window, primary evidence and review lane."""
     end = F.lit(now).cast("timestamp")
     newest = F.array_max(F.transform("evidence", lambda e: instant(e["published_at"])))
@@ -211,7 +211,7 @@ def score(alerts: DataFrame, now: str, hours: int, collected: bool = False, unda
     t = F.col("signal_type")
     impact = F.when(F.col("category") == "risk", 18).otherwise(0) + F.when(t.isin("regulatory_scrutiny", "jurisdiction_restriction", "risk_rating_review"), 18).otherwise(0)
     impact = impact + F.when(t.isin("ownership_change", "new_subsidiary"), 12).otherwise(0) + F.when(t.isin("domain_registration", "new_jurisdiction"), 8).otherwise(0)
-    impact = F.least(F.lit(110), impact + keyword_sum(F.col("text"), rules.IMPACT_KEYWORDS))
+    impact = F.least(F.lit(110), impact + keyword_sum(F.col("text"), impact_keywords))
     seen = F.exists(
         "evidence",
         lambda e: in_window(e["published_at"], now, hours) | (F.lit(collected) & in_window(e["collected_at"], now, hours)) | (F.lit(undated) & e["published_at"].isNull() & in_window(e["collected_at"], now, hours)),
@@ -224,7 +224,7 @@ def score(alerts: DataFrame, now: str, hours: int, collected: bool = False, unda
         .otherwise("RM review")
     )
     out = alerts.withColumns({"text": alert_text(), "newest": newest}).withColumn("freshness_days", days)
-    out = out.withColumns({"freshness_points": fresh, "keyword_points": F.least(F.lit(26), keyword_sum(F.col("text"), rules.KEYWORDS)), "impact_points": impact, "source_points": source, "field_points": fields, "in_window": seen, "primary_url": best["url"], "lane": lane})
+    out = out.withColumns({"freshness_points": fresh, "keyword_points": F.least(F.lit(26), keyword_sum(F.col("text"), keywords)), "impact_points": impact, "source_points": source, "field_points": fields, "in_window": seen, "primary_url": best["url"], "lane": lane})
     total = lookup("severity", rules.SEVERITY_POINTS, 0) + lookup("category", rules.CATEGORY_POINTS, 0) + F.round(F.col("confidence") * 20, 0).cast("int") + lookup("signal_type", rules.SIGNAL_POINTS, 0)
     total = total + F.col("source_points") + F.col("field_points") + F.col("freshness_points") + F.col("keyword_points") + F.col("impact_points")
     return out.withColumn("material_score", total.cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +31,39 @@ def maker_checker(requests: DataFrame, decisions: DataFrame) -> DataFrame:
     return d.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
+def _body(fields: list[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+
+
 def chained(events: DataFrame, chain: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Audit rows: each event's hash over its own fields, and the hash of the one before it in its chain."""
-    w = Window.partitionBy(*chain).orderBy(*order)
-    body = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
-    return events.withColumn("event_hash", body).withColumn("previous_hash", F.lag("event_hash").over(w))
+    """Audit rows: previous_hash (null for a chain's first) and event_hash, the SHA-256 of previous_hash and the event's own fields.
+
+    Each hash needs the one before it, so a chain is read in order by one task, which holds one hash and one batch, not the chain.
+    """
+    rows = events.select("*", _body(fields).alias("_body"), F.concat_ws("|", *chain).alias("_chain")).repartition(*chain).sortWithinPartitions(*chain, *order)
+    kind = T.StructType(rows.schema.fields + [T.StructField(n, T.StringType()) for n in ("previous_hash", "event_hash")])
+
+    def run(batches):
+        of, last = None, None
+        for df in batches:
+            before, own = [], []
+            for name, body in zip(df["_chain"], df["_body"], strict=True):
+                last = last if name == of else None
+                of = name
+                before.append(last)
+                last = hashlib.sha256(f"{last or ''}|{body}".encode()).hexdigest()
+                own.append(last)
+            yield df.assign(previous_hash=before, event_hash=own)
+
+    return rows.mapInPandas(run, kind).drop("_body", "_chain")
 
 
 def verify_chain(rows: DataFrame, chain: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Per chain: rows checked, whether all hashes hold, and the first row where one doesn't."""
+    """Per chain: rows checked, whether all hashes hold, and the first row where one doesn't: changed, moved, or with a row lost before it."""
     w = Window.partitionBy(*chain).orderBy(*order)
-    body = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
-    bad = (body != F.col("event_hash")) | ~F.col("previous_hash").eqNullSafe(F.lag("event_hash").over(w))
-    return rows.withColumn("bad", bad).groupBy(*chain).agg(F.count("*").alias("checked"), (~F.bool_or("bad")).alias("valid"), F.min(F.when(F.col("bad"), F.col(order[-1]))).alias("first_break"))
+    body = F.sha2(F.concat(F.coalesce("previous_hash", F.lit("")), F.lit("|"), _body(fields)), 256)
+    bad = ~body.eqNullSafe(F.col("event_hash")) | ~F.col("previous_hash").eqNullSafe(F.lag("event_hash").over(w))
+    return rows.withColumn("bad", bad).groupBy(*chain).agg(F.count("*").alias("checked"), (~F.bool_or("bad")).alias("valid"), F.min(F.when(F.col("bad"), F.struct(*order))).getField(order[-1]).alias("first_break"))
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:

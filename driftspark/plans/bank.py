@@ -172,8 +172,8 @@ def chain_sanctioned(spark, d):
     return hit.groupBy("sender", "side").agg(F.count("*").alias("transfers"), F.sum("amount").cast("double").alias("volume"))
 
 
-@query("chain_mixer", _TRANSFERS + """SELECT sender, DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', ts) // 90 * 90 AS INT) AS window_start, count(*) AS transfers, CAST(sum(amount) AS DOUBLE) AS volume
-FROM t WHERE amount < 50000 AND receiver % 5 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("chain_mixer", _TRANSFERS + """, b AS (SELECT sender, CAST(ts AS DATE) AS window_start, count(*) OVER w AS transfers, CAST(sum(amount) OVER w AS DOUBLE) AS volume FROM t WHERE amount < 50000 AND receiver % 5 = 0
+WINDOW w AS (PARTITION BY sender ORDER BY CAST(ts AS DATE) RANGE BETWEEN CURRENT ROW AND INTERVAL 89 DAYS FOLLOWING)) SELECT DISTINCT sender, window_start, transfers, volume FROM b WHERE transfers >= 2""")
 def chain_mixer(spark, d):
     return chain.structuring(_transfers(spark, d), _listed(spark, d, "s_suppkey % 5 = 0"), 50_000, 90, 2)
 
@@ -196,7 +196,8 @@ def chain_privacy_asset(spark, d):
     return _transfers(spark, d).where(F.col("asset").isin("Brand#1", "Brand#7", "Brand#13")).groupBy("asset").agg(F.count("*").alias("transfers"), F.count_distinct("sender").alias("senders"))
 
 
-@query("chain_contract_abuse", _TRANSFERS + """SELECT sender, receiver, DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', ts) // 365 * 365 AS INT) AS window_start, count(*) AS calls FROM t GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+@query("chain_contract_abuse", _TRANSFERS + """, b AS (SELECT sender, receiver, CAST(ts AS DATE) AS window_start, count(*) OVER (PARTITION BY sender, receiver ORDER BY CAST(ts AS DATE) RANGE BETWEEN CURRENT ROW AND INTERVAL 364 DAYS FOLLOWING) AS calls FROM t)
+SELECT DISTINCT sender, receiver, window_start, calls FROM b WHERE calls >= 2""")
 def chain_contract_abuse(spark, d):
     return chain.repeated_calls(_transfers(spark, d), 365, 2)
 

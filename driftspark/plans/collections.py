@@ -12,6 +12,7 @@ from driftspark.functions import text as tx
 from driftspark.operators import discovery as disc
 from driftspark.operators import evidence as ev
 from driftspark.plans import evidence as ep
+from driftspark.plans.discovery import PAGES, pruned, sql_date
 from driftspark.plans.evidence import ALERTS, FACTS, POLICIES
 from driftspark.plans.registry import query
 from driftspark.sources import domain, readers
@@ -107,7 +108,10 @@ def disc_regulator(spark, d):
     return domain.evidence(spark, d).where("source_type = 'regulator'").select("document_id", F.when(score >= 1, "selected").otherwise("skipped").alias("status"))
 
 
-@query("date_multi_format", "SELECT document_id, TIMESTAMP '2023-03-01' + to_days(CAST(document_id % 400 AS INT)) AS seen FROM evidence WHERE document_id % 5 <> 4")
+_FORMATS = {"%Y%m%dT%H%M%SZ": r"\b(\d{8}T\d{6}Z)\b", "%Y-%m-%d %H:%M:%S": r"\b(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\b", "%Y-%m-%d": r"\b(\d{4}-\d{2}-\d{2})\b", "%d %b %Y": r"\b(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4})\b"}
+
+
+@query("date_multi_format", "SELECT document_id, coalesce(" + ", ".join(f"try_strptime(regexp_extract(raw_text, '{p}', 1), '{f}')" for f, p in _FORMATS.items()) + ") AS seen FROM evidence")
 def date_multi_format(spark, d):
     """The first instant or day of a text, by the first format that it has one of."""
     formats = {
@@ -117,7 +121,7 @@ def date_multi_format(spark, d):
         "d MMM yyyy": r"\b(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4})\b",
     }
     seen = F.coalesce(*[F.try_to_timestamp(F.regexp_extract("raw_text", shape, 1), F.lit(f)) for f, shape in formats.items()])
-    return domain.evidence(spark, d).select("document_id", seen.cast("timestamp_ntz").alias("seen")).where("seen is not null")
+    return domain.evidence(spark, d).select("document_id", seen.cast("timestamp_ntz").alias("seen"))
 
 
 @query("disc_registry_match", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'skipped' ELSE 'matched' END AS status FROM supplier")
@@ -149,19 +153,19 @@ def registry_cache_fallback(spark, d):
     return s.join(live, "s_suppkey", "left").join(cached, "s_suppkey", "left").select("s_suppkey", status.alias("status"))
 
 
-@query("pages_prune_html", "SELECT page_id, '<p>kept</p>' AS html FROM pages")
+@query("pages_prune_html", f"SELECT page_id, length(h) AS chars, sha256(h) AS sha FROM (SELECT page_id, {pruned('html')} AS h FROM pages)")
 def pages_prune_html(spark, d):
-    out = F.regexp_replace("html", r"(?is)<(ix:header|ix:hidden)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?is)<([a-z:]+)\b[^>]*style\s*=\s*[\"'][^\"']*display:\s*none[^\"']*[\"'][^>]*>.*?</\1\s*>", "")
-    return domain.table(spark, d, "pages").select("page_id", out.alias("html"))
+    return domain.table(spark, d, "pages").select("page_id", tx.prune_html(F.col("html")).alias("h")).select("page_id", F.length("h").cast("long").alias("chars"), F.sha2("h", 256).alias("sha"))
+
+
+_META = [sql_date("regexp_extract(html, '" + p.removeprefix("(?i)").replace("'", "''") + "', 1, 'i')") for p in disc.META_DATES]
 
 
-@query("pages_published_at", "SELECT page_id, strftime(DATE '2022-01-01' + CAST(page_id % 300 AS INT), '%Y-%m-%d') AS day FROM pages WHERE page_id % 3 <> 2")
+@query("pages_published_at", PAGES + f"SELECT page_id, coalesce({', '.join(_META)}, {sql_date('substr(text, 1, 2000)')}) AS day FROM pages JOIN vis USING (page_id)")
 def pages_published_at(spark, d):
     # a generated column, so that the text is made once and not in every place that date_only reads it
-    pages = domain.table(spark, d, "pages").select("page_id", "html", F.explode(F.array(F.substring(tx.visible_text(F.col("html")), 1, 2000))).alias("shown"))
-    found = F.coalesce(tx.date_only(F.regexp_extract("html", r'(?i)published_time"\s+content="([^"]*)"', 1)), tx.date_only(F.col("shown")))
-    return pages.select("page_id", found.alias("day")).where("day is not null")
+    pages = domain.table(spark, d, "pages").select("page_id", "html", F.explode(F.array(tx.visible_text(F.col("html")))).alias("shown"))
+    return pages.select("page_id", disc.published_at(F.col("html"), F.col("shown")).alias("day"))
 
 
 @query("text_first_sentence_with", r""", s AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(raw_text, '([.!?])\s+([A-Z0-9"''$])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: trim(s)), lambda s: length(s) >= 30) AS l, title FROM evidence)
@@ -179,7 +183,7 @@ def term_unique(spark, d):
     return kept.select("n_nationkey", F.array_join(F.transform("t", lambda x: x["term"]), "|").alias("terms"))
 
 
-@query("text_encoding_repair", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE lang = 'fr'")
+@query("text_encoding_repair", "SELECT doc_id, sha256(text) AS sha FROM documents")
 def text_encoding_repair(spark, d):
     """Every text in the reading of its bytes that is least broken."""
     return domain.table(spark, d, "documents").select("doc_id", F.sha2(tx.decoded(F.col("text")), 256).alias("sha"))

@@ -11,14 +11,36 @@ from driftspark.sources import domain
 
 QUERY_TERMS, RULE_TERMS = ["tion", "ment", "achlich"], ["license", "worthless", "idiot"]
 _WS = r"[\s\x{00A0}\x{0085}\x0b\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_SKIP = ["script", "style", "svg", "canvas", "noscript", "template"]
+#: Elements that the given pages may hide; a regular expression without back-references names each.
+_HIDDEN = "div span p section table ul li a"
+
+
+def pruned(html):
+    out = html
+    for tag in ("ix:header", "ix:hidden"):
+        out = rf"regexp_replace({out}, '<{tag}\b.*?</{tag}>', ' ', 'gsi')"
+    for tag in _HIDDEN.split():
+        out = rf"""regexp_replace({out}, '<{tag}\b[^>]*style=["''][^"'']*display\s*:\s*none[^"'']*["''][^>]*>.*?</{tag}>', ' ', 'gsi')"""
+    return out
+
+
+def sql_date(c):
+    """date_only in SQL."""
+    months = tx.MONTHS.split()
+    named = rf"'({'|'.join(months)})\s+(\d{{1,2}}),\s+(\d{{4}})'"
+    at = lambda i: f"regexp_extract({c}, {named}, {i}, 'i')"
+    month = "CASE lower(" + at(1) + ") " + " ".join(f"WHEN '{m}' THEN '{i:02d}'" for i, m in enumerate(months, 1)) + " END"
+    us = r"'\b(\d{1,2})/(\d{1,2})/(\d{4})\b'"
+    n = lambda i: f"regexp_extract({c}, {us}, {i})"
+    return rf"""coalesce(nullif(regexp_extract({c}, '\d{{4}}-\d{{2}}-\d{{2}}'), ''), CASE WHEN {at(3)} <> '' THEN {at(3)} || '-' || {month} || '-' || lpad({at(2)}, 2, '0') END,
+CASE WHEN {n(3)} <> '' THEN {n(3)} || '-' || lpad({n(1)}, 2, '0') || '-' || lpad({n(2)}, 2, '0') END)"""
 
 
 def _visible(html):
-    out = rf"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
-    for tag in _SKIP:
+    out = rf"regexp_replace({pruned(html)}, '<!--.*?-->', '', 'gs')"
+    for tag in tx.SKIP_TAGS:
         out = rf"regexp_replace({out}, '<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'gsi')"
-    out = rf"regexp_replace({out}, '</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|title)\b[^>]*>', chr(10), 'gi')"
+    out = rf"regexp_replace({out}, '</?({'|'.join(tx.BLOCK_TAGS)})\b[^>]*>', chr(10), 'gi')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'gs')"
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         out = f"replace({out}, '{entity}', '{char}')"
@@ -40,8 +62,8 @@ def pages_visible_text(spark, d):
     return domain.table(spark, d, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha"))
 
 
-@query("pages_title", r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(regexp_extract(html, '<title\b[^>]*>(.*?)</title>', 1, 'si'), '<[^>]*>', '', 'g')), 1, 180), ''),
-nullif(substr(trim(regexp_replace(regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'si'), '<[^>]*>', '', 'g')), 1, 180), ''), 'Untitled source') AS title FROM pages""")
+@query("pages_title", PAGES + r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(regexp_extract(html, '<title\b[^>]*>(.*?)</title>', 1, 'si'), '<[^>]*>', '', 'g')), 1, 180), ''),
+nullif(substr(trim(regexp_replace(regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'si'), '<[^>]*>', '', 'g')), 1, 180), ''), nullif(substr(text, 1, 90), ''), 'Untitled source') AS title FROM pages JOIN vis USING (page_id)""")
 def pages_title(spark, d):
     return domain.table(spark, d, "pages").select("page_id", disc.title(F.col("html")).alias("title"))
 
@@ -97,14 +119,14 @@ def evidence_rank(spark, d):
     return disc.rank_evidence(domain.evidence(spark, d), QUERY_TERMS, RULE_TERMS)
 
 
-@query("date_normalize", "SELECT doc_id, strftime(DATE '1999-01-01' + CAST(doc_id % 900 AS INT), '%Y-%m-%d') AS day FROM documents WHERE doc_id % 4 <> 3")
+@query("date_normalize", f"SELECT doc_id, {sql_date('text')} AS day FROM documents")
 def date_normalize(spark, d):
-    return domain.table(spark, d, "documents").select("doc_id", tx.date_only(F.col("text")).alias("day")).where("day is not null")
+    return domain.table(spark, d, "documents").select("doc_id", tx.date_only(F.col("text")).alias("day"))
 
 
 @query("name_normalize", r"SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || ' and sons' AS plain FROM customer")
 def name_normalize(spark, d):
-    return domain.table(spark, d, "customer").select("c_custkey", tx.normalize_name(F.concat(F.lit("The "), "c_name", F.lit(" & Sons, Ltd. AG"))).alias("plain"))
+    return domain.table(spark, d, "customer").select("c_custkey", tx.normalize_name(F.concat(F.lit("The "), "c_name", F.lit(" & Sons, Pte. Ltd. Group"))).alias("plain"))
 
 
 @query("name_normalize_plain", r"SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS plain FROM supplier")
@@ -142,13 +164,7 @@ def confidence_hint(spark, d):
 
 @query("quote_grounding", r"""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(trim(regexp_replace(lower(documents.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(benchmark.text), '\s+', ' ', 'g')))""")
 def quote_grounding(spark, d):
-    """Pairs that share a quote's second word are compared in full; a quote's inner words are whole words of a text that holds it."""
-    fold = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " ")
-    quotes = domain.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.get(fold(F.col("text")), F.lit(1)).alias("key"))
-    docs = domain.table(spark, d, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.array_distinct(fold(F.col("text")))).alias("key"))
-    pairs = words.join(quotes, "key").select("doc_id", "item_id", "quote")
-    return pairs.join(docs, "doc_id").where(disc.grounded(F.col("quote"), F.col("text"))).select("doc_id", "item_id")
+    return disc.grounded_pairs(domain.table(spark, d, "documents").select("doc_id", "text"), domain.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))).select("doc_id", "item_id")
 
 
 @query("jurisdiction_extract", "SELECT customer_id, array_to_string(list_filter(['AFRICA', 'ASIA', 'EUROPE'], lambda x: contains(region || ' ' || domicile, x)), '|') AS found FROM customers")

@@ -111,7 +111,7 @@ def alerts(spark, d):
 
 
 def scored(spark, d):
-    return ev.score(alerts(spark, d), domain.NOW, 720)
+    return ev.score(alerts(spark, d), domain.NOW, 720, keywords=rules.KEYWORDS, impact_keywords=rules.IMPACT_KEYWORDS)
 
 
 def classified(spark, d):
@@ -297,9 +297,14 @@ def alert_suppression_stats(spark, d):
     return comp.crossJoin(some)
 
 
-@query("integrity_check", ALERTS + """, bad AS (SELECT 'fact_document' AS error, count(*) AS rows FROM facts WHERE document_id NOT IN (SELECT document_id FROM evidence) UNION ALL
-SELECT 'alert_fact', count(*) FROM (SELECT unnest(fact_ids) AS f FROM alerts) WHERE f NOT IN (SELECT fact_id FROM facts) UNION ALL SELECT 'empty_fields', count(*) FROM alerts WHERE len(changed_fields) = 0 UNION ALL
-SELECT 'fact_customer', count(*) FROM facts WHERE customer_id % 9 <> 0 AND customer_id NOT IN (SELECT customer_id FROM customers)) SELECT error, rows FROM bad""")
+_MISSING = lambda names: " OR ".join(f"{n} IS NULL" for n in names)
+
+
+@query("integrity_check", ALERTS + f""", own AS (SELECT count(*) FILTER ({_MISSING(ev.FACT_REQUIRED)}) AS a, count(*) FILTER (coalesce(value, '') = '' AND coalesce(object, '') = '') AS b FROM facts),
+said AS (SELECT count(*) FILTER ({_MISSING(ev.ALERT_REQUIRED)}) AS a, count(*) FILTER (coalesce(len(changed_fields), 0) = 0) AS b, count(*) FILTER (coalesce(len(fact_ids), 0) = 0) AS c, count(*) FILTER (coalesce(len(evidence), 0) = 0) AS d FROM alerts)
+SELECT 'fact_fields' AS error, a AS rows FROM own UNION ALL SELECT 'fact_content', b FROM own UNION ALL SELECT 'alert_fields', a FROM said UNION ALL SELECT 'empty_fields', b FROM said UNION ALL SELECT 'alert_facts', c FROM said UNION ALL SELECT 'alert_evidence', d FROM said
+UNION ALL SELECT 'fact_document', count(*) FROM facts WHERE document_id NOT IN (SELECT document_id FROM evidence) UNION ALL SELECT 'alert_fact', count(*) FROM (SELECT unnest(fact_ids) AS f FROM alerts) WHERE f NOT IN (SELECT fact_id FROM facts)
+UNION ALL SELECT 'fact_customer', count(*) FROM facts WHERE customer_id NOT IN (SELECT customer_id FROM customers) UNION ALL SELECT 'alert_document', count(*) FROM (SELECT unnest(evidence).document_id AS e FROM alerts) WHERE e NOT IN (SELECT document_id FROM evidence)""")
 def integrity_check(spark, d):
     return ev.integrity(facts(spark, d), alerts(spark, d), domain.evidence(spark, d), domain.customers(spark, d))
 
@@ -376,7 +381,7 @@ def notify_upsert(spark, d):
     return notifications(spark, d)
 
 
-@query("notify_list", SCORED + POLICIES + "SELECT rm_id, policy_rank, alert_id FROM pr WHERE policy_rank <= 5")
+@query("notify_list", SCORED + POLICIES + "SELECT rm_id, policy_rank, alert_id FROM pr WHERE policy_rank IS NOT NULL")
 def notify_list(spark, d):
     """All active rows in rank order."""
     return notifications(spark, d).where("active").select("rm_id", F.col("position").alias("policy_rank"), "alert_id").orderBy("rm_id", "policy_rank")

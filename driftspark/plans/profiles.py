@@ -15,7 +15,7 @@ from driftspark.plans.registry import query
 from driftspark.sources import domain
 
 RECORDS = """, base AS (SELECT customer_id, domicile || ' Trust' AS holder, 'owner' AS role, 'high' AS impact, 50.0::DOUBLE AS percent, 0.9::DOUBLE AS confidence FROM customers WHERE customer_id % 3 = 0),
-docs AS (SELECT DISTINCT e.customer_id, source_name AS holder, CASE WHEN contains(lower(raw_text), 'license') THEN 'lender' ELSE 'investor' END AS role, CASE source_quality WHEN 'A' THEN 'high' WHEN 'B' THEN 'medium' ELSE 'low' END AS impact, NULL::DOUBLE AS percent, 0.6::DOUBLE AS confidence FROM evidence e JOIN customers c USING (customer_id) WHERE document_id % 2 = 0),
+docs AS (SELECT DISTINCT e.customer_id, source_name AS holder, CASE WHEN contains(lower(raw_text), 'license') THEN 'lender' ELSE 'investor' END AS role, CASE source_quality WHEN 'A' THEN 'high' WHEN 'B' THEN 'medium' ELSE 'low' END AS impact, NULL::DOUBLE AS percent, 0.6::DOUBLE AS confidence FROM evidence e JOIN customers c USING (customer_id)),
 rec AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY o, holder, role) AS number FROM (SELECT *, 0 AS o FROM base UNION ALL SELECT *, 1 FROM docs))
 """
 

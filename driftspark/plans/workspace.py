@@ -61,7 +61,7 @@ def gov_approval_queue(spark, d):
 _BODY = ["event_id", "user_id", "event_type", "props"]
 
 
-@query("gov_audit_verify", "SELECT user_id, count(*) AS checked, NOT bool_or(event_id % 997 = 5) AS valid, min(CASE WHEN event_id % 997 = 5 THEN event_id END) AS first_break FROM ev GROUP BY 1")
+@query("gov_audit_verify", "SELECT user_id, count(*) AS checked, NOT bool_or(event_id % 997 = 5) AS valid, arg_min(event_id, (ts, event_id)) FILTER (event_id % 997 = 5) AS first_break FROM ev GROUP BY 1")
 def gov_audit_verify(spark, d):
     rows = gov.chained(domain.events(spark, d), ["user_id"], ["ts", "event_id"], _BODY)
     changed = rows.withColumn("props", F.when(F.col("event_id") % 997 == 5, F.lit("changed")).otherwise(F.col("props")))
@@ -134,10 +134,11 @@ def ws_visible_notifications(spark, d):
     return _status(spark, d).where(~F.col("current_status").isin("in_review", "dismissed")).select("alert_id")
 
 
-@query("ws_customer_aggregate", ALERTS + f"SELECT customer_id, count(*) AS alerts, count(*) FILTER (category = 'risk') AS risk, count(*) FILTER (category = 'opportunity') AS opportunity, count(*) FILTER (category = 'ownership_control') AS ownership, CAST(max({_RANK}) AS INT) AS highest FROM alerts GROUP BY 1")
+@query("ws_customer_aggregate", _STATUS + f"SELECT customer_id, count(*) AS alerts, count(*) FILTER (category = 'risk') AS risk, count(*) FILTER (category = 'opportunity') AS opportunity, count(*) FILTER (category = 'ownership_control') AS ownership, CAST(max({_RANK}) AS INT) AS highest FROM alerts JOIN (SELECT alert_id, current_status FROM st) USING (alert_id) WHERE current_status <> 'dismissed' GROUP BY 1")
 def ws_customer_aggregate(spark, d):
     n = lambda c: F.count_if(F.col("category") == c)
-    return ep.alerts(spark, d).groupBy("customer_id").agg(F.count("*").alias("alerts"), n("risk").alias("risk"), n("opportunity").alias("opportunity"), n("ownership_control").alias("ownership"), F.max(_rank()).alias("highest"))
+    left = ep.alerts(spark, d).join(_status(spark, d).where("current_status <> 'dismissed'").select("alert_id"), "alert_id", "left_semi")
+    return left.groupBy("customer_id").agg(F.count("*").alias("alerts"), n("risk").alias("risk"), n("opportunity").alias("opportunity"), n("ownership_control").alias("ownership"), F.max(_rank()).alias("highest"))
 
 
 @query("ws_customer_list", ALERTS + f""", m AS (SELECT customer_id, count(*) AS alerts, CAST(max({_RANK}) AS INT) AS highest FROM alerts GROUP BY 1)
