@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftspark.functions.text import normalize_name
+
 
 def month(day: str = "booked_on") -> Column:
     return F.trunc(day, "month")
@@ -42,8 +44,8 @@ def profile_mismatch(txns: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def screening(txns: DataFrame, watch: DataFrame) -> DataFrame:
     """Payments whose counterparty or its country is on a watch list(kind: 'name' or 'country', value), each side an equi join."""
-    name = txns.join(F.broadcast(watch.where("kind = 'name'").select(F.col("value").alias("counterparty"))), "counterparty").withColumn("hit", F.lit("name"))
-    country = txns.join(F.broadcast(watch.where("kind = 'country'").select(F.col("value").alias("country"))), "country").withColumn("hit", F.lit("country"))
+    name = txns.join(watch.where("kind = 'name'").select(F.col("value").alias("counterparty")), "counterparty").withColumn("hit", F.lit("name"))
+    country = txns.join(watch.where("kind = 'country'").select(F.col("value").alias("country")), "country").withColumn("hit", F.lit("country"))
     return name.unionByName(country).groupBy("customer_id", "hit").agg(F.count("*").alias("payments"), F.sum("amount").cast("double").alias("volume"))
 
 
@@ -79,12 +81,16 @@ def high_value_cross_border(txns: DataFrame, customers: DataFrame, share: float)
 
 
 def linked_clusters(txns: DataFrame, days: int, least: int) -> DataFrame:
-    """Counterparties that several customers pay within some days of each other: an interval join on buckets of that width."""
-    bucket = F.floor(F.unix_date("booked_on") / (days + 1))
-    paid = txns.select("counterparty_id", "customer_id", "booked_on").distinct().withColumn("bucket", bucket)
-    near = paid.select("counterparty_id", F.col("customer_id").alias("other"), F.col("booked_on").alias("other_on"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    pairs = paid.join(near, ["counterparty_id", "bucket"]).where((F.col("customer_id") != F.col("other")) & (F.abs(F.datediff("booked_on", "other_on")) <= days))
-    return pairs.groupBy("counterparty_id", "booked_on").agg((F.count_distinct("other") + 1).alias("customers")).where(F.col("customers") >= least)
+    """(counterparty_id, booked_on, customers): days with a payment around which, within some days, several customers pay a counterparty.
+
+    A payment counts towards each day it is near to, 2 * days + 1 of them, so no two payments are paired and a busy counterparty's
+    days are spread over tasks.
+    """
+    near = F.explode(F.sequence(F.lit(-days), F.lit(days)))
+    paid = txns.select("counterparty_id", "customer_id", "booked_on").distinct().select("counterparty_id", "customer_id", "booked_on", near.alias("off"))
+    per = paid.groupBy("counterparty_id", F.date_add("booked_on", F.col("off")).alias("booked_on"), "customer_id").agg(F.bool_or(F.col("off") == 0).alias("on"))
+    counted = per.groupBy("counterparty_id", "booked_on").agg(F.count("*").alias("customers"), F.bool_or("on").alias("on"))
+    return counted.where(F.col("on") & (F.col("customers") >= least)).drop("on")
 
 
 def identity_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -125,9 +131,36 @@ def expanded_profile(txns: DataFrame, baselines: DataFrame) -> DataFrame:
     return baselines.join(seen, "customer_id", "left").select("customer_id", "expected_monthly_volume", "p50", "p95", (F.col("p95") * 1.25).alias("review_threshold"), F.coalesce("observed", F.lit(0.0)).alias("observed"))
 
 
+def name_block(name: Column) -> Column:
+    """The longest word of a normalised name, of equally long ones the first in order; null without words."""
+    words = F.filter(F.split(normalize_name(name), " "), lambda w: w != "")
+    return F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))["w"]
+
+
+def similarity(a: str, b: str) -> Column:
+    """1 less the edit distance of two names as a share of the longer one."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
 def resolution_scores(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidate names against known ones that share a block: edit similarity plus a bonus for equal places, with a review status."""
-    ratio = 1 - F.levenshtein("name", "known_name") / F.greatest(F.length("name"), F.length("known_name"))
-    score = F.least(F.lit(1.0), ratio + F.when(F.col("place") == F.col("known_place"), 0.1).otherwise(0.0))
+    score = F.least(F.lit(1.0), similarity("name", "known_name") + F.when(F.col("place") == F.col("known_place"), 0.1).otherwise(0.0))
     status = F.when(F.col("score") >= 0.9, "high_confidence_review").when(F.col("score") >= 0.75, "medium_confidence_review").otherwise("rejected_weak_match")
     return candidates.join(known, "block").withColumn("score", F.round(score, 4)).withColumn("status", status)
+
+
+def screen_names(parties: DataFrame, entries: DataFrame, least: float = 0.75) -> DataFrame:
+    """parties(name, ...) against entries(entry, list_name, aliases): each party's columns, entry, list_name, reason and score.
+
+    Reasons, of which the best stays: ``exact`` (equal normalised names, 1), ``alias`` (equal to an alias, 0.95) and ``near`` (edit
+    similarity of at least ``least`` to the name or an alias; both share their longest word). Each distinct name is compared once,
+    however many parties bear it; a name that is null or has no words matches nothing.
+    """
+    names = parties.select(normalize_name(F.col("name")).alias("party_key"), name_block(F.col("name")).alias("block")).distinct()
+    spelt = F.explode(F.concat(F.array(F.struct(F.col("entry").alias("known"), F.lit("exact").alias("kind"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("known"), F.lit("alias").alias("kind")))))
+    listed = entries.select("entry", "list_name", spelt.alias("s")).select("entry", "list_name", "s.kind", normalize_name(F.col("s.known")).alias("known_key"), name_block(F.col("s.known")).alias("block")).distinct()
+    same = F.col("party_key") == F.col("known_key")
+    score = F.when(same & (F.col("kind") == "exact"), 1.0).when(same, 0.95).otherwise(F.round(similarity("party_key", "known_key"), 4))
+    found = names.join(listed, "block").withColumns({"score": score, "reason": F.when(same, F.col("kind")).otherwise("near")}).where(F.col("score") >= least)
+    best = found.groupBy("party_key", "entry", "list_name").agg(F.max(F.struct("score", "reason")).alias("best"))
+    return parties.withColumn("party_key", normalize_name(F.col("name"))).join(best, "party_key").select(*parties.columns, "entry", "list_name", "best.reason", "best.score")

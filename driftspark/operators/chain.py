@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,22 @@ def repeated_calls(transfers: DataFrame, days: int, least: int) -> DataFrame:
     return _bursts(transfers, ["sender", "receiver"], days, least, "calls")
 
 
+def repaid_loans(borrowed: DataFrame, repaid: DataFrame, days: int, band: float) -> DataFrame:
+    """(sender, receiver, window_start, repayments): days on which a pair borrows what it repays within days for nearly the amount.
+
+    An interval join on buckets of days and of amounts, so that a busy pair's transfers meet only those near in both.
+    """
+    step = F.lit(float(-math.log(1 - band)))  # two amounts within the band lie at most one bucket of logarithms apart
+    day, size = F.floor(F.unix_date("ts") / (days + 1)), F.floor(F.log("amount") / step)
+    ins = borrowed.where("amount > 0").select("sender", "receiver", F.to_date("ts").alias("window_start"), F.col("amount").alias("lent"), F.explode(F.array(day, day + 1)).alias("day"), size.alias("size"))
+    ins = ins.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    outs = repaid.where("amount > 0").select("sender", "receiver", F.to_date("ts").alias("back_on"), F.col("amount").alias("back"), day.alias("day"), size.alias("size"))
+    gap = F.datediff("back_on", "window_start")
+    near = F.abs(F.col("back") - F.col("lent")) <= F.col("lent") * band
+    pairs = ins.join(outs, ["sender", "receiver", "day", "size"]).where((gap >= 0) & (gap <= days) & near)
+    return pairs.groupBy("sender", "receiver", "window_start").agg(F.count("*").alias("repayments"))
+
+
 def within_hops(transfers: DataFrame, labelled: DataFrame, hops: int) -> DataFrame:
     """(address, hops) of the addresses within so many undirected hops of a labelled one: an equi join per hop on a distinct frontier."""
     edges = transfers.select("sender", "receiver").distinct()

@@ -266,8 +266,10 @@ def evaluate_policies(scored: DataFrame, policies: DataFrame, watched: DataFrame
     watched(rm_id, customer_id), as many as there are customers, meets the alerts in an equi join; other alerts fail by their watch list alone.
     """
     both = scored.join(watched, "customer_id").join(policies, "rm_id")
+    cited = F.exists(F.coalesce("evidence", F.array()), lambda e: F.coalesce(e["source_url"] != "", F.lit(False)))
     cases = [
         (~F.col("in_window"), "outside_refresh_window"),
+        (~cited, "missing_source_url"),
         (F.col("confidence") < F.col("minimum_confidence"), "below_minimum_confidence"),
         (F.col("material_score") < F.col("minimum_material_score"), "below_minimum_material_score"),
         (~F.array_contains("categories", F.col("category")), "category_disabled"),

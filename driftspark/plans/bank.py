@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftspark.operators import bank, chain
+from driftspark.plans.evidence import _NORM
 from driftspark.plans.registry import query
 from driftspark.sources import domain
 
@@ -93,8 +94,8 @@ def play_cross_border_high_value(spark, d):
 
 
 @query("play_linked_cluster", """, paid AS (SELECT DISTINCT counterparty_id, customer_id, booked_on FROM recent)
-SELECT a.counterparty_id, a.booked_on, count(DISTINCT b.customer_id) + 1 AS customers FROM paid a JOIN paid b ON a.counterparty_id = b.counterparty_id AND a.customer_id <> b.customer_id
-AND abs(date_diff('day', a.booked_on, b.booked_on)) <= 2 GROUP BY 1, 2 HAVING count(DISTINCT b.customer_id) + 1 >= 3""")
+SELECT a.counterparty_id, a.booked_on, count(DISTINCT b.customer_id) AS customers FROM (SELECT DISTINCT counterparty_id, booked_on FROM paid) a JOIN paid b ON a.counterparty_id = b.counterparty_id
+AND abs(date_diff('day', a.booked_on, b.booked_on)) <= 2 GROUP BY 1, 2 HAVING count(DISTINCT b.customer_id) >= 3""")
 def play_linked_cluster(spark, d):
     return bank.linked_clusters(_recent(spark, d), 2, 3)
 
@@ -134,22 +135,33 @@ def expanded_profile(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("p50", "p95")} | {"expected_monthly_volume": F.round("expected_monthly_volume", 2), "review_threshold": F.round("review_threshold", 2)})
 
 
-@query("resolution_score", """SELECT s_suppkey, c.customer_id, round(least(1.0, 1 - levenshtein(replace(s_name, 'Supplier', 'Customer'), legal_name) / greatest(length(replace(s_name, 'Supplier', 'Customer')), length(legal_name)) + CASE WHEN n_name = domicile THEN 0.1 ELSE 0.0 END), 4) AS score,
+_BLOCK = "list_sort(list_transform(list_filter(string_split(" + _NORM + ", ' '), lambda w: w <> ''), lambda w: {{'n': -length(w), 'w': w}}))[1].w"
+
+
+@query("resolution_score", f"""SELECT s_suppkey, c.customer_id, round(least(1.0, 1 - levenshtein(replace(s_name, 'Supplier', 'Customer'), legal_name) / greatest(length(replace(s_name, 'Supplier', 'Customer')), length(legal_name)) + CASE WHEN n_name = domicile THEN 0.1 ELSE 0.0 END), 4) AS score,
 CASE WHEN score >= 0.9 THEN 'high_confidence_review' WHEN score >= 0.75 THEN 'medium_confidence_review' ELSE 'rejected_weak_match' END AS status
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customers c ON right(s_name, 3) = right(legal_name, 3)""")
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customers c ON {_BLOCK.format('s_name')} = {_BLOCK.format('legal_name')}""")
 def resolution_score(spark, d):
-    block = lambda c: F.substring(c, -3, 3).alias("block")
     firms = domain.table(spark, d, "supplier").join(domain.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    firms = firms.select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"), F.col("n_name").alias("place"), block("s_name"))
-    known = domain.customers(spark, d).select("customer_id", F.col("legal_name").alias("known_name"), F.col("domicile").alias("known_place"), block("legal_name"))
+    firms = firms.select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"), F.col("n_name").alias("place"), bank.name_block(F.col("s_name")).alias("block"))
+    known = domain.customers(spark, d).select("customer_id", F.col("legal_name").alias("known_name"), F.col("domicile").alias("known_place"), bank.name_block(F.col("legal_name")).alias("block"))
     return bank.resolution_scores(firms, known).select("s_suppkey", "customer_id", "score", "status")
 
 
-@query("watchlist_screen", """, w AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 25 = 4)
-SELECT customer_id, s_name AS entry, 'exact' AS reason, count(*) AS payments FROM recent JOIN w ON counterparty = s_name GROUP BY 1, 2""")
+@query("watchlist_screen", f""", w AS (SELECT s_name AS entry, CASE WHEN s_acctbal < 0 THEN 'sanctions' ELSE 'exposed' END AS list_name, unnest([{{'known': s_name, 'kind': 'exact'}}, {{'known': replace(s_name, 'Supplier', 'The Customer') || ' Ltd', 'kind': 'alias'}}]) AS s FROM supplier WHERE s_suppkey % 25 = 4),
+listed AS (SELECT DISTINCT entry, list_name, s.kind AS kind, {_NORM.format('s.known')} AS known_key, {_BLOCK.format('s.known')} AS block FROM w),
+parties AS (SELECT customer_id, 'customer' AS party, legal_name AS name, 0 AS payments FROM customers UNION ALL SELECT customer_id, 'counterparty', counterparty, count(*) FROM recent GROUP BY customer_id, counterparty),
+keyed AS (SELECT *, {_NORM.format('name')} AS party_key, {_BLOCK.format('name')} AS block FROM parties),
+found AS (SELECT k.*, entry, list_name, CASE WHEN party_key = known_key THEN kind ELSE 'near' END AS reason, CASE WHEN party_key = known_key THEN CASE kind WHEN 'exact' THEN 1.0 ELSE 0.95 END ELSE round(1 - levenshtein(party_key, known_key) / greatest(length(party_key), length(known_key)), 4) END::DOUBLE AS score FROM keyed k JOIN listed USING (block))
+SELECT customer_id, party, payments, entry, list_name, reason, score FROM found WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY customer_id, party, name, entry, list_name ORDER BY score DESC, reason DESC) = 1""")
 def watchlist_screen(spark, d):
-    entries = domain.table(spark, d, "supplier").where("s_suppkey % 25 = 4").select(F.col("s_name").alias("entry"))
-    return _recent(spark, d).join(F.broadcast(entries), F.col("counterparty") == F.col("entry")).groupBy("customer_id", "entry").agg(F.lit("exact").alias("reason"), F.count("*").alias("payments"))
+    """Customers' own names and the parties they paid or were paid by, against entries of two lists, each with an alias."""
+    listed = F.when(F.col("s_acctbal") < 0, "sanctions").otherwise("exposed")
+    alias = F.concat(F.replace("s_name", F.lit("Supplier"), F.lit("The Customer")), F.lit(" Ltd"))
+    entries = domain.table(spark, d, "supplier").where("s_suppkey % 25 = 4").select(F.col("s_name").alias("entry"), listed.alias("list_name"), F.array(alias).alias("aliases"))
+    own = domain.customers(spark, d).select("customer_id", F.lit("customer").alias("party"), F.col("legal_name").alias("name"), F.lit(0).cast("long").alias("payments"))
+    others = _recent(spark, d).groupBy("customer_id", F.lit("counterparty").alias("party"), F.col("counterparty").alias("name")).agg(F.count("*").alias("payments"))
+    return bank.screen_names(own.unionByName(others), entries).drop("name")
 
 
 # ---------------------------------------------------------------- transfers
@@ -196,10 +208,16 @@ def chain_privacy_asset(spark, d):
     return _transfers(spark, d).where(F.col("asset").isin("Brand#1", "Brand#7", "Brand#13")).groupBy("asset").agg(F.count("*").alias("transfers"), F.count_distinct("sender").alias("senders"))
 
 
-@query("chain_contract_abuse", _TRANSFERS + """, b AS (SELECT sender, receiver, CAST(ts AS DATE) AS window_start, count(*) OVER (PARTITION BY sender, receiver ORDER BY CAST(ts AS DATE) RANGE BETWEEN CURRENT ROW AND INTERVAL 364 DAYS FOLLOWING) AS calls FROM t)
-SELECT DISTINCT sender, receiver, window_start, calls FROM b WHERE calls >= 2""")
+@query("chain_contract_abuse", _TRANSFERS + """, b AS (SELECT sender, receiver, CAST(ts AS DATE) AS window_start, count(*) OVER (PARTITION BY sender, receiver ORDER BY CAST(ts AS DATE) RANGE BETWEEN CURRENT ROW AND INTERVAL 364 DAYS FOLLOWING) AS calls FROM t),
+f AS (SELECT transaction_id, customer_id AS sender, 1000000 + counterparty_id AS receiver, CAST(booked_on AS DATE) AS day, CAST(amount AS DOUBLE) AS amount, direction FROM txns)
+SELECT DISTINCT 'repeated_calls' AS pattern, sender, receiver, window_start, calls FROM b WHERE calls >= 2
+UNION ALL SELECT 'borrow_repay', i.sender, i.receiver, i.day, count(*) FROM f i JOIN f o ON i.sender = o.sender AND i.receiver = o.receiver AND i.direction = 'in' AND o.direction = 'out'
+AND date_diff('day', i.day, o.day) BETWEEN 0 AND 365 AND abs(o.amount - i.amount) <= i.amount * 0.25 GROUP BY i.sender, i.receiver, i.day""")
 def chain_contract_abuse(spark, d):
-    return chain.repeated_calls(_transfers(spark, d), 365, 2)
+    calls = chain.repeated_calls(_transfers(spark, d), 365, 2).withColumn("pattern", F.lit("repeated_calls"))
+    flow = _txns(spark, d).select(F.col("booked_on").alias("ts"), F.col("customer_id").alias("sender"), (F.lit(1_000_000) + F.col("counterparty_id")).alias("receiver"), F.col("amount").cast("double").alias("amount"), "direction")
+    loans = chain.repaid_loans(flow.where("direction = 'in'"), flow.where("direction = 'out'"), 365, 0.25)
+    return calls.unionByName(loans.withColumnRenamed("repayments", "calls").withColumn("pattern", F.lit("borrow_repay")))
 
 
 @query("chain_high_risk_link", _TRANSFERS + """, l AS (SELECT 1000000 + s_suppkey AS a FROM supplier WHERE s_suppkey % 40 = 1),
@@ -212,5 +230,5 @@ def chain_high_risk_link(spark, d):
 
 @query("chain_flash_loan", _TRANSFERS + "SELECT sender, receiver, CAST(amount AS DOUBLE) AS amount, ts FROM t WHERE amount > 95000 AND receiver % 3 = 0")
 def chain_flash_loan(spark, d):
-    big = _transfers(spark, d).where("amount > 95000").join(F.broadcast(_listed(spark, d, "(s_suppkey + 1000000) % 3 = 0").withColumnRenamed("address", "receiver")), "receiver", "left_semi")
+    big = _transfers(spark, d).where("amount > 95000").join(_listed(spark, d, "(s_suppkey + 1000000) % 3 = 0").withColumnRenamed("address", "receiver"), "receiver", "left_semi")
     return big.select("sender", "receiver", F.col("amount").cast("double").alias("amount"), "ts")

@@ -86,7 +86,7 @@ classified AS (SELECT *, qualifies AND len(r0) = 0 AS material, CASE WHEN len(r0
 POLICIES = """, policies AS (SELECT n_name AS rm_id, list(c_custkey) AS watchlist, 60 + 10 * (max(n_nationkey) % 8) AS minimum_material_score, 0.6 + 0.05 * (max(n_nationkey) % 4) AS minimum_confidence,
   CASE WHEN max(n_nationkey) % 3 = 0 THEN ['risk', 'mixed'] ELSE ['risk', 'mixed', 'opportunity', 'ownership_control'] END AS categories, CASE WHEN max(n_nationkey) % 5 = 0 THEN ['critical', 'high'] ELSE ['critical', 'high', 'medium'] END AS severities
   FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
-pe AS (SELECT p.*, s.*, list_filter([CASE WHEN NOT in_window THEN 'outside_refresh_window' END, CASE WHEN confidence < minimum_confidence THEN 'below_minimum_confidence' END, CASE WHEN material_score < minimum_material_score THEN 'below_minimum_material_score' END,
+pe AS (SELECT p.*, s.*, list_filter([CASE WHEN NOT in_window THEN 'outside_refresh_window' END, CASE WHEN NOT EXISTS (SELECT 1 FROM ex WHERE ex.alert_id = s.alert_id AND ex.source_url <> '') THEN 'missing_source_url' END, CASE WHEN confidence < minimum_confidence THEN 'below_minimum_confidence' END, CASE WHEN material_score < minimum_material_score THEN 'below_minimum_material_score' END,
   CASE WHEN NOT list_contains(categories, category) THEN 'category_disabled' END, CASE WHEN NOT list_contains(severities, severity) THEN 'severity_disabled' END], lambda x: x IS NOT NULL) AS failures
   FROM (SELECT * EXCLUDE (watchlist), unnest(watchlist) AS customer_id FROM policies) p JOIN scored s USING (customer_id)),
 pr AS (SELECT *, CASE WHEN len(failures) = 0 THEN row_number() OVER (PARTITION BY rm_id, len(failures) = 0 ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, material_score DESC, confidence DESC, alert_id) END AS policy_rank FROM pe)

@@ -179,11 +179,16 @@ def ws_timeline(spark, d):
     return a.unionByName(e)
 
 
-@query("ws_timeline_window", "SELECT user_id, event_id FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 7 DAYS")
+_RANGES = {"1d": "1 day", "1w": "7 days", "1m": "1 month", "3m": "3 months", "1y": "1 year"}
+
+
+@query("ws_timeline_window", ", last AS (SELECT least(max(ts), TIMESTAMP '2024-02-01') AS until FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS span, user_id, event_id FROM ev, last WHERE ts >= until - INTERVAL {w} AND ts <= until" for n, w in _RANGES.items()))
 def ws_timeline_window(spark, d):
+    """The events of each range that ends now (a fixed clock), or at the latest event if that is older."""
     e = domain.events(spark, d)
-    end = e.agg(F.max("ts").alias("end"))
-    return e.crossJoin(F.broadcast(end)).where(F.col("ts") >= F.col("end") - F.expr("interval 7 days")).select("user_id", "event_id")
+    end = e.agg(F.least(F.max("ts"), F.lit("2024-02-01").cast(e.schema["ts"].dataType)).alias("end"))
+    held = F.array_compact(F.array(*[F.when(F.col("ts") >= F.col("end") - F.expr(f"interval {w}"), n) for n, w in _RANGES.items()]))
+    return e.join(end, F.col("ts") <= F.col("end")).select(F.explode(held).alias("span"), "user_id", "event_id")
 
 
 @query("ws_footprint", CLASSIFIED + """, p AS (SELECT customer_id, domicile AS place, 1 AS r, 'domicile' AS kind FROM customers UNION ALL SELECT customer_id, region, 2, 'known' FROM customers

@@ -186,3 +186,61 @@ def test_dates_are_read_from_texts(spark, tmp_path):
     assert {r.doc_id: r.day for r in plans.QUERIES["date_normalize"](spark, str(tmp_path)).collect() if r.day} == dict.fromkeys((1, 3, 5, 6), "2022-03-04")
     day, hour = datetime.datetime(2022, 3, 4), datetime.datetime(2022, 3, 4, 5, 6, 7)
     assert {r.document_id: r.seen for r in plans.QUERIES["date_multi_format"](spark, str(tmp_path)).collect() if r.seen} == {0: hour, 1: day, 2: day, 3: hour}
+
+
+def test_clusters_count_each_customer_once(spark):
+    import itertools
+    import random
+
+    from driftspark.operators.bank import linked_clusters
+
+    rng = random.Random(5)
+    start = datetime.date(2024, 1, 1)
+    rows = [(rng.randrange(3), rng.randrange(6), start + datetime.timedelta(rng.randrange(40))) for _ in range(60)]
+    got = {(r.counterparty_id, r.booked_on): r.customers for r in linked_clusters(spark.createDataFrame(rows, "counterparty_id int, customer_id int, booked_on date"), 2, 3).collect()}
+    want = {}
+    for party, day in {(p, d) for p, _, d in rows}:
+        near = {c for p, c, d in rows if p == party and abs((d - day).days) <= 2}
+        if len(near) >= 3:
+            want[party, day] = len(near)
+    assert got == want and want
+    assert all(a != b for a, b in itertools.combinations(got, 2))
+
+
+def test_names_are_screened_by_alias_and_likeness(spark):
+    from driftspark.operators.bank import screen_names
+
+    parties = spark.createDataFrame([(1, "ACME Trading, Ltd."), (2, "Northwind Traders"), (3, "Acme Tradingg"), (4, "Other Firm"), (5, None), (6, "Ltd"), (7, "Acme Trade"), (8, "Akme Trading")], "id int, name string")
+    entries = spark.createDataFrame([("Acme Trading", "sanctions", ["North-Wind Traders", "Northwind Traders Inc"]), ("Firmament", "exposed", None)], "entry string, list_name string, aliases array<string>")
+    got = {(r.id, r.entry): (r.list_name, r.reason, r.score) for r in screen_names(parties, entries).collect()}
+    assert got == {(1, "Acme Trading"): ("sanctions", "exact", 1.0), (2, "Acme Trading"): ("sanctions", "alias", 0.95), (8, "Acme Trading"): ("sanctions", "near", 0.9167)}
+
+
+def test_loans_repaid_across_buckets(spark):
+    import random
+
+    from driftspark.operators.chain import repaid_loans
+
+    rng = random.Random(3)
+    start = datetime.date(1970, 1, 20)
+    make = lambda n: [(1, rng.randrange(2), start + datetime.timedelta(rng.randrange(60)), float(rng.choice([0, 75, 80, 99, 100, 101, 124, 125, 200]))) for _ in range(n)]
+    ins, outs = make(60), make(60)
+    frame = lambda rows: spark.createDataFrame(rows, "sender int, receiver int, ts date, amount double")
+    got = {(r.receiver, r.window_start): r.repayments for r in repaid_loans(frame(ins), frame(outs), 10, 0.25).collect()}
+    want = {}
+    for _, party, day, lent in ins:
+        n = sum(p == party and 0 <= (d - day).days <= 10 and lent > 0 and back > 0 and abs(back - lent) <= lent * 0.25 for _, p, d, back in outs)
+        if n:
+            want[party, day] = want.get((party, day), 0) + n
+    assert got == want and want
+
+
+def test_policies_ask_for_a_source(spark, monkeypatch):
+    from driftspark.operators.evidence import evaluate_policies
+
+    cited = "evidence array<struct<source_url:string>>"
+    scored = spark.createDataFrame([("a", 1, True, 0.9, 90, "risk", "high", "t", [("u",)]), ("b", 1, True, 0.9, 90, "risk", "high", "t", [(None,), ("",)]), ("c", 1, True, 0.9, 80, "risk", "high", "t", None)], f"alert_id string, customer_id int, in_window boolean, confidence double, material_score int, category string, severity string, signal_type string, {cited}")
+    policies = spark.createDataFrame([("m", 50, 0.5, ["risk"], ["high"], [])], "rm_id string, minimum_material_score int, minimum_confidence double, categories array<string>, severities array<string>, signal_types array<string>")
+    watched = spark.createDataFrame([("m", 1)], "rm_id string, customer_id int")
+    got = {r.alert_id: (r.failures, r.policy_rank) for r in evaluate_policies(scored, policies, watched).collect()}
+    assert got == {"a": ([], 1), "b": (["missing_source_url"], None), "c": (["missing_source_url"], None)}
