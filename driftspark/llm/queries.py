@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, sharding, token_counts, toxicity
+from driftspark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, quality_rules, sharding, token_counts, toxicity
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,8 +15,9 @@ _QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sharding": sharding.op10_sharding,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
-_SQL = {"op9_license_scan": license_scan.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
+_SQL = {"op9_license_scan": license_scan.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op11_quality_rules": quality_rules.SQL}
 
 
 def queries() -> dict:
