@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftspark.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, mixing, near_dedup, quality_rules, sharding, token_counts, toxicity
+from driftspark.llm import decontamination, embedding_dedup, hard_negatives, language_id, license_scan, lm_scoring, mixing, near_dedup, quality_rules, sharding, token_alignment, token_counts, toxicity
 
 _QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,8 +16,10 @@ _QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sharding": sharding.op10_sharding,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
-_SQL = {"op9_license_scan": license_scan.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op11_quality_rules": quality_rules.SQL}
+_SQL = {"op9_license_scan": license_scan.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op4_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op11_quality_rules": quality_rules.SQL, "op13_hard_negatives": hard_negatives.SQL}
 
 
 def queries() -> dict:
