@@ -16,10 +16,10 @@ import hashlib
 import json
 import re
 import uuid
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,9 @@ CHUNK, IDS_KEPT = 4 << 20, 1 << 21
 
 #: Where no token of either kind reaches across: before a blank between two printable ASCII characters other than blanks.
 _SEGMENT = re.compile(r"(?<=[!-~])(?= [!-~])")
+_PLAIN = re.compile(r"(?s) [!-~](?:.*[!-~])?")
+#: Segments encoded at once, joined.
+LOT = 1024
 
 
 class Side:
@@ -70,6 +73,18 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+class _Numbers(dict):
+    """Numbers segments in the order they are asked for; ``new`` holds those not encoded yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = n = len(self)
+        self.new.append(segment)
+        return n
+
+
 class Encoder:
     """Texts to the ids of both sides, each distinct segment encoded once while it is remembered."""
 
@@ -79,50 +94,75 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.spelt = array("b")
-        self.ids, self.starts = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
-
-    def _learn(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            want = [p.encode() for p in some]
-            fine = np.ones(len(some), bool)
-            for side, ids, starts in zip(self.sides, self.ids, self.starts, strict=True):
-                for n, found in enumerate(side.encode(some)):
-                    ids.extend(found)
-                    starts.append(len(ids))
-                    fine[n] &= b"".join(map(side.bytes.__getitem__, found)) == want[n]
-            self.spelt.extend(fine.tolist())
+        self.numbers = _Numbers()
+        # segments in the order they were encoded: ids of either side and where each segment's begin; what place a numbered segment has
+        self.ids, self.starts = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+        self.spelt = np.zeros(0, bool)
+
+    def _learn(self) -> None:
+        """Encode the new segments: those that begin and end where texts may be cut, joined; others on their own."""
+        new, self.numbers.new = self.numbers.new, []
+        plain = np.array([self.segments and bool(_PLAIN.fullmatch(p)) for p in new], bool)
+        joined = [new[i] for i in np.flatnonzero(plain)]
+        alone = [new[i] for i in np.flatnonzero(~plain)]
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        lots = [joined[i : i + LOT] for i in range(0, len(joined), LOT)]
+        kept = dict(zip(map("".join, lots), self._read(list(map("".join, lots))), strict=True))
+        # a lot that isn't spelt holds a segment that isn't: its segments are encoded one by one
+        lots = [x for lot in lots for x in ([lot] if kept["".join(lot)][2] else [[p] for p in lot])] + [[p] for p in alone]
+        texts = ["".join(lot) for lot in lots]
+        rest = [t for t in texts if t not in kept]
+        kept |= dict(zip(rest, self._read(rest), strict=True))
+        spelt = np.concatenate([np.full(len(lot), kept[t][2]) for lot, t in zip(lots, texts, strict=True)])
+        for k, side in enumerate(self.sides):
+            sizes = []
+            for lot, text in zip(lots, texts, strict=True):
+                ids = kept[text][k]
+                ends = np.cumsum(np.fromiter((len(p.encode()) for p in lot), np.int64, len(lot)))
+                sizes.append(np.diff(np.searchsorted(np.cumsum(side.length[ids]), ends, "left") + 1, prepend=0) if kept[text][2] else np.zeros(len(lot), np.int64))
+            ids, size = np.concatenate([kept[t][k] for t in texts]), np.concatenate(sizes)
+            first = np.cumsum(size) - size
+            ids = ids[_runs(first[order], size[order])]
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(size[order])])
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+        self.spelt = np.concatenate([self.spelt, spelt[order]])
+
+    def _read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """The ids of both sides for each text and whether both spell it; none where they don't."""
+        want, none = [t.encode() for t in texts], np.zeros(0, np.int32)
+        both = [[np.array(ids, np.int32) for ids in side.encode(texts)] for side in self.sides]
+        fine = [all(b"".join(map(s.bytes.__getitem__, ids[n].tolist())) == w for s, ids in zip(self.sides, both, strict=True)) for n, w in enumerate(want)]
+        return [(both[0][n], both[1][n], True) if f else (none, none, False) for n, f in enumerate(fine)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each side: ids of all texts in turn, and where each text's begin. A text that a side's tokens don't spell has none on either side."""
         if sum(map(len, self.ids)) > IDS_KEPT:
             self._clear()
-        of: list[int] = []
-        count = []
+        number, of, count = self.numbers.__getitem__, [], []
         for text in texts:
             parts = (_SEGMENT.split(" " + text) if self.segments else [" " + text]) if text else []
-            new = [p for p in dict.fromkeys(parts) if p not in self.at]
-            if new:
-                self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-                self._learn(new)
-            of += map(self.at.__getitem__, parts)
+            of += map(number, parts)
             count.append(len(parts))
-        places, first = np.array(of, np.int64), np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        spelt = np.concatenate([[0], np.cumsum(np.frombuffer(self.spelt, np.int8)[places] == 0 if len(places) else [])])[first]
-        places = places[np.repeat(np.diff(spelt) == 0, count)]
-        first = np.concatenate([[0], np.cumsum(np.where(np.diff(spelt) == 0, count, 0))]).astype(np.int64)
+        if self.numbers.new:
+            self._learn()
+        places, count = np.array(of, np.int64), np.array(count, np.int64)
+        wrong = np.concatenate([[0], np.cumsum(~self.spelt[places])])[np.concatenate([[0], np.cumsum(count)])]
+        fine = np.diff(wrong) == 0
+        places = places[np.repeat(fine, count)]
+        first = np.concatenate([[0], np.cumsum(np.where(fine, count, 0))])
         out = []
         for ids, starts in zip(self.ids, self.starts, strict=True):
-            begin = np.frombuffer(starts, np.int64)
-            size = begin[places + 1] - begin[places]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.arange(ends[-1]) + np.repeat(begin[places] - ends[:-1], size)
-            out.append((np.frombuffer(ids, np.int32)[at] if len(at) else np.zeros(0, np.int32), ends[first]))
+            size = starts[places + 1] - starts[places]
+            out.append((ids[_runs(starts[places], size)], np.concatenate([[0], np.cumsum(size)])[first]))
         return out
 
 
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all runs that begin at first, in turn."""
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(first - before, size)
+
+
 def divide(ea: np.ndarray, eb: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Where groups begin among the A tokens, sorted. ea, eb: ascending ends of the tokens; lo, hi: A tokens of intervals whose borders are cuts."""
     leaves = [np.zeros(0, np.int64)]
@@ -151,7 +191,8 @@ def divide(ea: np.ndarray, eb: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np
             todo, inner, radius = todo[more], radius + 1, 2 * radius + 1
         leaves.append(lo[cut < 0])
         at = cut >= 0
-        lo, hi = np.concatenate([lo[at], cut[at] + 1]), np.concatenate([cut[at] + 1, hi[at]])
+        # halves stay in the order of the text: ascending ends are looked for faster
+        lo, hi = np.stack([lo[at], cut[at] + 1], axis=1).ravel(), np.stack([cut[at] + 1, hi[at]], axis=1).ravel()
     return np.sort(np.concatenate(leaves))
 
 
@@ -172,12 +213,11 @@ class Writer:
     """Groups as text: ids of A, a bar, ids of B, groups apart by semicolons."""
 
     def __init__(self, most: int):
-        self.words = [f"{i}{mark}" for mark in ",|;" for i in range(most)]
+        self.words = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], pa.large_string())
         self.most = most
 
     def write(self, x: dict) -> list[str]:
         na, nb = len(x["a"]), len(x["b"])
-        groups = len(x["first_a"])
         size_a, size_b = np.diff(np.append(x["first_a"], na)), np.diff(np.append(x["first_b"], nb))
         ends = np.cumsum(size_a + size_b)
         at_a = np.arange(na) + np.repeat(x["first_b"], size_a)
@@ -186,9 +226,9 @@ class Writer:
         key[at_a], key[at_b] = x["a"], x["b"]
         key[ends - 1] += 2 * self.most
         key[at_a[x["first_a"] + size_a - 1]] += self.most
-        words = list(map(self.words.__getitem__, key.tolist()))
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(x["n_groups"])])] if groups else np.zeros(len(x["n_groups"]) + 1, np.int64)
-        return ["".join(words[lo:hi])[:-1] for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(x["n_groups"])])]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cut), self.words.take(pa.array(key))), pa.scalar("", pa.large_string()))
+        return [g[:-1] for g in joined.to_pylist()]
 
 
 _FIELDS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64())]
