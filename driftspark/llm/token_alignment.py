@@ -298,9 +298,9 @@ def align(docs: DataFrame, a: str | bytes, b: str | bytes, digest: bool = False)
     slots = aligned.where("pair_a is not null").select("chunk", F.posexplode(F.arrays_zip("pair_a", "pair_b", "pair_n")).alias("slot", "p")).select("chunk", "slot", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_n").alias("m"))
     counts = slots.groupBy("a", "b").agg(F.sum("m").alias("n"))
     pairs = store(counts.withColumn("best", F.col("n") == F.expr("max(n) over (partition by b)")), "alignment-pairs")
-    known = slots.join(pairs, ["a", "b"]).select("chunk", "slot", "n", F.col("best").cast("int").alias("best"))
+    known = slots.join(pairs, ["a", "b"]).select(F.col("chunk").alias("of"), "slot", "n", F.col("best").cast("int").alias("best"))
     texts = aligned.where("pair_a is null").select("chunk", "row", "n_a", "n_b", "n_groups", "groups", "links")
-    done = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, f"row {kind}, n_a long, n_b long, n_groups long, groups string, n_links long, n_best long, count_sum long")
+    done = texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_summed, f"row {kind}, n_a long, n_b long, n_groups long, groups string, n_links long, n_best long, count_sum long")
     return done, pairs
 
 
