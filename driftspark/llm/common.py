@@ -33,8 +33,11 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine alone."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (told or _FALLBACK).rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -177,25 +177,25 @@ def _inputs_of(texts: list[bytes]):
 def train(sample: list[tuple[list[bytes], int]], seed: int = 5) -> dict:
     """Network from (windows of a text, label) rows, a text's strongest window first; each window is at most WINDOW words.
 
-    A label marks a document, not a window. The first windows to learn as positive are the strongest ones; later epochs
-    take the window the network scores highest. ``calibrate`` turns logits into probabilities.
+    A label marks a document, not a window. The windows to learn as positive are the strongest ones, until the network takes another
+    window of the text for toxic and not that one. Negatives are windows drawn from all of the clean texts, and the highest of some. ``calibrate`` turns logits into probabilities.
     """
     net = new_network(seed)
     y = np.array([label for _, label in sample], np.float32)
     rate = float(y.mean()) if len(y) else 0.0
     if not len(y) or rate in (0.0, 1.0):
-        return {"net": net, "scale": 0.0, "shift": float(np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5)))}
+        return {"net": net, "scale": 0.0, "rate": rate, "shift": float(np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5)))}
     rng = np.random.default_rng(seed)
     (word, tri, cut), start, end, codes = _inputs_of([w for ws, _ in sample for w in ws])
     n_docs = len(y)
     of = np.concatenate([[0], np.cumsum([len(ws) for ws, _ in sample])])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.items()}
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    clean_windows = np.flatnonzero(np.repeat(y == 0, np.diff(of)))
     best = of[:-1].copy()
     step = 0
     for epoch in range(EPOCHS):
-        some = rng.choice(clean, min(len(clean), 3 * len(toxic)), replace=False)
-        drawn = np.array([rng.integers(of[i], of[i + 1]) for i in some])
+        drawn = rng.choice(clean_windows, min(len(clean_windows), 3 * len(toxic)), replace=False)
         hard = best[rng.choice(clean, min(len(clean), len(toxic)), replace=False)]
         chosen = np.concatenate([best[toxic], drawn, hard])
         target = np.concatenate([np.ones(len(toxic)), np.zeros(len(drawn) + len(hard))]).astype(np.float32)
@@ -222,8 +222,10 @@ def train(sample: list[tuple[list[bytes], int]], seed: int = 5) -> dict:
                 net[k] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         if epoch in (3, 9, 15):
             logit = _all_logits(net, embed(net, word, tri, cut), codes, start, end)
-            best = np.array([of[i] + logit[of[i] : of[i + 1]].argmax() for i in range(n_docs)])
-    return {"net": net, "scale": 1.0, "shift": 0.0}
+            top = np.array([of[i] + logit[of[i] : of[i + 1]].argmax() for i in range(n_docs)])
+            # a positive leaves its window only for one that the network takes for toxic, and only if it doesn't take its own for that
+            best = np.where((y == 0) | ((logit[best] < 0) & (logit[top] > 0)), top, best)
+    return {"net": net, "scale": 1.0, "shift": 0.0, "rate": rate}
 
 
 def calibrate(top: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -245,15 +247,15 @@ def _all_logits(net: dict, x: np.ndarray, codes: np.ndarray, start: np.ndarray,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS) -> tuple[DataFrame, float]:
-    """(doc_id, text, toxic) of at most so many toxic and clean labelled texts by a hash of their id, stored; the share of toxic labels.
+    """(doc_id, text, toxic) of at most so many toxic and clean labelled texts by a hash of their id, stored; the share of toxic ones among all labelled texts.
 
     Labels other than 0 and 1, null ids and texts are left out. An id with unlike labels is toxic; of unlike texts of an id the
     one of the smallest SHA-256 counts.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0]
     texts = docs.where("text is not null").select("doc_id", "text")
     present = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    share = present.agg(F.avg("toxic")).first()[0]
     first = lambda value, n: present.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = store(first(1, toxic).unionByName(first(0, clean)), "picked")
     joined = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"), F.max("toxic").cast("int").alias("toxic"))
@@ -301,7 +303,7 @@ def _chosen(words: np.ndarray, odds: np.ndarray):
 
 
 def fit(sample: DataFrame, share: float | None = None) -> dict:
-    """Model from sample(doc_id, text, toxic), of a bounded number of rows. share: of toxic rows among all; by default that of the sample."""
+    """Model from sample(doc_id, text, toxic), of a bounded number of rows. The driver trains for a time that the sample's size sets, whatever the input's. share: of toxic rows among all; by default that of the sample."""
     spark, kind = sample.sparkSession, sample.schema["doc_id"].dataType.simpleString()
     n, positive = sample.agg(F.count("*"), F.sum("toxic")).first()
     rate = (positive or 0) / max(1, n)
@@ -316,6 +318,7 @@ def fit(sample: DataFrame, share: float | None = None) -> dict:
         logits = score(sample, model).select("logit", "row.toxic").toArrow()
         y = logits.column("toxic").to_numpy().astype(np.float64)
         model["scale"], model["shift"] = calibrate(logits.column("logit").to_numpy(), y, float(y.mean()) if share is None else share)
+        model["rate"] = float(y.mean()) if share is None else share
     return model
 
 
@@ -338,6 +341,8 @@ def _score(shared):
                 start, end, of = windows(bounds(rows, hi - lo))
                 top = np.maximum.reduceat(_all_logits(net, x, codes, start, end), of[:-1]).astype(np.float64)
                 p = 1 / (1 + np.exp(-np.clip(model["scale"] * top + model["shift"], -30, 30)))
+                if model["scale"]:
+                    p[np.bincount(rows, minlength=hi - lo) == 0] = model["rate"]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(p), pa.array(np.diff(of)), pa.array(top)], names=["row", "score", "n_windows", "logit"])
 
     return run
@@ -346,7 +351,7 @@ def _score(shared):
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """row (a struct of the columns of docs but text), score (0 to 1), n_windows and logit (before calibration) of each whole text.
 
-    Null and empty texts have one window without words, whose score is the bias alone. Repeated rows each get a row.
+    A null or empty text, or one without words, has one window without words, of which nothing is known: its score is the rate of toxic labels. Repeated rows each get a row.
     Without labelled rows of both classes every text gets the labels' smoothed rate. The broadcast model has a fixed size.
     """
     rest = [c for c in docs.columns if c != "text"]
@@ -356,6 +361,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents; learned from the labelled rows whose crc32 remainder by 4 isn't 2. Columns as the contract names them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     model = fit(*labelled_sample(docs.where("not held_out"), labels))
