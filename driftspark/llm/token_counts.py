@@ -127,7 +127,8 @@ def count_tokens(docs: DataFrame, definition: str | bytes, cache_path: str) -> D
     digest = F.unhex(F.sha2(normalised(F.col("text"), drops_white_space(definition)), 256))
     known = lambda: read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     contents = docs.select(digest.alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    misses = contents.join(known().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    # distinct first, which begins in the tasks that read: copies of a content never meet in one task
+    misses = contents.groupBy("digest").agg(F.first("text").alias("text")).join(known().select("digest"), "digest", "left_anti")
     new = misses.mapInArrow(_encode(definition), "digest binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.parquet(f"{cache_path}/{uuid.uuid4().hex}")
     rest = [c for c in docs.columns if c != "text"]
