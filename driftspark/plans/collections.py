@@ -288,14 +288,6 @@ def play_business_pivot(spark, d):
     return found.join(c.select("customer_id"), "customer_id", "left_semi").join(c.select("customer_id", F.col("segment").alias("area")), ["customer_id", "area"], "left_anti").distinct()
 
 
-_NONE = {"fact_new_subsidiary": ("new_subsidiary", "cherver", "Cher AG; Ver AG"), "fact_digital_asset": ("digital_asset_activity", "tionou", "Bitcoin custody"), "fact_treasury_policy": ("treasury_policy_change", "mentpa", "Bitcoin treasury"), "fact_domain_registration": ("domain_registration", "ciónes", "country domain")}
-for _name, (_kind, _word, _object) in _NONE.items():
-
-    @query(_name, f"SELECT document_id, '{_object}' AS object FROM evidence WHERE contains(lower(concat_ws(' ', title, raw_text)), '{_word}')")
-    def _fact(spark, d, kind=_kind, word=_word, obj=_object):
-        return ev.rule_facts(domain.evidence(spark, d), [(kind, 1, [word], [], obj, "x", None, 0, 0, 0)]).select("document_id", "object")
-
-
 @query("analysis_candidates", "SELECT doc_id AS document_id, concat('analysis-', doc_id) AS analysis_id FROM documents WHERE doc_id % 10 NOT IN (1, 9)")
 def analysis_candidates(spark, d):
     from driftspark.plans.profiles import _checked

@@ -149,27 +149,6 @@ def notifications(spark, d):
     return ev.upsert_notifications(state, run)
 
 
-_FACT_OUT = "SELECT document_id, customer_id, fact_type, object, CAST(confidence AS DOUBLE) AS confidence FROM facts"
-for _kind in dict.fromkeys(r[0] for r in rules.FACT_RULES):
-    _name = {"digital_asset_activity": "digital_asset", "treasury_policy_change": "treasury_policy", "business_activity_change": "business_activity"}.get(_kind, _kind)
-
-    @query(f"fact_{_name}", FACTS + f"{_FACT_OUT} WHERE fact_type = {_q(_kind)}")
-    def _one(spark, d, kind=_kind):
-        only = [r for r in rules.FACT_RULES if r[0] == kind]
-        return ev.rule_facts(domain.evidence(spark, d), only).select("document_id", "customer_id", "fact_type", "object", F.col("confidence").cast("double").alias("confidence"))
-
-
-@query("fact_confidence", FACTS + "SELECT source_quality, fact_type, count(*) AS facts, CAST(min(confidence) AS DOUBLE) AS least, CAST(max(confidence) AS DOUBLE) AS most FROM facts GROUP BY 1, 2")
-def fact_confidence(spark, d):
-    return facts(spark, d).groupBy("source_quality", "fact_type").agg(F.count("*").alias("facts"), F.min("confidence").cast("double").alias("least"), F.max("confidence").cast("double").alias("most"))
-
-
-@query("fact_low_confidence_skip", FACTS + "SELECT count(*) AS facts, count(*) FILTER (confidence < 0.45) AS dropped, count(*) FILTER (confidence >= 0.45) AS kept FROM facts")
-def fact_low_confidence_skip(spark, d):
-    low = F.col("confidence") < 0.45
-    return facts(spark, d).agg(F.count("*").alias("facts"), F.count_if(low).alias("dropped"), F.count_if(~low).alias("kept"))
-
-
 @query("fact_expected_gate", FACTS + """, x AS (SELECT document_id, unnest(CASE document_id % 3 WHEN 0 THEN ['regulatory_scrutiny', 'jurisdiction_expansion'] WHEN 1 THEN ['new_product', 'commercial_expansion'] ELSE ['risk_rating_review'] END) AS t FROM evidence)
 SELECT document_id, fact_type, object FROM facts WHERE (document_id, fact_type) IN (SELECT (document_id, CASE t WHEN 'jurisdiction_expansion' THEN 'new_jurisdiction' WHEN 'commercial_expansion' THEN 'commercial_opportunity' ELSE t END) FROM x)""")
 def fact_expected_gate(spark, d):
@@ -189,13 +168,6 @@ def fact_model_precedence(spark, d):
     return ev.model_precedence(model, every)
 
 
-@query("fact_ids", FACTS + "SELECT document_id, fact_id, row_number() OVER (PARTITION BY document_id ORDER BY fact_type) AS nth FROM facts")
-def fact_ids(spark, d):
-    from pyspark.sql import Window
-
-    return facts(spark, d).select("document_id", "fact_id", F.row_number().over(Window.partitionBy("document_id").orderBy("fact_type")).alias("nth"))
-
-
 @query("drift_field_values", DRIFT + "SELECT fact_id, field, array_to_string(candidates, '|') AS candidates FROM each")
 def drift_field_values(spark, d):
     known = domain.customers(spark, d).select("customer_id")

@@ -31,7 +31,7 @@ evidence AS (
     concat('https://', source, '.example.com/', doc_id) AS source_url,
     CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN strftime(DATE '2023-03-01' + CAST(doc_id % 400 AS INT), '%Y-%m-%d')
       ELSE strftime(DATE '2023-03-01' + CAST(doc_id % 400 AS INT), '%Y-%m-%d') || 'T12:00:00Z' END AS published_at,
-    '2024-01-31T18:00:00Z' AS collected_at, lang AS language, substr(split_part(text, chr(10), 1), 1, 180) AS title, text AS raw_text
+    '2024-01-31T18:00:00Z' AS collected_at, lang AS language, substr(split_part(text, chr(10), 1), 1, 180) AS title, substr(split_part(text, chr(10), 2), 1, 300) AS evidence_excerpt, text AS raw_text
   FROM documents),
 ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 """

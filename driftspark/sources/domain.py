@@ -103,6 +103,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("2024-01-31T18:00:00Z").alias("collected_at"),
             F.col("lang").alias("language"),
             F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 180).alias("title"),
+            F.substring(F.split_part("text", F.lit("\n"), F.lit(2)), 1, 300).alias("evidence_excerpt"),
             F.col("text").alias("raw_text"),
         )
     )
