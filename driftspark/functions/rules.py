@@ -123,3 +123,51 @@ FACT_RULES = [
     ("business_activity_change", 1, [" | "], [], "MACHINERY; Table trade", "trade", None, 0, 0, 0),
     ("public_listing", 1, ["cc by-nc"], [], "Listed entity", "listing", None, 0, 0, 1),
 ]
+
+# Other names of signal types and of profile fields in a model's answers, and the severities it may name.
+SIGNAL_TYPE_ALIASES = {
+    "adverse_media": "regulatory_scrutiny",
+    "negative_news": "regulatory_scrutiny",
+    "legal_risk": "regulatory_scrutiny",
+    "regulatory_action": "regulatory_scrutiny",
+    "sanctions_exposure": "jurisdiction_restriction",
+    "sanctioned_country_exposure": "jurisdiction_restriction",
+    "jurisdiction_expansion": "new_jurisdiction",
+    "geographic_expansion": "new_jurisdiction",
+    "country_expansion": "new_jurisdiction",
+    "market_entry": "new_jurisdiction",
+    "new_market": "new_jurisdiction",
+    "business_model_change": "business_activity_change",
+    "business_pivot": "business_activity_change",
+    "product_launch": "new_product",
+    "new_service": "new_product",
+    "funding_round": "commercial_opportunity",
+    "commercial_expansion": "commercial_opportunity",
+    "domain_switch": "domain_registration",
+    "website_change": "business_activity_change",
+    "kyc_refresh": "risk_rating_review",
+    "risk_reclassification": "risk_rating_review",
+}
+FIELD_ALIASES = {
+    "jurisdiction": "known_jurisdictions",
+    "jurisdictions": "known_jurisdictions",
+    "countries": "known_jurisdictions",
+    "country": "known_jurisdictions",
+    "products": "known_products",
+    "product": "known_products",
+    "services": "known_products",
+    "service": "known_products",
+    "business_model": "business_area",
+    "business_activity": "business_area",
+    "activity": "business_area",
+    "risk": "risk_rating",
+    "risk_level": "risk_rating",
+    "rating": "risk_rating",
+    "legal_entities": "subsidiaries",
+    "legal_entity": "subsidiaries",
+    "entities": "subsidiaries",
+    "domain": "websites",
+    "website": "websites",
+    "entity": "entity_type",
+}
+SEVERITIES = ("low", "medium", "high", "critical")

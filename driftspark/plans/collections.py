@@ -218,29 +218,6 @@ def prompt_payload(spark, d):
     return sent.select("document_id", F.get_json_object("payload", "$.baseline.legal_name").alias("legal_name"), F.length(F.get_json_object("payload", "$.article")).cast("long").alias("chars"))
 
 
-@query("cand_evidence", "SELECT document_id, CASE WHEN document_id % 2 = 0 THEN substr(raw_text, 1, 40) ELSE title END AS quote, document_id % 2 <> 0 AS replaced FROM evidence WHERE length(trim(substr(raw_text, 1, 40))) > 5")
-def cand_evidence(spark, d):
-    e = domain.evidence(spark, d).where("length(trim(substr(raw_text, 1, 40))) > 5").withColumn("quote", F.when(F.col("document_id") % 2 == 0, F.substring("raw_text", 1, 40)).otherwise("made up by no one 123"))
-    fine = disc.grounded(F.col("quote"), F.concat_ws(" ", "title", "raw_text"))
-    return e.select("document_id", F.when(fine, F.col("quote")).otherwise(F.col("title")).alias("quote"), (~fine).alias("replaced"))
-
-
-@query("cand_effective_date", "SELECT document_id, CASE WHEN document_id % 3 = 0 AND published_at IS NOT NULL THEN substr(published_at, 1, 10) END AS day, CASE WHEN document_id % 3 = 0 AND published_at IS NOT NULL THEN 'published_at' ELSE 'none' END AS origin FROM evidence")
-def cand_effective_date(spark, d):
-    e = domain.evidence(spark, d).withColumn("said", F.when(F.col("document_id") % 3 == 0, F.substring("published_at", 1, 10)).otherwise("next week"))
-    iso = F.coalesce(F.col("said").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
-    origin = F.when(iso & (F.col("said") == F.substring("published_at", 1, 10)), "published_at").when(iso & F.contains("raw_text", F.col("said")), "text").otherwise("none")
-    return e.select("document_id", F.when(origin != "none", F.col("said")).alias("day"), origin.alias("origin"))
-
-
-@query("cand_flags", "SELECT event_id, CASE WHEN k % 3 = 0 THEN true WHEN k % 3 = 1 THEN false END AS flag FROM ev")
-def cand_flags(spark, d):
-    from driftspark.operators.model_output import truth
-
-    said = F.when(F.col("k") % 3 == 0, "Yes").when(F.col("k") % 3 == 1, "FALSE").otherwise("perhaps")
-    return domain.events(spark, d).select("event_id", truth(said).alias("flag"))
-
-
 @query("alert_provenance", ALERTS + "SELECT alert_id, fact_ids[1] AS first_fact, official FROM alerts")
 def alert_provenance(spark, d):
     return ep.alerts(spark, d).select("alert_id", F.get("fact_ids", F.lit(0)).alias("first_fact"), "official")
@@ -286,10 +263,3 @@ def play_business_pivot(spark, d):
     found = ep.facts(spark, d).where("fact_type = 'business_activity_change'").select("customer_id", F.get(tx.split_values(F.col("object")), F.lit(0)).alias("area"))
     c = domain.customers(spark, d)
     return found.join(c.select("customer_id"), "customer_id", "left_semi").join(c.select("customer_id", F.col("segment").alias("area")), ["customer_id", "area"], "left_anti").distinct()
-
-
-@query("analysis_candidates", "SELECT doc_id AS document_id, concat('analysis-', doc_id) AS analysis_id FROM documents WHERE doc_id % 10 NOT IN (1, 9)")
-def analysis_candidates(spark, d):
-    from driftspark.plans.profiles import _checked
-
-    return _checked(spark, d).select("document_id", F.concat(F.lit("analysis-"), "document_id").alias("analysis_id"))

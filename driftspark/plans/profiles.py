@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from driftspark.functions import rules
 from driftspark.functions.text import lookup
-from driftspark.operators import model_output as mo
 from driftspark.operators import profiles as pf
 from driftspark.plans import evidence as ep
 from driftspark.plans.evidence import CLASSIFIED, SCORED
@@ -131,64 +130,6 @@ def prof_identity(spark, d):
     return c.select("customer_id", F.coalesce("profile_name", "legal_name").alias("name"), F.array_join(kept, "|").alias("names"))
 
 
-# ---------------------------------------------------------------- model answers
-
-_TYPES = {t: rules.SIGNAL_FIELDS[t] for t in ("new_product", "regulatory_scrutiny", "business_activity_change")}
-
-
-def _answers(spark, d):
-    """Answers of a model over the documents, some in fences, with trailing prose, in percent, of unknown types or cut off."""
-    k = F.col("doc_id") % 10
-    kind = F.when(k < 4, "new_product").when(k < 6, "Product Launch").when(k < 8, "regulatory_scrutiny").otherwise("no idea")
-    body = F.format_string(
-        '{"relevant": "%s", "entity_match": true, "signal_candidates": [{"type": "%s", "fields": ["known_products", "other"], "severity": "%s", "confidence": "%s", "quote": "q"}]}',
-        F.when(k == 1, "no").otherwise("yes"), kind, F.when(k == 2, "severe").otherwise("HIGH"), F.when(k == 3, "85%").when(k == 4, "none").when(k == 5, "140").otherwise("0.9"),
-    )
-    raw = F.when(k == 6, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 7, F.concat(F.lit("Here: "), body, F.lit(" Done."))).when(k == 9, F.substring(body, 1, 40)).otherwise(body)
-    return domain.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), raw.alias("raw"))
-
-
-def _checked(spark, d):
-    return mo.candidates(mo.parse(_answers(spark, d)), _TYPES, {"product_launch": "new_product"})
-
-
-@query("model_json_parse", "SELECT doc_id AS document_id, doc_id % 10 <> 9 AS valid FROM documents")
-def model_json_parse(spark, d):
-    return mo.parse(_answers(spark, d)).select("document_id", "valid")
-
-
-@query("cand_signal_type", "SELECT doc_id AS document_id, CASE WHEN k < 6 THEN 'new_product' WHEN k < 8 THEN 'regulatory_scrutiny' ELSE 'business_activity_change' END AS signal_type, CASE WHEN k = 8 THEN 'unknown_type' WHEN k = 2 THEN 'unknown_severity' ELSE '' END AS warnings FROM (SELECT doc_id, doc_id % 10 AS k FROM documents) WHERE k NOT IN (1, 9)")
-def cand_signal_type(spark, d):
-    return _checked(spark, d).select("document_id", "signal_type", F.array_join("warnings", "|").alias("warnings"))
-
-
-@query("cand_fields", "SELECT doc_id AS document_id, CASE WHEN k IN (6, 7) THEN 'business_area' ELSE 'known_products' END AS fields FROM (SELECT doc_id, doc_id % 10 AS k FROM documents) WHERE k NOT IN (1, 9)")
-def cand_fields(spark, d):
-    return _checked(spark, d).select("document_id", F.array_join("fields", "|").alias("fields"))
-
-
-@query("cand_severity", "SELECT CASE WHEN doc_id % 10 = 2 THEN 'medium' ELSE 'high' END AS severity, count(*) AS candidates FROM documents WHERE doc_id % 10 NOT IN (1, 9) GROUP BY 1")
-def cand_severity(spark, d):
-    return _checked(spark, d).groupBy("severity").agg(F.count("*").alias("candidates"))
-
-
-@query("cand_confidence", "SELECT doc_id AS document_id, CASE doc_id % 10 WHEN 3 THEN 0.85 WHEN 4 THEN 0.7 WHEN 5 THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence FROM documents WHERE doc_id % 10 NOT IN (1, 9)")
-def cand_confidence(spark, d):
-    return _checked(spark, d).select("document_id", "confidence")
-
-
-@query("cand_explode", "SELECT doc_id AS document_id, 0 AS pos FROM documents WHERE doc_id % 10 NOT IN (1, 9)")
-def cand_explode(spark, d):
-    return _checked(spark, d).select("document_id", "pos")
-
-
-@query("analysis_status", "SELECT CASE WHEN doc_id % 10 = 9 THEN 'invalid_model_output' WHEN doc_id % 10 = 1 THEN 'no_signal' ELSE 'validated' END AS status, count(*) AS documents FROM documents GROUP BY 1")
-def analysis_status(spark, d):
-    parsed = mo.parse(_answers(spark, d))
-    status = F.when(~F.col("valid"), "invalid_model_output").when(F.coalesce(mo.truth(F.col("answer.relevant")), F.lit(True)), "validated").otherwise("no_signal")
-    return parsed.groupBy(status.alias("status")).agg(F.count("*").alias("documents"))
-
-
 @query("gap_report", CLASSIFIED + "SELECT signal_type, severity, material, count(*) AS alerts FROM classified GROUP BY 1, 2, 3")
 def gap_report(spark, d):
     return ep.classified(spark, d).groupBy("signal_type", "severity", "material").agg(F.count("*").alias("alerts"))
