@@ -17,7 +17,7 @@ def touching(transfers: DataFrame, listed: DataFrame) -> DataFrame:
 def structuring(transfers: DataFrame, mixers: DataFrame, below: float, days: int, least: int) -> DataFrame:
     """Senders with many small transfers to listed receivers inside a span of days, for each span that begins with one."""
     small = transfers.where(F.col("amount") < below).join(mixers.withColumnRenamed("address", "receiver"), "receiver", "left_semi")
-    return _bursts(small, ["sender"], days, least, "transfers", F.sum("amount").cast("double").alias("volume"))
+    return _bursts(small, ["sender"], days, least, "transfers", F.sum("amount").alias("volume")).withColumn("volume", F.col("volume").cast("double"))
 
 
 def _bursts(rows: DataFrame, by: list[str], days: int, least: int, count: str, *sums: Column) -> DataFrame:
@@ -44,7 +44,7 @@ def bridges(transfers: DataFrame, days: int, band: float) -> DataFrame:
 
 def unusual_volume(transfers: DataFrame, weeks: int, z: float) -> DataFrame:
     """Weeks whose volume lies z standard deviations over the mean of the weeks before."""
-    weekly = transfers.groupBy("sender", F.trunc("ts", "week").alias("week")).agg(F.sum("amount").cast("double").alias("volume"))
+    weekly = transfers.groupBy("sender", F.trunc("ts", "week").alias("week")).agg(F.sum("amount").alias("volume")).withColumn("volume", F.col("volume").cast("double"))
     before = Window.partitionBy("sender").orderBy("week").rowsBetween(-weeks, -1)
     out = weekly.withColumns({"mean": F.avg("volume").over(before), "sd": F.stddev_samp("volume").over(before), "n": F.count("*").over(before)})
     return out.where((F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("volume") > F.col("mean") + z * F.col("sd"))).select("sender", "week", "volume", ((F.col("volume") - F.col("mean")) / F.col("sd")).alias("z"))

@@ -235,7 +235,7 @@ def classify(scored: DataFrame, watch: Column, threshold: int = 100) -> DataFram
     shadow = F.max(F.col("in_window") & (F.col("category") == "risk") & (F.col("material_score") >= threshold)).over(Window.partitionBy("customer_id"))
     high = F.col("severity").isin("critical", "high")
     opportunity = F.col("category") == "opportunity"
-    no_url = F.coalesce(~F.exists("evidence", lambda e: e["source_url"].isNotNull()), F.lit(True))
+    no_url = ~F.exists(F.coalesce("evidence", F.array()), lambda e: F.coalesce(e["source_url"] != "", F.lit(False)))
     cases = [
         (~watch, "outside_watchlist"),
         (~F.col("in_window"), "outside_window"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Parts of field names whose values are masked.
-SENSITIVE = ("email", "phone", "passport", "tax", "iban", "account", "ssn", "birth", "address", "wallet", "secret", "token", "password", "card")
+SENSITIVE = ("account", "amount", "beneficial_owner", "counterparty", "date_of_birth", "email", "iban", "passport", "payment", "phone", "purpose", "swift", "tax_id", "transaction_id")
 
 
 def append_actions(existing: DataFrame, new: DataFrame, allowed: list[str]) -> DataFrame:
@@ -80,22 +80,23 @@ def latest_status(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     return alerts.join(one, "alert_id", "left").withColumn("current_status", F.when(F.col("action").isNull(), F.col("status")).otherwise(status)).drop("action")
 
 
-def mask(column: Column) -> Column:
-    """Text over four characters keeps its last four; null stays; anything shorter is redacted."""
-    text = column.cast("string")
-    return F.when(column.isNull(), None).when(F.length(text) > 4, F.concat(F.lit("***"), F.right(text, F.lit(4)))).otherwise("[REDACTED]")
+def mask(column: Column, kind: T.DataType) -> Column:
+    """A text of more than four characters keeps its last four; null stays; a shorter one and a value of any other type are redacted whole."""
+    if not isinstance(kind, T.StringType):
+        return F.when(column.isNotNull(), "[REDACTED]")
+    return F.when(column.isNull(), None).when(F.length(column) > 4, F.concat(F.lit("***"), F.right(column, F.lit(4)))).otherwise("[REDACTED]")
 
 
 def mask_sensitive(df: DataFrame, parts: tuple[str, ...] = SENSITIVE) -> DataFrame:
-    """Mask every field, at any depth, whose name contains a sensitive part."""
+    """Mask every field, at any depth, whose name contains a sensitive part, whatever the case; numbers, lists and structs under such a name become one text."""
 
     def walk(c: Column, kind: T.DataType, name: str) -> Column:
-        if any(p in name.lower() for p in parts) and not isinstance(kind, (T.StructType, T.ArrayType)):
-            return mask(c)
+        if any(p in name.lower() for p in parts):
+            return mask(c, kind)
         if isinstance(kind, T.StructType):
             return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
         if isinstance(kind, T.ArrayType):
-            return F.transform(c, lambda x: walk(x, kind.elementType, name))
+            return F.transform(c, lambda x: walk(x, kind.elementType, ""))
         return c
 
     return df.select(*[walk(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
@@ -112,3 +113,12 @@ def search(alerts: DataFrame, text: str = "", category: str = "all", severity: s
     for column, value in (("category", category), ("severity", severity)):
         out = out if value == "all" else out.where(F.col(column) == value)
     return out.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.lower()))) if text else out
+
+
+def timeline_windows(events: DataFrame, at: str, now: Column, spans: dict[str, int]) -> DataFrame:
+    """events with a row for each span (name -> days) that holds them. A span ends at the later of now and the latest event, but at the latest event where that is older than the span."""
+    latest = events.agg(F.max(at).alias("_latest"))  # one row
+    days = lambda n: F.make_dt_interval(F.lit(n))
+    end = lambda n: F.when(F.col("_latest") < now - days(n), F.col("_latest")).otherwise(F.greatest("_latest", now))
+    held = [F.when((F.col(at) >= end(n) - days(n)) & (F.col(at) <= end(n)), name) for name, n in spans.items()]
+    return events.join(latest, F.col(at) <= F.col("_latest")).withColumn("span", F.explode(F.array_compact(F.array(*held)))).drop("_latest")

@@ -108,20 +108,13 @@ def disc_regulator(spark, d):
     return domain.evidence(spark, d).where("source_type = 'regulator'").select("document_id", F.when(score >= 1, "selected").otherwise("skipped").alias("status"))
 
 
-_FORMATS = {"%Y%m%dT%H%M%SZ": r"\b(\d{8}T\d{6}Z)\b", "%Y-%m-%d %H:%M:%S": r"\b(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\b", "%Y-%m-%d": r"\b(\d{4}-\d{2}-\d{2})\b", "%d %b %Y": r"\b(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4})\b"}
-
-
-@query("date_multi_format", "SELECT document_id, coalesce(" + ", ".join(f"try_strptime(regexp_extract(raw_text, '{p}', 1), '{f}')" for f, p in _FORMATS.items()) + ") AS seen FROM evidence")
+@query("date_multi_format", "SELECT event_id, CASE event_id % 7 WHEN 1 THEN date_trunc('minute', ts) WHEN 4 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) WHEN 5 THEN date_trunc('second', ts) - INTERVAL 150 MINUTE WHEN 6 THEN NULL ELSE date_trunc('second', ts) END AS seen FROM ev")
 def date_multi_format(spark, d):
-    """The first instant or day of a text, by the first format that it has one of."""
-    formats = {
-        "yyyyMMdd'T'HHmmss'Z'": r"\b(\d{8}T\d{6}Z)\b",
-        "yyyy-MM-dd HH:mm:ss": r"\b(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\b",
-        "yyyy-MM-dd": r"\b(\d{4}-\d{2}-\d{2})\b",
-        "d MMM yyyy": r"\b(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4})\b",
-    }
-    seen = F.coalesce(*[F.try_to_timestamp(F.regexp_extract("raw_text", shape, 1), F.lit(f)) for f, shape in formats.items()])
-    return domain.evidence(spark, d).select("document_id", seen.cast("timestamp_ntz").alias("seen"))
+    """The events' times as feeds write them, in seven forms, read back."""
+    t = F.col("ts").cast("timestamp")
+    forms = ["yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'+02:30'", "EEEE"]
+    said = F.element_at(F.array(*[F.date_format(t, f) for f in forms]), (F.col("event_id") % 7 + 1).cast("int"))
+    return domain.events(spark, d).select("event_id", tx.seen_at(said).cast("timestamp_ntz").alias("seen"))
 
 
 @query("disc_registry_match", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'skipped' ELSE 'matched' END AS status FROM supplier")

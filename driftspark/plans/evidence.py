@@ -78,7 +78,7 @@ s1 AS (SELECT *, CASE WHEN freshness_days IS NULL THEN -3 WHEN freshness_days <=
 scored AS (SELECT *, CAST({_case('severity', rules.SEVERITY_POINTS, 0)} + {_case('category', rules.CATEGORY_POINTS, 0)} + round(confidence * 20) + {_case('signal_type', rules.SIGNAL_POINTS, 0)} + source_points + field_points + freshness_points + keyword_points + impact_points AS INT) AS material_score FROM s1)
 """
 CLASSIFIED = SCORED + f""", c0 AS (SELECT *, bool_or(in_window AND category = 'risk' AND material_score >= 100) OVER (PARTITION BY customer_id) AS shadowed FROM scored),
-c1 AS (SELECT *, list_filter([CASE WHEN NOT ({_WATCH}) THEN 'outside_watchlist' END, CASE WHEN NOT in_window THEN 'outside_window' END, CASE WHEN confidence < 0.70 AND severity NOT IN ('critical', 'high') THEN 'low_confidence' END,
+c1 AS (SELECT *, list_filter([CASE WHEN NOT ({_WATCH}) THEN 'outside_watchlist' END, CASE WHEN NOT in_window THEN 'outside_window' END, CASE WHEN NOT EXISTS (SELECT 1 FROM ex WHERE ex.alert_id = c0.alert_id AND ex.source_url <> '') THEN 'no_source_url' END, CASE WHEN confidence < 0.70 AND severity NOT IN ('critical', 'high') THEN 'low_confidence' END,
     CASE WHEN category = 'opportunity' AND shadowed AND material_score < 120 THEN 'shadowed' END, CASE WHEN signal_type IN ('commercial_opportunity', 'new_product', 'public_listing') AND category = 'opportunity' AND material_score < 115 THEN 'generic_opportunity' END], lambda x: x IS NOT NULL) AS r0,
     material_score >= 100 OR (severity IN ('critical', 'high') AND confidence >= 0.65) OR (category IN ('risk', 'ownership_control') AND confidence >= 0.72) AS qualifies FROM c0),
 classified AS (SELECT *, qualifies AND len(r0) = 0 AS material, CASE WHEN len(r0) = 0 AND NOT qualifies THEN ['below_threshold'] ELSE r0 END AS reasons FROM c1)

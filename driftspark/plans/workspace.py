@@ -179,16 +179,13 @@ def ws_timeline(spark, d):
     return a.unionByName(e)
 
 
-_RANGES = {"1d": "1 day", "1w": "7 days", "1m": "1 month", "3m": "3 months", "1y": "1 year"}
+_RANGES = {"1d": 1, "1w": 7, "1m": 30, "3m": 90, "1y": 365}
 
 
-@query("ws_timeline_window", ", last AS (SELECT least(max(ts), TIMESTAMP '2024-02-01') AS until FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS span, user_id, event_id FROM ev, last WHERE ts >= until - INTERVAL {w} AND ts <= until" for n, w in _RANGES.items()))
+@query("ws_timeline_window", ", latest AS (SELECT max(ts) AS newest FROM ev), spans AS (SELECT span, days, CASE WHEN newest < TIMESTAMP '2024-02-01' - to_days(days) THEN newest ELSE greatest(newest, TIMESTAMP '2024-02-01') END AS until FROM latest, (VALUES ('1d', 1), ('1w', 7), ('1m', 30), ('3m', 90), ('1y', 365)) AS v(span, days)) SELECT span, user_id, event_id FROM ev JOIN spans ON ts BETWEEN until - to_days(days) AND until")
 def ws_timeline_window(spark, d):
-    """The events of each range that ends now (a fixed clock), or at the latest event if that is older."""
     e = domain.events(spark, d)
-    end = e.agg(F.least(F.max("ts"), F.lit("2024-02-01").cast(e.schema["ts"].dataType)).alias("end"))
-    held = F.array_compact(F.array(*[F.when(F.col("ts") >= F.col("end") - F.expr(f"interval {w}"), n) for n, w in _RANGES.items()]))
-    return e.join(end, F.col("ts") <= F.col("end")).select(F.explode(held).alias("span"), "user_id", "event_id")
+    return gov.timeline_windows(e, "ts", F.lit("2024-02-01").cast(e.schema["ts"].dataType), _RANGES).select("span", "user_id", "event_id")
 
 
 @query("ws_footprint", CLASSIFIED + """, p AS (SELECT customer_id, domicile AS place, 1 AS r, 'domicile' AS kind FROM customers UNION ALL SELECT customer_id, region, 2, 'known' FROM customers
@@ -213,10 +210,14 @@ def ws_portfolio_scope(spark, d):
     return gov.scope(ep.alerts(spark, d), rows).select("rm_id", "alert_id")
 
 
-@query("ws_mask_sensitive", "SELECT c_custkey AS customer_id, CASE WHEN length(c_name) > 4 THEN '***' || right(c_name, 4) ELSE '[REDACTED]' END AS account_name, c_mktsegment AS segment, CASE WHEN length(CAST(c_nationkey AS VARCHAR)) > 4 THEN '***' || right(CAST(c_nationkey AS VARCHAR), 4) ELSE '[REDACTED]' END AS tax_code FROM customer")
+@query("ws_mask_sensitive", """, t AS (SELECT concat(l_orderkey, '-', l_linenumber) AS id, o_custkey AS customer_id, s_name, l_extendedprice AS price, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
+SELECT customer_id, CASE WHEN length(id) > 4 THEN '***' || right(id, 4) ELSE '[REDACTED]' END AS transaction_id, '[REDACTED]' AS amount, CASE WHEN length(s_name) > 4 THEN '***' || right(s_name, 4) ELSE '[REDACTED]' END AS counterparty, '[REDACTED]' AS payments, CASE WHEN length(p_type) > 4 THEN '***' || right(p_type, 4) ELSE '[REDACTED]' END AS purpose_code, s_name AS party FROM t""")
 def ws_mask_sensitive(spark, d):
-    c = domain.table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.struct(F.col("c_name").alias("account_name"), F.col("c_mktsegment").alias("segment")).alias("profile"), F.array(F.struct(F.col("c_nationkey").alias("tax_code"))).alias("codes"))
-    return gov.mask_sensitive(c).select("customer_id", "profile.account_name", "profile.segment", F.get("codes", F.lit(0))["tax_code"].alias("tax_code"))
+    t = domain.transactions(spark, d)
+    details = F.struct(F.col("purpose").alias("Purpose_Code"), F.col("counterparty").alias("party"))
+    rows = t.select("customer_id", "transaction_id", "amount", "counterparty", F.array(F.struct("amount", "rail")).alias("payments"), F.array(details).alias("details"))
+    masked = gov.mask_sensitive(rows)
+    return masked.select("customer_id", "transaction_id", "amount", "counterparty", "payments", F.get("details", 0)["Purpose_Code"].alias("purpose_code"), F.get("details", 0)["party"].alias("party"))
 
 
 @query("ws_recent_jobs", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM ev) WHERE nth <= 30")

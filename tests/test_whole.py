@@ -61,7 +61,7 @@ def test_notifications_have_no_cap(spark, sf, duck):
 def test_watch_lists_are_joined_as_pairs(spark):
     from driftspark.operators.evidence import evaluate_policies
 
-    alerts = spark.createDataFrame([(i % 2, f"a{i}", True, 0.9, 100 + i, "risk", "high", "x") for i in range(9)], "customer_id long, alert_id string, in_window boolean, confidence double, material_score int, category string, severity string, signal_type string")
+    alerts = spark.createDataFrame([(i % 2, f"a{i}", True, 0.9, 100 + i, "risk", "high", "x", [("u",)]) for i in range(9)], "customer_id long, alert_id string, in_window boolean, confidence double, material_score int, category string, severity string, signal_type string, evidence array<struct<source_url:string>>")
     policies = spark.createDataFrame([("m", 50, 0.5, ["risk"], ["high"], []), ("n", 107, 0.5, ["risk"], ["high"], [])], "rm_id string, minimum_material_score int, minimum_confidence double, categories array<string>, severities array<string>, signal_types array<string>")
     watched = spark.createDataFrame([("m", 0), ("m", 1), ("n", 1)], "rm_id string, customer_id long")
     out = evaluate_policies(alerts, policies, watched)
@@ -184,8 +184,6 @@ def test_dates_are_read_from_texts(spark, tmp_path):
     write(spark, tmp_path, [(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string", "documents")
     write(spark, tmp_path, [(1,)], "c_custkey long", "customer")
     assert {r.doc_id: r.day for r in plans.QUERIES["date_normalize"](spark, str(tmp_path)).collect() if r.day} == dict.fromkeys((1, 3, 5, 6), "2022-03-04")
-    day, hour = datetime.datetime(2022, 3, 4), datetime.datetime(2022, 3, 4, 5, 6, 7)
-    assert {r.document_id: r.seen for r in plans.QUERIES["date_multi_format"](spark, str(tmp_path)).collect() if r.seen} == {0: hour, 1: day, 2: day, 3: hour}
 
 
 def test_clusters_count_each_customer_once(spark):
