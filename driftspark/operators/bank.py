@@ -142,6 +142,28 @@ def similarity(a: str, b: str) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
+def without_letters(name: Column, edits: int) -> Column:
+    """The name and what is left of it without up to so many characters, distinct."""
+    shorter = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    out = last = F.array(name)
+    for _ in range(edits):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def near_names(left: DataFrame, right: DataFrame, edits: int = 2) -> DataFrame:
+    """(name, known, distance) of all distinct names of left(name) and right(known) at most so many edits apart. None is missed.
+
+    Two names within d edits have a common remainder after dropping at most d characters of each: names meet in an equi join on the remainders'
+    hashes. A key is shared only by names within 2 * d edits, so no block grows with the tables unless like names do; the distance decides.
+    Nulls meet nothing. A name of n characters has about n ** d / d! keys, so edits should stay small.
+    """
+    keyed = lambda df, c: df.where(F.col(c).isNotNull()).select(c).distinct().select(c, F.explode(F.array_distinct(F.transform(without_letters(F.col(c), edits), lambda w: F.xxhash64(w)))).alias("key"))
+    pairs = keyed(left, "name").join(keyed(right, "known"), "key").select("name", "known").distinct()
+    return pairs.withColumn("distance", F.levenshtein("name", "known", edits)).where(F.col("distance").between(0, edits))
+
+
 def resolution_scores(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidate names against known ones that share a block: edit similarity plus a bonus for equal places, with a review status."""
     score = F.least(F.lit(1.0), similarity("name", "known_name") + F.when(F.col("place") == F.col("known_place"), 0.1).otherwise(0.0))
@@ -149,18 +171,21 @@ def resolution_scores(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(known, "block").withColumn("score", F.round(score, 4)).withColumn("status", status)
 
 
-def screen_names(parties: DataFrame, entries: DataFrame, least: float = 0.75) -> DataFrame:
+def screen_names(parties: DataFrame, entries: DataFrame, least: float = 0.75, edits: int = 2) -> DataFrame:
     """parties(name, ...) against entries(entry, list_name, aliases): each party's columns, entry, list_name, reason and score.
 
     Reasons, of which the best stays: ``exact`` (equal normalised names, 1), ``alias`` (equal to an alias, 0.95) and ``near`` (edit
-    similarity of at least ``least`` to the name or an alias; both share their longest word). Each distinct name is compared once,
-    however many parties bear it; a name that is null or has no words matches nothing.
+    similarity of at least ``least`` to the name or an alias; both share their longest word or are at most ``edits`` edits apart). Each
+    distinct name is compared once, however many parties bear it; a name that is null or has no words matches nothing.
     """
     names = parties.select(normalize_name(F.col("name")).alias("party_key"), name_block(F.col("name")).alias("block")).distinct()
     spelt = F.explode(F.concat(F.array(F.struct(F.col("entry").alias("known"), F.lit("exact").alias("kind"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("known"), F.lit("alias").alias("kind")))))
     listed = entries.select("entry", "list_name", spelt.alias("s")).select("entry", "list_name", "s.kind", normalize_name(F.col("s.known")).alias("known_key"), name_block(F.col("s.known")).alias("block")).distinct()
     same = F.col("party_key") == F.col("known_key")
     score = F.when(same & (F.col("kind") == "exact"), 1.0).when(same, 0.95).otherwise(F.round(similarity("party_key", "known_key"), 4))
-    found = names.join(listed, "block").withColumns({"score": score, "reason": F.when(same, F.col("kind")).otherwise("near")}).where(F.col("score") >= least)
+    worded = lambda df, c: df.where(F.col("block").isNotNull()).select(c)
+    close = near_names(worded(names, "party_key").withColumnRenamed("party_key", "name"), worded(listed, "known_key").withColumnRenamed("known_key", "known"), edits)
+    pairs = names.join(listed.select("block", "known_key"), "block").select("party_key", "known_key").unionByName(close.select(F.col("name").alias("party_key"), F.col("known").alias("known_key"))).distinct()
+    found = pairs.join(listed.drop("block"), "known_key").withColumns({"score": score, "reason": F.when(same, F.col("kind")).otherwise("near")}).where(F.col("score") >= least)
     best = found.groupBy("party_key", "entry", "list_name").agg(F.max(F.struct("score", "reason")).alias("best"))
     return parties.withColumn("party_key", normalize_name(F.col("name"))).join(best, "party_key").select(*parties.columns, "entry", "list_name", "best.reason", "best.score")

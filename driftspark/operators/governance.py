@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,38 +32,57 @@ def maker_checker(requests: DataFrame, decisions: DataFrame) -> DataFrame:
     return d.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
-def _body(fields: list[str]) -> Column:
+def body_of(fields: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
 
 
-def chained(events: DataFrame, chain: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Audit rows: previous_hash (null for a chain's first) and event_hash, the SHA-256 of previous_hash and the event's own fields.
+#: What stands before the first event of a keyed chain.
+GENESIS = "0" * 64
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The keyed hash of a text, in hexadecimal: two nested digests over the key padded to a block of 64 bytes."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    padded = lambda byte: F.lit(bytes(b ^ byte for b in block))
+    inner = F.unhex(F.sha2(F.concat(padded(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(padded(0x5C), inner), 256)
+
+
+def chained(events: DataFrame, chain: list[str], order: list[str], fields: list[str], key: bytes | None = None) -> DataFrame:
+    """Audit rows: previous_hash and event_hash, the SHA-256 of previous_hash and the event's own fields; with a key its HMAC.
+
+    The first previous_hash of a chain is null, with a key GENESIS.
 
     Each hash needs the one before it, so a chain is read in order by one task, which holds one hash and one batch, not the chain.
     """
-    rows = events.select("*", _body(fields).alias("_body"), F.concat_ws("|", *chain).alias("_chain")).repartition(*chain).sortWithinPartitions(*chain, *order)
+    rows = events.select("*", body_of(fields).alias("_body"), F.concat_ws("|", *chain).alias("_chain")).repartition(*chain).sortWithinPartitions(*chain, *order)
     kind = T.StructType(rows.schema.fields + [T.StructField(n, T.StringType()) for n in ("previous_hash", "event_hash")])
 
+    first = None if key is None else GENESIS
+    digest = hashlib.sha256 if key is None else lambda message: hmac.new(key, message, hashlib.sha256)
+
     def run(batches):
-        of, last = None, None
+        of, last = None, first
         for df in batches:
             before, own = [], []
             for name, body in zip(df["_chain"], df["_body"], strict=True):
-                last = last if name == of else None
+                last = last if name == of else first
                 of = name
                 before.append(last)
-                last = hashlib.sha256(f"{last or ''}|{body}".encode()).hexdigest()
+                last = digest(f"{last or ''}|{body}".encode()).hexdigest()
                 own.append(last)
             yield df.assign(previous_hash=before, event_hash=own)
 
     return rows.mapInPandas(run, kind).drop("_body", "_chain")
 
 
-def verify_chain(rows: DataFrame, chain: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Per chain: rows checked, whether all hashes hold, and the first row where one doesn't: changed, moved, or with a row lost before it."""
+def verify_chain(rows: DataFrame, chain: list[str], order: list[str], fields: list[str], key: bytes | None = None) -> DataFrame:
+    """Per chain: rows checked, whether all hashes hold, and the first row where one doesn't: changed, moved, or with a row lost before it. Whoever lacks the key can't make a row that holds."""
     w = Window.partitionBy(*chain).orderBy(*order)
-    body = F.sha2(F.concat(F.coalesce("previous_hash", F.lit("")), F.lit("|"), _body(fields)), 256)
-    bad = ~body.eqNullSafe(F.col("event_hash")) | ~F.col("previous_hash").eqNullSafe(F.lag("event_hash").over(w))
+    message = F.concat(F.coalesce("previous_hash", F.lit("")), F.lit("|"), body_of(fields))
+    expected = F.sha2(message, 256) if key is None else hmac_sha256(key, message)
+    before = F.lag("event_hash").over(w) if key is None else F.lag("event_hash", 1, GENESIS).over(w)
+    bad = ~expected.eqNullSafe(F.col("event_hash")) | ~F.col("previous_hash").eqNullSafe(before)
     return rows.withColumn("bad", bad).groupBy(*chain).agg(F.count("*").alias("checked"), (~F.bool_or("bad")).alias("valid"), F.min(F.when(F.col("bad"), F.struct(*order))).getField(order[-1]).alias("first_break"))
 
 

@@ -152,7 +152,7 @@ def resolution_score(spark, d):
 listed AS (SELECT DISTINCT entry, list_name, s.kind AS kind, {_NORM.format('s.known')} AS known_key, {_BLOCK.format('s.known')} AS block FROM w),
 parties AS (SELECT customer_id, 'customer' AS party, legal_name AS name, 0 AS payments FROM customers UNION ALL SELECT customer_id, 'counterparty', counterparty, count(*) FROM recent GROUP BY customer_id, counterparty),
 keyed AS (SELECT *, {_NORM.format('name')} AS party_key, {_BLOCK.format('name')} AS block FROM parties),
-found AS (SELECT k.*, entry, list_name, CASE WHEN party_key = known_key THEN kind ELSE 'near' END AS reason, CASE WHEN party_key = known_key THEN CASE kind WHEN 'exact' THEN 1.0 ELSE 0.95 END ELSE round(1 - levenshtein(party_key, known_key) / greatest(length(party_key), length(known_key)), 4) END::DOUBLE AS score FROM keyed k JOIN listed USING (block))
+found AS (SELECT k.*, entry, list_name, CASE WHEN party_key = known_key THEN kind ELSE 'near' END AS reason, CASE WHEN party_key = known_key THEN CASE kind WHEN 'exact' THEN 1.0 ELSE 0.95 END ELSE round(1 - levenshtein(party_key, known_key) / greatest(length(party_key), length(known_key)), 4) END::DOUBLE AS score FROM keyed k JOIN listed l ON k.block = l.block OR (k.block IS NOT NULL AND l.block IS NOT NULL AND levenshtein(party_key, known_key) <= 2))
 SELECT customer_id, party, payments, entry, list_name, reason, score FROM found WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY customer_id, party, name, entry, list_name ORDER BY score DESC, reason DESC) = 1""")
 def watchlist_screen(spark, d):
     """Customers' own names and the parties they paid or were paid by, against entries of two lists, each with an alias."""

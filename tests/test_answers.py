@@ -94,3 +94,61 @@ def test_feed_dates(spark):
     got = [str(r.t) if r.t else None for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", seen_at(F.col("x")).cast("timestamp_ntz").alias("t")).orderBy("i").collect()]
     full, minute = "2024-01-02 03:04:05", "2024-01-02 03:04:00"
     assert got == [full, minute, full, full, "2024-01-02 00:00:00", full, minute, None, None, None]
+
+
+def test_keyed_chain_needs_the_key(spark):
+    import hashlib
+    import hmac
+
+    fields = ["id", "at", "actor", "action", "kind", "entity", "payload"]
+    rows = [(c, i, f"2024-01-0{i}", "a", "view", "k", None, f"päy|load {i}") for c in "xyz" for i in range(1, 6)]
+    events = spark.createDataFrame(rows, "chain string, id int, at string, actor string, action string, kind string, entity string, payload string")
+    for key in (b"short", b"k" * 100):
+        written = governance.chained(events, ["chain"], ["id"], fields, key)
+        stored = written.collect()
+        for c in "xyz":
+            last = governance.GENESIS
+            for r in sorted((r for r in stored if r.chain == c), key=lambda r: r.id):
+                body = "|".join("" if r[f] is None else str(r[f]) for f in fields)
+                assert r.previous_hash == last
+                last = hmac.new(key, f"{last}|{body}".encode(), hashlib.sha256).hexdigest()
+                assert r.event_hash == last
+        table = spark.createDataFrame(stored, written.schema)
+        unkeyed = F.sha2(F.concat(F.col("previous_hash"), F.lit("|"), governance.body_of(fields)), 256)
+        forged = table.withColumn("payload", F.when((F.col("chain") == "y") & (F.col("id") == 3), "other").otherwise(F.col("payload")))
+        forged = forged.withColumn("event_hash", F.when((F.col("chain") == "y") & (F.col("id") == 3), unkeyed).otherwise(F.col("event_hash"))).where("not (chain = 'z' and id = 1)")
+        got = {r.chain: (r.checked, r.valid, r.first_break) for r in governance.verify_chain(forged, ["chain"], ["id"], fields, key).collect()}
+        assert got == {"x": (5, True, None), "y": (5, False, 3), "z": (4, False, 2)}
+
+
+def test_near_names_miss_none(spark):
+    import random
+
+    from driftspark.operators.bank import near_names
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+
+    def misspelt(name):
+        for _ in range(rng.randint(0, 3)):
+            i, kind = rng.randint(0, max(0, len(name) - 1)), rng.randint(0, 2)
+            name = name[:i] + ("" if kind == 0 else rng.choice("abé ")) + name[i + (kind != 1) :]
+        return name
+
+    def names(n):
+        known = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(6, 16))) for _ in range(n)] + ["", "a", "ab", "ba", "aa"]
+        return known, [misspelt(rng.choice(known)) for _ in range(n)] + ["", "a", "x", None]
+
+    for n in (40, 160):
+        known, said = names(n)
+        left, right = spark.createDataFrame([(x,) for x in said], "name string"), spark.createDataFrame([(x,) for x in known + known[:3]], "known string")
+        for edits in (1, 2):
+            want = {(a, b, distance(a, b)) for a in set(said) - {None} for b in set(known) if distance(a, b) <= edits}
+            assert {tuple(r) for r in near_names(left, right, edits).collect()} == want
