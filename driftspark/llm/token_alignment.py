@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from driftspark.llm.common import slices, store, table, utf8
 
 #: Bytes of text in a chunk (a longer text is one of its own), ids of segments that a task remembers.
-CHUNK, IDS_KEPT = 4 << 20, 1 << 21
+CHUNK, IDS_KEPT = 2 << 20, 1 << 21
 
 #: Where no token of either kind reaches across: before a blank between two printable ASCII characters other than blanks.
 _SEGMENT = re.compile(r"(?<=[!-~])(?= [!-~])")
