@@ -155,23 +155,29 @@ def _inputs_of(texts: list[bytes]):
     """Inputs of the distinct words of some windows, where each window's words begin and end, and the distinct word of each word."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    known: dict[int, bytes] = {}
-    hashes, in_row = [], []
+    # words are numbered as they come, a portion of the windows at a time: the driver never holds the hashes of all of them
+    known: dict[int, int] = {}
+    spelt: list[bytes] = []
+    codes, sizes = [], []
     for lo, hi in slices(offsets, 1 << 20):
         part = data[offsets[lo] : offsets[hi]]
         h, rows, starts, ends = spans(part, offsets[lo : hi + 1] - offsets[lo], NOT_ALNUM)
-        hashes.append(h)
-        in_row.append(rows + lo)
-        distinct, at = np.unique(h, return_index=True)
-        known.update({int(v): part[starts[i] : ends[i]].tobytes() for v, i in zip(distinct, at, strict=True) if int(v) not in known})
-    h, rows = np.concatenate(hashes), np.concatenate(in_row)
-    codes, distinct = pd.factorize(h)
-    spelt = [known[int(v)] for v in distinct]
+        code, distinct = pd.factorize(h)
+        at = np.empty(len(distinct), np.int64)
+        at[code[::-1]] = np.arange(len(h))[::-1]
+        for v, i in zip(distinct.tolist(), at.tolist(), strict=True):
+            if v not in known:
+                known[v] = len(known)
+                spelt.append(part[starts[i] : ends[i]].tobytes())
+        numbers = np.fromiter(map(known.__getitem__, distinct.tolist()), np.int32, len(distinct))
+        codes.append(numbers[code])
+        sizes.append(np.bincount(rows, minlength=hi - lo))
+    distinct = np.fromiter(known, np.uint64, len(known))
     ends = np.cumsum([len(w) for w in spelt]).astype(np.int64)
     starts = ends - np.array([len(w) for w in spelt], np.int64)
     inputs = word_inputs(np.frombuffer(b"".join(spelt), np.uint8), starts, ends, distinct.astype(np.uint64))
-    first = bounds(rows, len(texts))
-    return inputs, first[:-1], first[1:], codes.astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    return inputs, first[:-1], first[1:], np.concatenate(codes)
 
 
 def train(sample: list[tuple[list[bytes], int]], seed: int = 5) -> dict:
@@ -243,7 +249,7 @@ def calibrate(top: np.ndarray, y: np.ndarray, share: float) -> tuple[float, floa
 
 
 def _all_logits(net: dict, x: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return np.concatenate([forward(net, x, *unfold(codes, start[s : s + 4096], end[s : s + 4096])) for s in range(0, len(start), 4096)])
+    return np.concatenate([forward(net, x, *unfold(codes, start[s : s + 1024], end[s : s + 1024])) for s in range(0, len(start), 1024)])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS) -> tuple[DataFrame, float]:
