@@ -80,14 +80,33 @@ def high_value_cross_border(txns: DataFrame, customers: DataFrame, share: float)
     return hit.groupBy("customer_id", "country", "rail").agg(F.count("*").alias("payments"), F.max("amount").cast("double").alias("largest"))
 
 
-def linked_clusters(txns: DataFrame, days: int, least: int) -> DataFrame:
+def quiet_days(payments: DataFrame, activity: DataFrame, days: int, most: int) -> DataFrame:
+    """(customer_id, booked_on) of the days of payments before which, over so many days, the customer has at most so many rows in activity.
+
+    An as-of join by union: both sides are counted by customer and day, and one range window looks back over them. It holds at most one row
+    a day for a customer, however busy, and a payment finds its past even on days without any activity. Both need customer_id and booked_on;
+    rows where either is null don't take part, and a customer without activity is quiet. The day itself isn't its own past.
+    """
+    counted = lambda df, n, paid: df.where("customer_id is not null and booked_on is not null").groupBy("customer_id", "booked_on").agg(n.alias("n"), F.lit(paid).alias("paid"))
+    both = counted(activity, F.count("*"), False).unionByName(counted(payments, F.lit(0).cast("long"), True))
+    daily = both.groupBy("customer_id", "booked_on").agg(F.sum("n").alias("n"), F.bool_or("paid").alias("paid"))
+    past = Window.partitionBy("customer_id").orderBy(F.unix_date("booked_on")).rangeBetween(-days, -1)
+    return daily.withColumn("before", F.coalesce(F.sum("n").over(past), F.lit(0))).where(F.col("paid") & (F.col("before") <= most)).select("customer_id", "booked_on")
+
+
+def linked_clusters(txns: DataFrame, days: int, least: int, activity: DataFrame | None = None, quiet: int = 90, most: int = 0) -> DataFrame:
     """(counterparty_id, booked_on, customers): days with a payment around which, within some days, several customers pay a counterparty.
 
+    With activity, only payments after low activity count: by customers with at most ``most`` rows in it over the ``quiet`` days before.
+
     A payment counts towards each day it is near to, 2 * days + 1 of them, so no two payments are paired and a busy counterparty's
     days are spread over tasks.
     """
     near = F.explode(F.sequence(F.lit(-days), F.lit(days)))
-    paid = txns.select("counterparty_id", "customer_id", "booked_on").distinct().select("counterparty_id", "customer_id", "booked_on", near.alias("off"))
+    paid = txns.select("counterparty_id", "customer_id", "booked_on").distinct()
+    if activity is not None:
+        paid = paid.join(quiet_days(paid, activity, quiet, most), ["customer_id", "booked_on"])
+    paid = paid.select("counterparty_id", "customer_id", "booked_on", near.alias("off"))
     per = paid.groupBy("counterparty_id", F.date_add("booked_on", F.col("off")).alias("booked_on"), "customer_id").agg(F.bool_or(F.col("off") == 0).alias("on"))
     counted = per.groupBy("counterparty_id", "booked_on").agg(F.count("*").alias("customers"), F.bool_or("on").alias("on"))
     return counted.where(F.col("on") & (F.col("customers") >= least)).drop("on")

@@ -50,6 +50,37 @@ def unusual_volume(transfers: DataFrame, weeks: int, z: float) -> DataFrame:
     return out.where((F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("volume") > F.col("mean") + z * F.col("sd"))).select("sender", "week", "volume", ((F.col("volume") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
+def holdings(transfers: DataFrame) -> DataFrame:
+    """(address, asset, day, balance, total): running balances at the end of each day on which they change, and the asset's total then.
+
+    A transfer takes its amount from the sender and gives it to the receiver. Signed amounts are summed by address, asset and day and then
+    cumulated, so a window holds at most one row a day, however busy an address. The total is that of all positive balances: it is cumulated
+    from their daily changes, without a row for each holder and day. A balance below zero is that of an issuer or of one whose past is missing
+    and adds nothing. Rows with a null address, asset, time or amount don't take part.
+    """
+    side = lambda c, amount: transfers.select(F.col(c).alias("address"), "asset", F.to_date("ts").alias("day"), amount.alias("amount"))
+    moved = side("sender", -F.col("amount")).unionByName(side("receiver", F.col("amount"))).dropna()
+    daily = moved.groupBy("address", "asset", "day").agg(F.sum("amount").alias("amount")).where("amount != 0")
+    past = Window.partitionBy("address", "asset").orderBy("day")
+    held = daily.withColumn("balance", F.sum("amount").over(past.rowsBetween(Window.unboundedPreceding, 0)))
+    positive = F.greatest("balance", F.col("balance") * 0)
+    held = held.withColumn("change", positive - F.coalesce(F.lag(positive).over(past), positive * 0))
+    totals = held.groupBy("asset", "day").agg(F.sum("change").alias("change"))
+    totals = totals.select("asset", "day", F.sum("change").over(Window.partitionBy("asset").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    return held.join(totals, ["asset", "day"]).select("address", "asset", "day", "balance", "total")
+
+
+def large_holders(transfers: DataFrame, share: float) -> DataFrame:
+    """holdings of which the balance is at least a share of the total, with the share: at the end of each day on which the holder's balance changes."""
+    return holdings(transfers).withColumn("share", F.try_divide(F.col("balance").cast("double"), F.col("total").cast("double"))).where(F.col("share") >= share)
+
+
+def frequent_days(transfers: DataFrame, least: int, amount: float) -> DataFrame:
+    """(sender, day, transfers, volume): days with at least so many transfers of a sender or with at least an amount in all."""
+    daily = transfers.groupBy("sender", F.to_date("ts").alias("day")).agg(F.count("*").alias("transfers"), F.sum("amount").alias("volume"))
+    return daily.where((F.col("transfers") >= least) | (F.col("volume") >= amount))
+
+
 def repeated_calls(transfers: DataFrame, days: int, least: int) -> DataFrame:
     """Pairs of sender and receiver with at least so many transfers in a span of days, for each span that begins with one."""
     return _bursts(transfers, ["sender", "receiver"], days, least, "calls")

@@ -93,11 +93,13 @@ def play_cross_border_high_value(spark, d):
     return bank.high_value_cross_border(_recent(spark, d), home, 0.9)
 
 
-@query("play_linked_cluster", """, paid AS (SELECT DISTINCT counterparty_id, customer_id, booked_on FROM recent)
+@query("play_linked_cluster", """, paid AS (SELECT DISTINCT counterparty_id, customer_id, booked_on FROM recent r WHERE
+(SELECT count(*) FROM txns t WHERE t.customer_id = r.customer_id AND t.booked_on < r.booked_on AND t.booked_on >= r.booked_on - INTERVAL 90 DAYS) <= 3)
 SELECT a.counterparty_id, a.booked_on, count(DISTINCT b.customer_id) AS customers FROM (SELECT DISTINCT counterparty_id, booked_on FROM paid) a JOIN paid b ON a.counterparty_id = b.counterparty_id
-AND abs(date_diff('day', a.booked_on, b.booked_on)) <= 2 GROUP BY 1, 2 HAVING count(DISTINCT b.customer_id) >= 3""")
+AND abs(date_diff('day', a.booked_on, b.booked_on)) <= 2 GROUP BY 1, 2 HAVING count(DISTINCT b.customer_id) >= 2""")
 def play_linked_cluster(spark, d):
-    return bank.linked_clusters(_recent(spark, d), 2, 3)
+    """Clusters of payments by customers with at most three payments of any kind in the 90 days before."""
+    return bank.linked_clusters(_recent(spark, d), 2, 2, _txns(spark, d), 90, 3)
 
 
 @query("play_identity_change", """, n AS (SELECT *, CASE WHEN customer_id % 10 = 0 THEN legal_name || ' AG' ELSE legal_name END AS nn, CASE WHEN customer_id % 15 = 0 THEN NULL ELSE domicile END AS nd FROM customers)
@@ -197,10 +199,22 @@ def chain_bridge(spark, d):
 
 
 @query("chain_unusual_volume", _TRANSFERS + """, w AS (SELECT sender, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(sum(amount) AS DOUBLE) AS volume FROM t GROUP BY 1, 2),
-s AS (SELECT *, avg(volume) OVER p AS mean, stddev_samp(volume) OVER p AS sd, count(*) OVER p AS n FROM w WINDOW p AS (PARTITION BY sender ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
-SELECT sender, week, volume, round((volume - mean) / sd, 3) AS z FROM s WHERE n >= 3 AND sd > 0 AND volume > mean + 2.5 * sd""")
+s AS (SELECT *, avg(volume) OVER p AS mean, stddev_samp(volume) OVER p AS sd, count(*) OVER p AS n FROM w WINDOW p AS (PARTITION BY sender ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+m AS (SELECT sender AS address, asset, CAST(ts AS DATE) AS day, -amount AS amount FROM t UNION ALL SELECT receiver, asset, CAST(ts AS DATE), amount FROM t),
+d AS (SELECT address, asset, day, sum(amount) AS amount FROM m GROUP BY 1, 2, 3 HAVING sum(amount) <> 0),
+b AS (SELECT address, asset, day, sum(amount) OVER (PARTITION BY address, asset ORDER BY day) AS balance, lead(day) OVER (PARTITION BY address, asset ORDER BY day) AS until FROM d),
+h AS (SELECT x.address, x.asset, x.day, x.balance, sum(y.balance) AS total FROM b x JOIN b y ON x.asset = y.asset AND y.balance > 0 AND y.day <= x.day AND (y.until IS NULL OR y.until > x.day) GROUP BY 1, 2, 3, 4)
+SELECT 'weekly_spike' AS pattern, sender AS address, NULL AS asset, week AS day, volume AS amount, round((volume - mean) / sd, 3) AS measure FROM s WHERE n >= 3 AND sd > 0 AND volume > mean + 2.5 * sd
+UNION ALL SELECT 'large_holder', address, asset, day, CAST(balance AS DOUBLE), round(CAST(balance AS DOUBLE) / CAST(total AS DOUBLE), 6) FROM h WHERE CAST(balance AS DOUBLE) / CAST(total AS DOUBLE) >= 0.1
+UNION ALL SELECT 'busy_day', sender, NULL, CAST(ts AS DATE), CAST(sum(amount) AS DOUBLE), count(*) FROM t GROUP BY 2, 4 HAVING count(*) >= 3 OR sum(amount) >= 150000""")
 def chain_unusual_volume(spark, d):
-    return chain.unusual_volume(_transfers(spark, d), 8, 2.5).withColumn("z", F.round("z", 3))
+    """Three patterns: weeks far over the sender's mean (measure: z), holders of a tenth of an asset (the share), days of many or large transfers (their number)."""
+    transfers = _transfers(spark, d)
+    row = lambda df, pattern, address, asset, day, amount, measure: df.select(F.lit(pattern).alias("pattern"), F.col(address).alias("address"), asset.alias("asset"), F.col(day).alias("day"), F.col(amount).cast("double").alias("amount"), measure.cast("double").alias("measure"))
+    none = F.lit(None).cast("string")
+    spikes = row(chain.unusual_volume(transfers, 8, 2.5), "weekly_spike", "sender", none, "week", "volume", F.round("z", 3))
+    holders = row(chain.large_holders(transfers, 0.1), "large_holder", "address", F.col("asset"), "day", "balance", F.round("share", 6))
+    return spikes.unionByName(holders).unionByName(row(chain.frequent_days(transfers, 3, 150_000), "busy_day", "sender", none, "day", "volume", F.col("transfers")))
 
 
 @query("chain_privacy_asset", _TRANSFERS + "SELECT asset, count(*) AS transfers, count(DISTINCT sender) AS senders FROM t WHERE asset IN ('Brand#1', 'Brand#7', 'Brand#13') GROUP BY 1")
