@@ -24,6 +24,8 @@ ALERT_QUALITY = {"A": "0.95", "B": "0.80", "C": "0.55", "D": "0.30"}
 OFFICIAL = ("company_newsroom", "official_blog", "product_page", "investor_relations", "regulator", "sec_filing", "domain_rdap")
 # Company suffixes.
 SUFFIXES = ("inc", "incorporated", "corp", "corporation", "llc", "ltd", "limited", "s.a", "sa", "pte", "plc", "group")
+#: Ranks of a comparison's materiality.
+MATERIALITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 SEVERITY_POINTS = {"critical": 130, "high": 90, "medium": 45, "low": 15}
 CATEGORY_POINTS = {"risk": 32, "ownership_control": 22, "mixed": 12, "opportunity": 5}

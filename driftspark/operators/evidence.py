@@ -74,7 +74,7 @@ def compare(facts: DataFrame, profiles: DataFrame) -> DataFrame:
     new = F.when(scalar, F.slice("candidates", 1, 1)).otherwise(F.filter("candidates", lambda c: ~fuzzy_member(c, F.col("have"))))
     each = each.withColumn("have", have).withColumn("new", new).withColumn("changed", scalar | (F.size("new") > 0))
     kept = [c for c in facts.columns if c != "fact_id"]
-    change = F.when(F.col("changed"), F.struct("field", F.array_join("have", "; ").alias("before"), F.array_join("new", "; ").alias("after")))
+    change = F.when(F.col("changed"), F.struct("field", F.array_join("have", "; ").alias("before"), F.array_join("new", "; ").alias("after"), F.col("have").alias("before_values"), F.col("new").alias("after_values")))
     reason = F.when(F.col("changed"), F.concat(F.array_join("new", ", "), F.lit(" is not in "), F.col("field")))
     out = each.groupBy("fact_id").agg(
         *[F.first(c).alias(c) for c in kept], F.first("last_reviewed_at").alias("last_reviewed_at"), F.array_sort(F.collect_list(change)).alias("changes"), F.array_join(F.array_sort(F.collect_list(reason)), ". ").alias("comparison_reason")
@@ -110,6 +110,34 @@ def severity() -> Column:
     )
 
 
+def merge_comparisons(comparisons: DataFrame, key: list[str], order: str) -> DataFrame:
+    """comparisons(key, order, changes, comparison_reason, materiality) merged by key, in their order.
+
+    Gives changed_fields sorted, before (map of field -> values, of the first comparison that has the field), after (map of field -> distinct
+    values by first sight), comparison_reason (distinct reasons by first sight, joined by a blank) and the highest materiality. A null or empty
+    reason adds nothing; without changes the maps are empty. The order must be unique within a key for a defined result.
+
+    Values and reasons are reduced to their first sight before any list is made, so a key's lists are as long as its distinct values, not
+    its comparisons, and partial sums spare a busy key's shuffle.
+    """
+    rank = F.create_map(*[F.lit(x) for kv in rules.MATERIALITY_RANK.items() for x in kv])
+    changes = comparisons.select(*key, F.col(order).alias("_o"), F.explode("changes").alias("c")).select(*key, "_o", F.col("c.field").alias("field"), F.col("c.before_values").alias("before"), F.posexplode_outer("c.after_values").alias("_p", "value"))
+    sight = F.struct("_o", "_p")
+    values = changes.groupBy(*key, "field", "value").agg(F.min(sight).alias("_at"), F.min_by("before", sight).alias("before"))
+    fields = values.groupBy(*key, "field").agg(F.min_by("before", "_at").alias("before"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("_at", "value")))).alias("after"))
+    one = F.struct("field", "before", F.transform("after", lambda x: x["value"]).alias("after"))
+    maps = fields.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("_f"))
+    pairs = lambda name: F.map_from_entries(F.transform("_f", lambda x: F.struct(x["field"], x[name])))
+    maps = maps.select(*key, F.transform("_f", lambda x: x["field"]).alias("changed_fields"), pairs("before").alias("before"), pairs("after").alias("after"))
+    told = comparisons.groupBy(*key, "comparison_reason").agg(F.min(order).alias("_o"), F.max(rank[F.col("materiality")]).alias("_m"))
+    told = told.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("comparison_reason") != "", F.struct("_o", "comparison_reason")))).alias("_r"), F.max("_m").alias("_m"))
+    names = F.create_map(*[F.lit(x) for k, v in rules.MATERIALITY_RANK.items() for x in (v, k)])
+    told = told.select(*key, F.array_join(F.transform("_r", lambda x: x["comparison_reason"]), " ").alias("comparison_reason"), F.coalesce(names[F.col("_m")], F.lit("low")).alias("materiality"))
+    empty = F.create_map().cast("map<string,array<string>>")
+    both = told.alias("t").join(maps.alias("m"), F.expr(" and ".join(f"t.{k} <=> m.{k}" for k in key)), "left")
+    return both.select(*[F.col(f"t.{k}").alias(k) for k in key], F.coalesce("changed_fields", F.array().cast("array<string>")).alias("changed_fields"), F.coalesce("before", empty).alias("before"), F.coalesce("after", empty).alias("after"), "comparison_reason", "materiality")
+
+
 def make_alerts(comparisons: DataFrame) -> DataFrame:
     """New-information facts grouped by customer, type and normalised object into scored, evidence-backed alerts."""
     new = comparisons.where("is_new_information").withColumn("object_key", normalize_name(F.col("object")))

@@ -181,7 +181,7 @@ def drift_compare(spark, d):
 
 @query("drift_before_after", DRIFT + "SELECT fact_id, field, before, after FROM changed WHERE changed")
 def drift_before_after(spark, d):
-    return comparisons(spark, d).select("fact_id", F.explode("changes").alias("c")).select("fact_id", "c.*")
+    return comparisons(spark, d).select("fact_id", F.explode("changes").alias("c")).select("fact_id", "c.field", "c.before", "c.after")
 
 
 @query("drift_scalar", DRIFT + "SELECT fact_id, before, after FROM changed WHERE field = 'risk_rating'")
@@ -214,9 +214,20 @@ def alert_group(spark, d):
     return alerts(spark, d).select("alert_id", "customer_id", "signal_type", "category", "severity", "confidence", "documents", F.array_join("changed_fields", "|").alias("changed_fields"), F.array_join("fact_ids", ";").alias("fact_ids"))
 
 
-@query("alert_merge", ALERTS + "SELECT alert_id, materiality, comparison_reason FROM alerts")
+@query("alert_merge", DRIFT + f""", k AS (SELECT fact_id, comparison_reason, materiality, concat_ws('|', customer_id, fact_type, {_NORM.format('object')}) AS alert_id FROM comp WHERE is_new_information),
+v AS (SELECT alert_id, fact_id, field, have, unnest(new) AS value, generate_subscripts(new, 1) AS pos FROM k JOIN changed USING (fact_id) WHERE changed.changed),
+u AS (SELECT alert_id, field, value, min((fact_id, pos)) AS sight FROM v GROUP BY 1, 2, 3),
+w AS (SELECT alert_id, field, string_agg(value, ';' ORDER BY sight) AS after FROM u GROUP BY 1, 2),
+b AS (SELECT alert_id, field, array_to_string(arg_min(have, fact_id), ';') AS before FROM k JOIN changed USING (fact_id) WHERE changed.changed GROUP BY 1, 2),
+m AS (SELECT alert_id, string_agg(field, '|' ORDER BY field) AS changed_fields, string_agg(field || '=' || before, '|' ORDER BY field) AS before, string_agg(field || '=' || after, '|' ORDER BY field) AS after FROM b JOIN w USING (alert_id, field) GROUP BY 1),
+r AS (SELECT alert_id, string_agg(comparison_reason, ' ' ORDER BY sight) AS comparison_reason FROM (SELECT alert_id, comparison_reason, min(fact_id) AS sight FROM k WHERE comparison_reason <> '' GROUP BY 1, 2) GROUP BY 1)
+SELECT alert_id, changed_fields, before, after, comparison_reason, materiality FROM m JOIN r USING (alert_id) JOIN (SELECT alert_id, arg_max(materiality, CASE materiality WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS materiality FROM k GROUP BY 1) USING (alert_id)""")
 def alert_merge(spark, d):
-    return alerts(spark, d).select("alert_id", "materiality", "comparison_reason")
+    """The merged comparisons of each alert; the two maps as texts, so that any reader can compare them."""
+    new = comparisons(spark, d).where("is_new_information")
+    keyed = new.withColumn("alert_id", F.concat_ws("|", "customer_id", "fact_type", ev.normalize_name(F.col("object"))))
+    told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";"))), "|").alias(m)
+    return ev.merge_comparisons(keyed, ["alert_id"], "fact_id").select("alert_id", F.array_join("changed_fields", "|").alias("changed_fields"), told("before"), told("after"), "comparison_reason", "materiality")
 
 
 def _histogram(name, column, frame=alerts, prefix=ALERTS, source="alerts"):
