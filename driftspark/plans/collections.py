@@ -24,10 +24,14 @@ def _folder(spark, name):
 
 @query("src_customers", "SELECT customer_id, legal_name, segment FROM customers")
 def src_customers(spark, d):
-    rows = domain.customers(spark, d).select("customer_id", "legal_name", "segment")
-    path = _folder(spark, "customers")
-    rows.write.json(path)
-    return readers.collection(spark, path, rows.schema, lines=True)
+    """Customers of Europe from lines of single objects, the others from objects by id, of a hundred customers at most."""
+    every = domain.customers(spark, d)
+    rows = every.select("customer_id", "legal_name", "segment")
+    plain, keyed = _folder(spark, "customers"), _folder(spark, "customers-keyed")
+    every.where("region = 'EUROPE'").select(rows.columns).write.json(plain)
+    entry = F.struct(F.col("customer_id").cast("string"), F.struct(*rows.columns))
+    every.where("region <> 'EUROPE'").groupBy(F.floor(F.col("customer_id") / 100)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select("value").write.text(keyed)
+    return readers.collection(spark, plain, rows.schema, lines=True).unionByName(readers.collection(spark, keyed, rows.schema, keyed=True, lines=True))
 
 
 @query("src_documents", "SELECT document_id, language, length(raw_text) AS chars FROM evidence")
@@ -45,13 +49,12 @@ def src_collection_registry(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("src_artifacts", "SELECT count(DISTINCT source) AS kinds, sum(length(text)) AS chars FROM documents")
+@query("src_artifacts", "SELECT concat('d', doc_id, CASE lang WHEN 'en' THEN '.md' WHEN 'de' THEN '.json' ELSE '.txt' END) AS name, CASE lang WHEN 'en' THEN 'text/markdown' WHEN 'de' THEN 'application/json' ELSE 'text/plain' END AS media_type, length(text) AS chars FROM documents")
 def src_artifacts(spark, d):
-    path = _folder(spark, "artifacts")
-    domain.table(spark, d, "documents").select("source", F.regexp_replace("text", "[\r\n]", " ").alias("text")).write.partitionBy("source").text(path)
-    files = spark.read.option("recursiveFileLookup", True).text(path)
-    kinds = files.select(F.regexp_extract("_metadata.file_path", "source=([^/]+)", 1).alias("source"), "value")
-    return kinds.agg(F.count_distinct("source").alias("kinds"), F.sum(F.length("value")).alias("chars"))
+    """Each document as an artifact of the name that its language gives it; here the files are rows, as they come from a reader of whole files."""
+    name = F.concat(F.lit("d"), "doc_id", F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "de", ".json").otherwise(".txt"))
+    files = domain.table(spark, d, "documents").select(F.concat(F.lit("artifacts/"), "source", F.lit("/"), name).alias("path"), F.col("text").alias("value"))
+    return readers.described(files).select("name", "media_type", F.length("text").cast("long").alias("chars"))
 
 
 @query("src_filings_feed", "SELECT o_custkey AS company, o_orderpriority AS form, CAST(o_orderdate AS DATE) AS filed, o_orderkey AS accession FROM orders")
@@ -78,11 +81,17 @@ def src_news_feed(spark, d):
     return readers.articles(feed)
 
 
-@query("sink_overwrite", "SELECT customer_id, risk_rating FROM customers WHERE customer_id % 2 = 0")
+@query("sink_overwrite", "SELECT customer_id, risk_rating, NULL AS rejected FROM customers WHERE risk_rating <> 'low' UNION ALL SELECT NULL, NULL, concat('[', customer_id, ']') FROM customers WHERE risk_rating = 'low'")
 def sink_overwrite(spark, d):
-    path, rows = _folder(spark, "sink"), domain.customers(spark, d).select("customer_id", "risk_rating")
-    readers.overwrite(rows, path)
-    return readers.overwrite(rows.where("customer_id % 2 = 0"), path)
+    """A collection whose lines are lists for customers of low risk: those are rejected, the others replace the version published before."""
+    root, path = _folder(spark, "sink"), _folder(spark, "lines")
+    rows = domain.customers(spark, d).select("customer_id", "risk_rating")
+    readers.publish(rows, root)
+    rows.select(F.when(F.col("risk_rating") == "low", F.format_string("[%d]", "customer_id")).otherwise(F.to_json(F.struct(*rows.columns)))).write.text(path)
+    found = readers.checked(spark, path, rows.schema)
+    readers.publish(found.where("row is not null").select("row.*"), root)
+    kept = readers.published(spark, root, rows.schema).withColumn("rejected", F.lit(None).cast("string"))
+    return kept.unionByName(found.where("rejected is not null").select("rejected"), allowMissingColumns=True)
 
 
 @query("sink_by_pipeline", "SELECT source_type, count(*) AS documents FROM evidence GROUP BY 1")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftspark.plans.registry import query
-from driftspark.sources import domain
+from driftspark.sources import domain, readers
 from driftspark.streaming import feeds
 
 
@@ -71,22 +71,15 @@ def st_page_changes(spark, d):
 
 @query("st_lookback_feed", "SELECT user_id, count(*) AS n, max(event_id) AS newest FROM ev WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1")
 def st_lookback_feed(spark, d):
-    """Rows of the day before a fixed clock, merged into a keyed table by foreachBatch; each merge writes a new version of the table."""
+    """Rows of the day before a fixed clock, merged by foreachBatch into a keyed table of 16 buckets, of which a batch rewrites those it touches."""
     folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/feed-{uuid.uuid4().hex}"
     end = F.lit("2024-01-30 00:00:00").cast("timestamp")
     rows = _stream(spark, d).withWatermark("ts", "1 day").where((F.col("ts") >= end - F.expr("interval 24 hours")) & (F.col("ts") <= end)).select("event_id", "user_id")
-    version = [0]
-    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/0")
-
-    def write(df):
-        df.write.parquet(f"{folder}/{version[0] + 1}")
-        version[0] += 1
-
-    merge = feeds.upserting(lambda old, new: old.unionByName(new).dropDuplicates(["event_id"]), lambda: spark.read.schema(rows.schema).parquet(f"{folder}/{version[0]}"), write)
-    run = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    readers.create_bucketed(spark.createDataFrame([], rows.schema), f"{folder}/rows", ["event_id"], 16)
+    merge = lambda old, new: old.unionByName(new).dropDuplicates(["event_id"])
+    run = rows.writeStream.foreachBatch(feeds.merging(f"{folder}/rows", rows.schema, ["event_id"], 16, merge)).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    kept = spark.read.schema(rows.schema).parquet(f"{folder}/{version[0]}")
-    return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
+    return readers.bucketed(spark, f"{folder}/rows", rows.schema).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
 
 
 @query("st_late_rows", "SELECT event_id, FALSE AS late FROM ev")

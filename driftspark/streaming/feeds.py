@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftspark.sources import readers
 
 
 def deduplicated(rows: DataFrame, key: list[str], at: str, late: str = "1 day") -> DataFrame:
@@ -34,13 +37,9 @@ def with_policy(rows: DataFrame, policies: DataFrame, key: str) -> DataFrame:
     return rows.join(policies, key)
 
 
-def upserting(upsert: Callable[[DataFrame, DataFrame], DataFrame], read: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a keyed table; replaying a batch changes nothing if ``upsert`` is idempotent."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        write(upsert(read(), batch))
-
-    return run
+def merging(path: str, schema: T.StructType, key: list[str], buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a keyed table of hash buckets; replaying a batch changes nothing if ``merge`` is idempotent."""
+    return lambda batch, _: readers.merge_bucketed(batch, path, schema, key, buckets, merge)
 
 
 def value_changes(rows: DataFrame, key: list[str], at: str, value: str, schema: str) -> DataFrame:
