@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from driftspark.functions import text as tx
+from driftspark.plans.discovery import PAGES
 from driftspark.plans.registry import query
 from driftspark.sources import domain, readers
 from driftspark.streaming import feeds
@@ -62,13 +64,24 @@ def st_policy_join(spark, d):
     return _finished(spark, rows.groupBy("user_id").agg(F.count("*").alias("n")), "complete")
 
 
-@query("st_page_changes", "SELECT user_id, event_type, count(*) AS changes FROM (SELECT user_id, event_type, k, lag(k) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM ev) WHERE p IS DISTINCT FROM k GROUP BY 1, 2")
-def st_page_changes(spark, d):
+@query("st_value_changes", "SELECT user_id, event_type, count(*) AS changes FROM (SELECT user_id, event_type, k, lag(k) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM ev) WHERE p IS DISTINCT FROM k GROUP BY 1, 2")
+def st_value_changes(spark, d):
     rows = _stream(spark, d).withColumn("k", F.get_json_object("props", "$.k"))
     changes = feeds.value_changes(rows.select("user_id", "event_type", "ts", "k"), ["user_id", "event_type"], "ts", "k", "user_id long, event_type string, at timestamp, value string")
     return _finished(spark, changes, "append").groupBy("user_id", "event_type").agg(F.count("*").alias("changes"))
 
 
+@query("st_page_changes", PAGES + """, st AS (SELECT url, CASE WHEN page_id % 4 = 0 THEN 'old' ELSE sha256(text) END AS sha FROM vis WHERE page_id % 5 <> 0)
+SELECT v.url, sha256(text) AS sha256, st.sha AS previous, st.sha IS NULL AS first_seen, st.sha IS DISTINCT FROM sha256(text) AS changed FROM vis v LEFT JOIN st USING (url)""")
+def st_page_changes(spark, d):
+    """Every visit to a page, changed or not, against the state that an earlier run left."""
+    pages = domain.table(spark, d, "pages")
+    known = pages.where("page_id % 5 <> 0").select("url", F.when(F.col("page_id") % 4 == 0, "old").otherwise(F.sha2(tx.visible_text(F.col("html")), 256)).alias("sha256"), F.lit("2024-01-15 00:00:00").cast("timestamp").alias("seen_at"))
+    rows = spark.readStream.schema(pages.schema).parquet(f"{d}/pages.parquet*").withColumn("seen_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    with feeds.rocksdb(spark):
+        return _finished(spark, feeds.page_visits(rows, known, 90 * 86_400_000, emit_unchanged=True), "append").drop("seen_at")
+
+
 @query("st_lookback_feed", "SELECT user_id, count(*) AS n, max(event_id) AS newest FROM ev WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1")
 def st_lookback_feed(spark, d):
     """Rows of the day before a fixed clock, merged by foreachBatch into a keyed table of 16 buckets, of which a batch rewrites those it touches."""

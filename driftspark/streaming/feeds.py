@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftspark.functions.text import visible_text
 from driftspark.sources import readers
 
 
@@ -61,6 +63,77 @@ def value_changes(rows: DataFrame, key: list[str], at: str, value: str, schema:
     return rows.groupBy(*key).applyInPandasWithState(run, schema, "last string", "append", "NoTimeout")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: What a visit to a page gives: its hash, the one before it and whether it is new to the state.
+VISIT = "url string, sha256 string, seen_at timestamp, previous string, first_seen boolean, changed boolean"
+
+
+def page_visits(pages: DataFrame, known: DataFrame, keep_ms: int, late: str = "1 day", emit_unchanged: bool = False) -> DataFrame:
+    """Visits to pages(url, html, seen_at) as VISIT rows, against the hash of the page's last visit, which is kept as state for each url.
+
+    The state begins as known(url, sha256, seen_at), the state that an earlier run left; a page without any is first_seen and changed. A page not
+    visited for more than ``keep_ms`` milliseconds is first seen when it comes back; a timer drops its state once the watermark is past that. Only
+    changed visits are given, with ``emit_unchanged`` all: ``last_visits`` of those is the new state. Visits of a page in one batch are taken by
+    time, then hash; a visit before the last one of an earlier batch is compared with that one and becomes the last. Rows with a null url, page or
+    time are dropped. Hashes are made before Python sees a row. Needs the RocksDB state store, which keeps state out of the JVM's heap.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Pages(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "sha256 string, ms long")
+
+        def keep(self, sha256, ms):
+            if self.last.exists():
+                self.handle.deleteTimer(self.last.get()[1] + keep_ms)
+            self.last.update((sha256, ms))
+            self.handle.registerTimer(ms + keep_ms)
+
+        def handleInitialState(self, key, initialState, timerValues):
+            self.keep(initialState["sha256"].iloc[0], int(initialState["ms"].iloc[0]))
+
+        def handleInputRows(self, key, rows, timerValues):
+            seen = pd.concat(list(rows)).sort_values(["ms", "sha256"])
+            last, at = self.last.get() if self.last.exists() else (None, 0)
+            hashes, times = list(seen["sha256"]), [int(x) for x in seen["ms"]]
+            before = [p if now - then <= keep_ms else None for p, then, now in zip([last, *hashes], [at, *times], times)]
+            out = pd.DataFrame({"url": key[0], "sha256": hashes, "seen_at": seen["seen_at"].to_numpy(), "previous": pd.Series(before, dtype=object)})
+            out["first_seen"] = out["previous"].isna()
+            out["changed"] = out["first_seen"] | (out["previous"] != out["sha256"])
+            self.keep(hashes[-1], times[-1])
+            yield out if emit_unchanged else out[out["changed"]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.last.clear()
+            yield from ()
+
+        def close(self):
+            pass
+
+    ms = F.unix_millis("seen_at").alias("ms")
+    hashed = pages.withWatermark("seen_at", late).select("url", F.sha2(visible_text(F.col("html")), 256).alias("sha256"), "seen_at", ms).dropna()
+    begin = known.select("url", "sha256", ms).dropna().groupBy("url").agg(F.max_by("sha256", F.struct("ms", "sha256")).alias("sha256"), F.max("ms").alias("ms"))  # one row a url
+    return hashed.groupBy("url").transformWithStateInPandas(statefulProcessor=Pages(), outputStructType=VISIT, outputMode="Append", timeMode="EventTime", initialState=begin.groupBy("url"))
+
+
+def last_visits(visits: DataFrame, known: DataFrame) -> DataFrame:
+    """The new state (url, sha256, seen_at): the last visit of each page, and what was known of those not visited."""
+    last = visits.groupBy("url").agg(F.max_by("sha256", F.struct("seen_at", "sha256")).alias("sha256"), F.max("seen_at").alias("seen_at"))
+    return last.unionByName(known.join(last, "url", "left_anti").select("url", "sha256", "seen_at"))
+
+
 def backfilled(stream_rows: DataFrame, batch_rows: DataFrame, key: str) -> DataFrame:
     """The rows that a stream kept, and from a batch read those it missed because they came behind its watermark."""
     late = batch_rows.join(stream_rows.select(key), key, "left_anti")
