@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftspark.functions import text as tx
+from driftspark.operators import dictionaries
 from driftspark.operators import discovery as disc
 from driftspark.plans.registry import query
 from driftspark.sources import domain
@@ -167,10 +168,15 @@ def quote_grounding(spark, d):
     return disc.grounded_pairs(domain.table(spark, d, "documents").select("doc_id", "text"), domain.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))).select("doc_id", "item_id")
 
 
-@query("jurisdiction_extract", "SELECT customer_id, array_to_string(list_filter(['AFRICA', 'ASIA', 'EUROPE'], lambda x: contains(region || ' ' || domicile, x)), '|') AS found FROM customers")
+@query("jurisdiction_extract", """, names AS (SELECT r_regionkey AS position, r_name AS label FROM region UNION ALL SELECT 100 + n_nationkey, n_name FROM nation)
+SELECT customer_id, string_agg(label, '|' ORDER BY position) AS found FROM customers LEFT JOIN names ON regexp_matches(concat_ws(', ', legal_name, region, domicile), '(^|[^A-Za-z0-9])' || label || '($|[^A-Za-z0-9])') GROUP BY 1""")
 def jurisdiction_extract(spark, d):
-    known = F.array(*map(F.lit, ["AFRICA", "ASIA", "EUROPE"]))
-    return domain.customers(spark, d).select("customer_id", F.array_join(F.filter(known, lambda x: F.contains(F.concat_ws(" ", "region", "domicile"), x)), "|").alias("found"))
+    """Regions and nations named in a customer's record, by the dictionary of all their names in the order of the tables; null where there is none."""
+    region, nation = domain.table(spark, d, "region"), domain.table(spark, d, "nation")
+    names = region.select(F.col("r_regionkey").alias("position"), F.col("r_name").alias("label")).unionByName(nation.select((F.col("n_nationkey") + 100).alias("position"), F.col("n_name").alias("label")))
+    texts = domain.customers(spark, d).select("customer_id", F.concat_ws(", ", "legal_name", "region", "domicile").alias("text"))
+    found = dictionaries.labels_found(texts, "customer_id", "text", names.withColumn("phrase", F.col("label")))
+    return texts.select("customer_id").join(found, "customer_id", "left").select("customer_id", F.array_join("found", "|").alias("found"))
 
 
 @query("source_dedupe", "SELECT source_name, source_type, min(document_id) AS document_id FROM evidence GROUP BY 1, 2")
