@@ -173,3 +173,7 @@ FIELD_ALIASES = {
     "entity": "entity_type",
 }
 SEVERITIES = ("low", "medium", "high", "critical")
+
+#: Words of a sentence that tells something, and of page furniture.
+BODY_MARKERS = ("announced", "entered into", "has closed", "has blocked access", "investigates whether", "operating without", "disclosed", "ha publicado", "ha emitido", "today announced", "is currently available", "is a global", "is natively issued", "redeemable")
+JUNK_MARKERS = ("skip to main content", "ir al contenido", "search / search", "securities registered pursuant", "pre-commencement communications", "check the appropriate box", " | the guardian", " | el pa", " | cadena ser", " | actualidad", " | economia")

@@ -91,6 +91,13 @@ def compare(facts: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def sentence_quality(text: Column) -> Column:
+    """Points of a sentence as evidence: its length, words of the body, page furniture, and bars in a short one; a null has none."""
+    n, low = F.length(text), F.lower(text)
+    points = lambda hit, value: F.when(hit, value).otherwise(0)
+    return points(n >= 90, 2) + points(n >= 160, 1) + points(any_of(low, list(rules.BODY_MARKERS)), 3) - points(any_of(low, list(rules.JUNK_MARKERS)), 6) - points(F.contains(text, F.lit("|")) & (n < 220), 3)
+
+
 def has_any(text: Column, words: str) -> Column:
     return any_of(F.lower(F.coalesce(text, F.lit(""))), words.split("|"))
 

@@ -198,11 +198,11 @@ def field_inference(spark, d):
     return found.select("document_id", "fact_type", F.array_join(F.array_distinct(F.concat(F.array(F.lit("websites")), allowed[F.col("fact_type")])), "|").alias("fields"))
 
 
-@query("sentence_quality", "SELECT document_id, CASE WHEN length(title) >= 160 THEN 3 WHEN length(title) >= 90 THEN 2 ELSE 0 END - CASE WHEN contains(title, '|') AND length(title) < 220 THEN 3 ELSE 0 END AS quality FROM evidence")
+@query("sentence_quality", """SELECT document_id, CASE WHEN length(title) >= 160 THEN 3 WHEN length(title) >= 90 THEN 2 ELSE 0 END - CASE WHEN contains(title, '|') AND length(title) < 220 THEN 3 ELSE 0 END
++ CASE WHEN regexp_matches(lower(title), 'announced|entered into|has closed|has blocked access|investigates whether|operating without|disclosed|ha publicado|ha emitido|is currently available|is a global|is natively issued|redeemable') THEN 3 ELSE 0 END
+- CASE WHEN regexp_matches(lower(title), 'skip to main content|ir al contenido|search / search|securities registered pursuant|pre-commencement communications|check the appropriate box| [|] (the guardian|el pa|cadena ser|actualidad|economia)') THEN 6 ELSE 0 END AS quality FROM evidence""")
 def sentence_quality(spark, d):
-    n = F.length("title")
-    quality = F.when(n >= 160, 3).when(n >= 90, 2).otherwise(0) - F.when(F.contains("title", F.lit("|")) & (n < 220), 3).otherwise(0)
-    return domain.evidence(spark, d).select("document_id", quality.alias("quality"))
+    return domain.evidence(spark, d).select("document_id", ev.sentence_quality(F.col("title")).alias("quality"))
 
 
 @query("document_build", "SELECT document_id, CASE WHEN length(raw_text) < 50 THEN 'failed' WHEN source_type = 'sec_filing' AND NOT contains(lower(raw_text), 'tion') THEN 'skipped' ELSE 'ok' END AS status FROM evidence")

@@ -36,3 +36,11 @@ def test_merge_keeps_first_values_and_order(spark):
     got = merge_comparisons(df.repartition(7), ["k"], "o").collect()
     assert len(got) == 5 and {r.k: (r.changed_fields, r.before, r.after, r.comparison_reason, r.materiality) for r in got} == _merged(rows)
     assert merge_comparisons(df.limit(0), ["k"], "o").count() == 0
+
+
+def test_sentence_quality(spark):
+    from driftspark.operators.evidence import sentence_quality
+
+    rows = [("short", 0), ("x" * 90, 2), ("x" * 160, 3), ("It ANNOUNCED a plan", 3), ("a|b", -3), ("News | The Guardian", -9), ("Skip to main content: it has closed" + "x" * 60, -1), ("|" + "x" * 219, 3), (None, 0)]
+    df = spark.createDataFrame(rows, "t string, want int")
+    assert [r for r in df.withColumn("got", sentence_quality(df.t)).collect() if r.got != r.want] == []
