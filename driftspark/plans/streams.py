@@ -71,10 +71,11 @@ def st_value_changes(spark, d):
     return _finished(spark, changes, "append").groupBy("user_id", "event_type").agg(F.count("*").alias("changes"))
 
 
-@query("st_page_changes", PAGES + """, st AS (SELECT url, CASE WHEN page_id % 4 = 0 THEN 'old' ELSE sha256(text) END AS sha FROM vis WHERE page_id % 5 <> 0)
-SELECT v.url, sha256(text) AS sha256, st.sha AS previous, st.sha IS NULL AS first_seen, st.sha IS DISTINCT FROM sha256(text) AS changed FROM vis v LEFT JOIN st USING (url)""")
+@query("st_page_changes", PAGES + """, st AS (SELECT url, max(CASE WHEN page_id % 4 = 0 THEN 'old' ELSE sha256(text) END) AS sha FROM vis WHERE page_id % 5 <> 0 AND url IS NOT NULL GROUP BY url),
+seen AS (SELECT v.url, sha256(text) AS sha256, coalesce(lag(sha256(text)) OVER (PARTITION BY v.url ORDER BY sha256(text)), st.sha) AS previous FROM vis v LEFT JOIN st USING (url) WHERE v.url IS NOT NULL AND text IS NOT NULL)
+SELECT url, sha256, previous, previous IS NULL AS first_seen, previous IS DISTINCT FROM sha256 AS changed FROM seen""")
 def st_page_changes(spark, d):
-    """Every visit to a page, changed or not, against the state that an earlier run left."""
+    """Every visit to a page, changed or not, against the visit before, or the state that an earlier run left: one hash a url. All visits have one time, so those of a url come by hash."""
     pages = domain.table(spark, d, "pages")
     known = pages.where("page_id % 5 <> 0").select("url", F.when(F.col("page_id") % 4 == 0, "old").otherwise(F.sha2(tx.visible_text(F.col("html")), 256)).alias("sha256"), F.lit("2024-01-15 00:00:00").cast("timestamp").alias("seen_at"))
     rows = spark.readStream.schema(pages.schema).parquet(f"{d}/pages.parquet*").withColumn("seen_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
