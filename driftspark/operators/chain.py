@@ -7,11 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftspark.sources.tables import store
+
 
 def touching(transfers: DataFrame, listed: DataFrame) -> DataFrame:
-    """Transfers of which either side is listed(address), with the side."""
-    side = lambda c: transfers.join(listed.withColumnRenamed("address", c), c).withColumn("side", F.lit(c))
-    return side("sender").unionByName(side("receiver"))
+    """Transfers of which either side is listed(address), with the side. The transfers are read once, each as a row for either side."""
+    sides = F.explode(F.array(*[F.struct(F.col(c).alias("address"), F.lit(c).alias("side")) for c in ("sender", "receiver")]))
+    each = transfers.withColumn("_of", sides).select("*", "_of.*").drop("_of")
+    return each.join(listed.select("address"), "address").drop("address")
 
 
 def structuring(transfers: DataFrame, mixers: DataFrame, below: float, days: int, least: int) -> DataFrame:
@@ -32,9 +35,14 @@ def _bursts(rows: DataFrame, by: list[str], days: int, least: int, count: str, *
 
 
 def bridges(transfers: DataFrame, days: int, band: float) -> DataFrame:
-    """Deposits followed within days by a withdrawal of the same address on another chain for nearly the amount."""
-    bucket = F.floor(F.unix_date("ts") / (days + 1))
-    ins = transfers.select(F.col("sender").alias("address"), F.col("ts").alias("in_ts"), F.col("chain").alias("in_chain"), F.col("amount").alias("in_amount"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    """Deposits followed within days by a withdrawal of the same address on another chain for nearly the amount.
+
+    The transfers are stored once for both sides of the join. Buckets are two spans wide, so that half the deposits lie in one bucket alone.
+    """
+    transfers = store(transfers.select("sender", "ts", "chain", "amount"), "bridges")
+    at = lambda ahead: F.floor((F.unix_date("ts") + ahead) / (2 * (days + 1)))
+    bucket = at(0)
+    ins = transfers.select(F.col("sender").alias("address"), F.col("ts").alias("in_ts"), F.col("chain").alias("in_chain"), F.col("amount").alias("in_amount"), F.explode(F.array_distinct(F.array(bucket, at(days)))).alias("bucket"))
     outs = transfers.select(F.col("sender").alias("address"), F.col("ts").alias("out_ts"), F.col("chain").alias("out_chain"), F.col("amount").alias("out_amount"), bucket.alias("bucket"))
     gap = F.datediff("out_ts", "in_ts")
     near = F.abs(F.col("out_amount") - F.col("in_amount")) <= F.col("in_amount") * band
