@@ -111,13 +111,16 @@ def repaid_loans(borrowed: DataFrame, repaid: DataFrame, days: int, band: float)
 
 
 def within_hops(transfers: DataFrame, labelled: DataFrame, hops: int) -> DataFrame:
-    """(address, hops) of the addresses within so many undirected hops of a labelled one: an equi join per hop on a distinct frontier."""
-    edges = transfers.select("sender", "receiver").distinct()
-    both = edges.unionByName(edges.select(F.col("receiver").alias("sender"), F.col("sender").alias("receiver"))).distinct()
+    """(address, hops) of the addresses within so many undirected hops of a labelled one: an equi join per hop on a distinct frontier.
+
+    The edges are stored once and never made distinct: only the addresses that a hop reaches are, so no task holds pairs of addresses in a hash table.
+    """
+    edges = store(transfers.select("sender", "receiver"), "edges")
     seen = labelled.select("address").distinct().withColumn("hops", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = both.join(frontier.select(F.col("address").alias("sender")), "sender").select(F.col("receiver").alias("address")).distinct()
-        frontier = reached.join(seen, "address", "left_anti").withColumn("hops", F.lit(hop))
+        step = lambda a, b: edges.join(frontier.select(F.col("address").alias(a)), a, "left_semi").select(F.col(b).alias("address"))  # noqa: B023, E731
+        reached = step("sender", "receiver").distinct().unionByName(step("receiver", "sender").distinct()).distinct()
+        frontier = store(reached.join(seen, "address", "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
