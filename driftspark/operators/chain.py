@@ -97,11 +97,17 @@ def repeated_calls(transfers: DataFrame, days: int, least: int) -> DataFrame:
 def repaid_loans(borrowed: DataFrame, repaid: DataFrame, days: int, band: float) -> DataFrame:
     """(sender, receiver, window_start, repayments): days on which a pair borrows what it repays within days for nearly the amount.
 
-    An interval join on buckets of days and of amounts, so that a busy pair's transfers meet only those near in both.
+    An interval join on buckets of days and of amounts, so that a busy pair's transfers meet only those near in both. Only the transfers of
+    pairs that have both kinds are dealt to buckets.
     """
     step = F.lit(float(-math.log(1 - band)))  # two amounts within the band lie at most one bucket of logarithms apart
     day, size = F.floor(F.unix_date("ts") / (days + 1)), F.floor(F.log("amount") / step)
     ins = borrowed.where("amount > 0").select("sender", "receiver", F.to_date("ts").alias("window_start"), F.col("amount").alias("lent"), F.explode(F.array(day, day + 1)).alias("day"), size.alias("size"))
+    pair = ["sender", "receiver"]
+    kinds = borrowed.select(*pair, F.lit(True).alias("lent")).unionByName(repaid.select(*pair, F.lit(False).alias("lent")))
+    mutual = kinds.groupBy(*pair).agg(F.bool_or("lent").alias("some"), F.bool_and("lent").alias("only")).where("some and not only").select(*pair)
+    mutual = store(mutual, "mutual")
+    borrowed, repaid = (df.join(mutual, pair, "left_semi") for df in (borrowed, repaid))
     ins = ins.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
     outs = repaid.where("amount > 0").select("sender", "receiver", F.to_date("ts").alias("back_on"), F.col("amount").alias("back"), day.alias("day"), size.alias("size"))
     gap = F.datediff("back_on", "window_start")
