@@ -80,7 +80,10 @@ def holdings(transfers: DataFrame) -> DataFrame:
 
 def large_holders(transfers: DataFrame, share: float) -> DataFrame:
     """holdings of which the balance is at least a share of the total, with the share: at the end of each day on which the holder's balance changes."""
-    return holdings(transfers).withColumn("share", F.try_divide(F.col("balance").cast("double"), F.col("total").cast("double"))).where(F.col("share") >= share)
+    held = holdings(transfers)
+    if share > 0:  # others have no share; without them half as much meets the totals
+        held = held.where("balance > 0")
+    return held.withColumn("share", F.try_divide(F.col("balance").cast("double"), F.col("total").cast("double"))).where(F.col("share") >= share)
 
 
 def frequent_days(transfers: DataFrame, least: int, amount: float) -> DataFrame:
