@@ -44,23 +44,30 @@ def merging(path: str, schema: T.StructType, key: list[str], buckets: int, merge
     return lambda batch, _: readers.merge_bucketed(batch, path, schema, key, buckets, merge)
 
 
-def value_changes(rows: DataFrame, key: list[str], at: str, value: str, schema: str) -> DataFrame:
-    """Rows at which a key's value differs from its last one, which is kept as state; a key's first row is a change.
+def value_changes(rows: DataFrame, key: list[str], at: str, value: str, schema: str, buckets: int = 1024) -> DataFrame:
+    """Rows at which a key's value differs from its last one, which is kept as state; a key's first row is a change, null after null is none.
 
-    schema: of the key's columns, the event time as ``at`` and the value as ``value``. State is one value per key.
+    schema: of the key's columns, the event time as ``at`` and the value, a string, as ``value``. State is one value per key. Keys are many and their
+    rows few, so Python is called once for each of so many buckets of keys, whose rows it compares as columns, and not once for each key; a bucket's
+    state is the keys in it with their values. The number of buckets can't change while a checkpoint is in use.
     """
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        seen = pd.concat(list(parts)).sort_values([at, value])
-        before = seen[value].shift(1)
-        if last is not None and len(seen):
-            before.iloc[0] = last
-        changed = seen[before.isna() | (seen[value] != before)]
-        state.update((str(seen[value].iloc[-1]),))
-        yield pd.DataFrame({**{c: [v] * len(changed) for c, v in zip(key, k, strict=True)}, "at": changed[at].to_numpy(), "value": changed[value].to_numpy()})
-
-    return rows.groupBy(*key).applyInPandasWithState(run, schema, "last string", "append", "NoTimeout")
+    fields = T.StructType([f for f in T.StructType.fromDDL(schema).fields if f.name in key])
+
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        seen = pd.concat(list(parts), ignore_index=True).sort_values(["_key", "at", "value"], ignore_index=True)
+        first, last = seen["_key"] != seen["_key"].shift(1), seen["_key"] != seen["_key"].shift(-1)
+        before = seen["value"].shift(1).astype(object)
+        before[first] = seen.loc[first, "_key"].map(held.get).astype(object)
+        same = (seen["value"] == before) | (seen["value"].isna() & before.isna())
+        changed = seen[~same | (first & ~seen["_key"].isin(list(held)))]
+        held.update((k, None if pd.isna(v) else v) for k, v in zip(seen.loc[last, "_key"], seen.loc[last, "value"], strict=True))
+        state.update((list(held), list(held.values())))
+        yield changed[["_key", "at", "value"]]
+
+    dealt = rows.select(F.to_json(F.struct(*key)).alias("_key"), F.col(at).alias("at"), F.col(value).alias("value"), F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket"))
+    found = dealt.groupBy("_bucket").applyInPandasWithState(run, "_key string, at timestamp, value string", "keys array<string>, lasts array<string>", "append", "NoTimeout")
+    return found.select(F.from_json("_key", fields).alias("k"), "at", "value").select("k.*", "at", "value")
 
 
 @contextmanager
