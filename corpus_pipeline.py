@@ -14,6 +14,15 @@ from driftspark.llm.common import remainder, store, table
 
 #: A text is rejected as toxic from this score on.
 TOXIC = 0.3
+#: Rows of whole texts that reach Python at once. Spark's 10,000 are held several times over by a task's JVM and its Python worker.
+ROWS = 1000
+
+
+def _portions(spark: SparkSession) -> None:
+    """Give Python tasks at most ROWS rows at once; set for the session, since a stage's result is computed after it returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -23,6 +32,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; null and empty texts stay. It learns from labelled rows of the table."""
+    _portions(spark)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     model = toxicity.fit(*toxicity.labelled_sample(docs.where(remainder("doc_id", 4) != 2), labels))
     scored = toxicity.score(_whole(docs), model)
@@ -32,12 +42,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the first by doc_id. Of rows that repeat that doc_id in a group one stays."""
+    _portions(spark)
     found = near_dedup.near_duplicates(docs.select("text", "doc_id", F.struct(*docs.columns).alias("kept")), k=5, percent=80)
     return found.where("first").select("row.kept.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    _portions(spark)
     found = decontamination.contamination(_whole(docs), table(spark, sf_dir, "benchmark"))
     return found.where("n_hit = 0").select("row.kept.*")
 

@@ -27,6 +27,8 @@ STRONG, DRAWN = 16, 32
 #: Words whose log-odds tell the strongest windows.
 ODDS_WORDS = 1 << 16
 EPOCHS, BATCH, RATE = 20, 128, 0.01
+#: Words whose trigrams are held at once.
+PORTION = 1 << 14
 
 
 # ---------------------------------------------------------------- inputs
@@ -36,13 +38,17 @@ def word_inputs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.nd
     """For each word: its row among the word embeddings, and its trigrams' rows among the character ones with their bounds."""
     length = ends - starts
     cut = np.concatenate([[0], np.cumsum(length)])
-    inside = np.arange(cut[-1]) - np.repeat(cut[:-1], length)
-    at = np.repeat(starts, length) + inside
-    byte = data[at].astype(np.uint32)
-    before = np.where(inside > 0, data[np.maximum(at - 1, 0)], 2).astype(np.uint32)
-    after = np.where(inside < np.repeat(length, length) - 1, data[np.minimum(at + 1, len(data) - 1)], 3).astype(np.uint32)
-    tri = ((before * np.uint32(65599) + byte) * np.uint32(65599) + after) * np.uint32(0x9E3779B1)
-    return (h % np.uint64(WORD_ROWS)).astype(np.int64), (tri >> np.uint32(19)).astype(np.int64), cut
+    tri = np.empty(cut[-1], np.int32)
+    for s in range(0, len(starts), PORTION):
+        c = cut[s : s + PORTION + 1]
+        n = length[s : s + PORTION]
+        inside = np.arange(c[-1] - c[0]) - np.repeat(c[:-1] - c[0], n)
+        at = np.repeat(starts[s : s + PORTION], n) + inside
+        byte = data[at].astype(np.uint32)
+        before = np.where(inside > 0, data[np.maximum(at - 1, 0)], 2).astype(np.uint32)
+        after = np.where(inside < np.repeat(n, n) - 1, data[np.minimum(at + 1, len(data) - 1)], 3).astype(np.uint32)
+        tri[c[0] : c[-1]] = (((before * np.uint32(65599) + byte) * np.uint32(65599) + after) * np.uint32(0x9E3779B1)) >> np.uint32(19)
+    return (h % np.uint64(WORD_ROWS)).astype(np.int64), tri, cut
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +81,13 @@ def new_network(seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def embed(net: dict, word: np.ndarray, tri: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Inputs of words: their own embedding and the mean of their trigrams'."""
-    if not len(word):
-        return np.zeros((0, 2 * WIDTH), np.float32)
-    chars = np.add.reduceat(net["chars"][tri], cut[:-1], axis=0) / np.diff(cut)[:, None]
-    return np.hstack([net["words"][word], chars.astype(np.float32)])
+    """Inputs of words: their own embedding and the mean of their trigrams', whose rows are gathered for a portion of the words at a time."""
+    out = np.zeros((len(word), 2 * WIDTH), np.float32)
+    out[:, :WIDTH] = net["words"][word]
+    for s in range(0, len(word), PORTION):
+        c = cut[s : s + PORTION + 1]
+        out[s : s + PORTION, WIDTH:] = np.add.reduceat(net["chars"][tri[c[0] : c[-1]]], c[:-1] - c[0], axis=0) / np.diff(c)[:, None]
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -80,3 +80,39 @@ def test_pipeline_stages(spark, sf):
     one = p.drop_near_duplicates(spark, docs, sf)
     assert one.columns == docs.columns and one.count() == one.select("doc_id").distinct().count() < docs.count()
     assert p.shard(spark, one, sf).count() == one.count()
+
+
+def test_pipeline_python_tasks_hold_few_texts(spark, sf):
+    """The stages that send whole texts to Python send at most ROWS of them at once; a smaller bound of the session stays."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(-1, None, "en", "x", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for stage in (p.drop_toxic, p.drop_near_duplicates, p.drop_contaminated):
+            for given, want in (("10000", p.ROWS), ("0", p.ROWS), ("7", 7)):
+                spark.conf.set(key, given)
+                assert stage(spark, docs, sf).count() == 1 and int(spark.conf.get(key)) == want <= 1000
+    finally:
+        spark.conf.unset(key)
+
+
+def test_inputs_of_words_are_made_a_portion_at_a_time(monkeypatch):
+    """Portions change no value, and bound what is held beside the result."""
+    import tracemalloc
+
+    from driftspark.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    length = rng.integers(1, 12, 120_000)
+    data, ends = rng.integers(97, 123, length.sum()).astype(np.uint8), np.cumsum(length)
+    words, h, net = (data, ends - length, ends), rng.integers(0, 2**63, len(length)).astype(np.uint64), toxicity.new_network()
+    tracemalloc.start()
+    found = toxicity.word_inputs(*words, h)
+    x = toxicity.embed(net, *found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes + sum(a.nbytes for a in found) + (12 << 20)
+    monkeypatch.setattr(toxicity, "PORTION", len(length))
+    whole = toxicity.word_inputs(*words, h)
+    assert all((a == b).all() for a, b in zip(found, whole, strict=True)) and (toxicity.embed(net, *whole) == x).all()
