@@ -7,6 +7,7 @@ a few numpy calls instead of a Python loop per row.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -182,3 +183,27 @@ def bit_filter(df: DataFrame, column: str) -> np.ndarray:
 def filter_at(values: np.ndarray) -> np.ndarray:
     """Places of 64-bit values in a bit_filter."""
     return (values % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def filter_has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether 64-bit values may be in a bit_filter, which stays packed."""
+    at = filter_at(values)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python processes outlive their task or training, and would hold it beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """An Arrow function that returns its freed memory to the system when it ends."""
+
+    def outer(batches):
+        yield from run(batches)
+        give_back()
+
+    return outer

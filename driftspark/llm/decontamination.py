@@ -10,15 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import LOWER, NOT_ALNUM, bounds, drop, grams, slices, store, table, utf8, words
+from driftspark.llm.common import FILTER_BITS, LOWER, NOT_ALNUM, bounds, drop, filter_at, filter_has, giving_back, grams, slices, store, table, utf8, words
 
 SPAN, K = 10, 5
 REACH = SPAN - K
-#: Bits of the filter that document fingerprints pass before the shuffle: 2 MB, whatever the benchmark's size.
-FILTER_BITS = 1 << 24
 
 PRINTS = "uid long, n_words long, h array<long>, pos array<int>, len array<int>, context array<long>"
 
@@ -48,11 +47,11 @@ def _around(h: np.ndarray, rows: np.ndarray, at: np.ndarray, k: int) -> np.ndarr
     return np.where(ok, h[i] | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def _prints(short: tuple[int, ...], items: bool, bits: bytes | None):
-    """Arrow function: the fingerprints of each text. short: lengths of items of fewer than SPAN words."""
-    seen = None if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8))
+def _prints(short: tuple[int, ...], items: bool, bits: Broadcast | None):
+    """Arrow function: the fingerprints of each text. short: lengths of items of fewer than SPAN words; bits: a bitmap of the items' fingerprints."""
 
     def run(batches):
+        seen = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             uid = batch.column("uid").to_numpy(zero_copy_only=False)
@@ -79,7 +78,7 @@ def _prints(short: tuple[int, ...], items: bool, bits: bytes | None):
                 at, value, length = (np.concatenate(x) for x in zip(*found, strict=True))
                 value = value ^ (np.abs(length) + 64 * (length < 0)).astype(np.uint64)
                 if seen is not None:
-                    ok = seen[(value % np.uint64(FILTER_BITS)).astype(np.int64)] == 1
+                    ok = filter_has(seen, value)
                     at, value, length = at[ok], value[ok], length[ok]
                 order = np.lexsort((at, rows[at]))
                 at, value, length = at[order], value[order], length[order]
@@ -110,7 +109,7 @@ def _filter_bits(prints: DataFrame) -> bytes:
         for batch in batches:
             v = batch.column("h").combine_chunks() if isinstance(batch.column("h"), pa.ChunkedArray) else batch.column("h")
             v = v.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            bits[(v % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+            bits[filter_at(v)] = True
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
@@ -164,7 +163,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Data
     items = store(items, "items")
     item_prints = store(items.select("uid", "text").mapInArrow(_prints((), True, None), PRINTS), "item-prints")
     short = tuple(sorted(r[0] for r in item_prints.where(F.col("n_words").between(1, SPAN - 1)).select("n_words").distinct().collect()))
-    bits = _filter_bits(item_prints)
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(item_prints))
     keep = [c for c in docs.columns if c != "text"]
     packed = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), packed.alias("row"))
@@ -178,7 +177,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Data
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(out.column("uid")), *out.columns[1:]], names=["row", *out.schema.names[1:]])
 
     row_type = source.schema["row"].dataType.simpleString()
-    found = source.mapInArrow(run, f"row {row_type}, " + PRINTS.split(", ", 1)[1]).withColumn("uid", F.monotonically_increasing_id())
+    found = source.mapInArrow(giving_back(run), f"row {row_type}, " + PRINTS.split(", ", 1)[1]).withColumn("uid", F.monotonically_increasing_id())
     found = store(found, "prints")
     item_side = _exploded(item_prints.where("size(h) > 0").join(items.select("uid", "item_id"), "uid"), "item_id").select(
         "item_id", "h", "len", F.col("context").alias("item_context")

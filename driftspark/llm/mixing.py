@@ -11,8 +11,6 @@ document frequency lies between two bounds), and a document's topic is the one o
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +84,18 @@ def completed(cells: DataFrame, by: str, given: dict[str, float] | DataFrame) ->
 
 def residuals(cells: DataFrame, marginals: list[str], total: float) -> dict[str, float]:
     """The largest difference between reached and target share of each marginal."""
-    parts = []
-    for by in marginals:
-        reached = cells.groupBy(by).agg((F.sum(F.col("factor") * F.col("tokens")) / total).alias("share"), F.first(f"to_{by}").alias("target"))
-        parts.append(reached.agg(F.lit(by).alias("by"), F.max(F.abs(F.col("share") - F.col("target"))).alias("off")))
-    return {r.by: r.off or 0.0 for r in reduce(DataFrame.unionByName, parts).collect()}
+    mass = F.col("factor") * F.col("tokens")
+    each = [F.struct(F.lit(by).alias("by"), F.col(by).cast("string").alias("value"), mass.alias("mass"), F.col(f"to_{by}").alias("target")) for by in marginals]
+    reached = cells.select(F.explode(F.array(*each)).alias("m")).select("m.*").groupBy("by", "value").agg((F.sum("mass") / total).alias("share"), F.first("target").alias("target"))
+    found = reached.groupBy("by").agg(F.max(F.abs(F.col("share") - F.col("target"))).alias("off")).collect()
+    return dict.fromkeys(marginals, 0.0) | {r.by: r.off or 0.0 for r in found}
+
+
+def fitted(cells: DataFrame, by: str, total: float) -> DataFrame:
+    """cells with the factors that meet one marginal, stored: a plan over several marginals would hold each of its inputs twice for each of them."""
+    margin = cells.groupBy(by).agg(F.sum(F.col("factor") * F.col("tokens")).alias("mass"))
+    step = F.when(F.col("mass") > 0, F.col(f"to_{by}") * F.lit(total) / F.col("mass")).otherwise(0.0)
+    return store(cells.join(margin, by).withColumn("factor", F.col("factor") * step).select(cells.columns), "cells")
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float]]:
@@ -106,14 +111,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     now = store(now, "cells")
     off = residuals(now, list(targets), total) if total else dict.fromkeys(targets, 0.0)
     while max(off.values(), default=0.0) > tolerance:
-        new = now
+        before = max(off.values())
         for by in targets:
-            margin = new.groupBy(by).agg(F.sum(F.col("factor") * F.col("tokens")).alias("mass"))
-            step = F.when(F.col("mass") > 0, F.col(f"to_{by}") * F.lit(total) / F.col("mass")).otherwise(0.0)
-            new = new.join(margin, by).withColumn("factor", F.col("factor") * step).drop("mass")
-        new = store(new.select(now.columns), "cells")
-        drop(now)
-        now, before = new, max(off.values())
+            last, now = now, fitted(now, by, total)
+            drop(last)
         off = residuals(now, list(targets), total)
         if max(off.values()) > before * (1 - PROGRESS):
             break

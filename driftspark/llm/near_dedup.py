@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import LOWER, SPACE, bit_filter, bounds, drop, filter_at, grams, mix, slices, store, table, utf8, words
+from driftspark.llm.common import LOWER, SPACE, bit_filter, bounds, drop, filter_has, giving_back, grams, mix, slices, store, table, utf8, words
 from driftspark.llm.graph import components
 
 REGISTERS, BASE, RATE, LIMIT = 120, 1.02, 20.0, 65534
@@ -142,14 +142,14 @@ def _wanted_sets(k: int, bits):
     """Arrow function: the sets of texts whose digest may be asked for."""
 
     def run(batches):
-        seen, sent = np.unpackbits(bits.value), set()
+        sent = set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi in slices(offsets, SLICE):
                 off = offsets[lo : hi + 1] - offsets[lo]
                 g, cut = shingle_sets(LOWER[data[offsets[lo] : offsets[hi]]], off, k)
                 digest = digests(g, cut)
-                for i in np.flatnonzero((seen[filter_at(digest[:, 0].copy())] == 1) & (np.diff(cut) > 0)):
+                for i in np.flatnonzero(filter_has(bits.value, digest[:, 0].copy()) & (np.diff(cut) > 0)):
                     if (name := digest[i].tobytes()) in sent:  # one of a task's copies is enough
                         continue
                     sent.add(name)
@@ -259,7 +259,7 @@ def _sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64))], names=["head"])
 
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(asked.select("digest").mapInArrow(heads, "head long"), "head"))
-    sets = docs.select("text").mapInArrow(_joined(_wanted_sets(k, bits), "wanted_sets"), "digest binary, set binary")
+    sets = docs.select("text").mapInArrow(giving_back(_joined(_wanted_sets(k, bits), "wanted_sets")), "digest binary, set binary")
     return store(sets.join(asked.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set")), "sets")
 
 
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", k: int = 5, percent: i
     rest = [c for c in docs.columns if c != "text"]
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest).alias("row"))
     row_type = source.schema["row"].dataType.simpleString()
-    rowed = source.mapInArrow(_sketches(k), f"row {row_type}, n long, digest binary, sketch binary").withColumn("uid", F.monotonically_increasing_id())
+    rowed = source.mapInArrow(giving_back(_sketches(k)), f"row {row_type}, n long, digest binary, sketch binary").withColumn("uid", F.monotonically_increasing_id())
     rowed = store(rowed, "sketches")
     sets = rowed.where("n > 0").groupBy("digest").agg(F.min(F.struct("uid", "n", "sketch")).alias("s"))
     reps = store(sets.select("digest", F.col("s.uid").alias("rep"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch")), "reps")

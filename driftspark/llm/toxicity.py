@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import LOWER, NOT_ALNUM, bounds, drop, remainder, slices, spans, store, table, utf8
+from driftspark.llm.common import LOWER, NOT_ALNUM, bounds, drop, give_back, giving_back, remainder, slices, spans, store, table, utf8
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTENTION = 1 << 13, 1 << 13, 12, 8, 8
@@ -333,6 +333,7 @@ def fit(sample: DataFrame, share: float | None = None) -> dict:
         y = logits.column("toxic").to_numpy().astype(np.float64)
         model["scale"], model["shift"] = calibrate(logits.column("logit").to_numpy(), y, float(y.mean()) if share is None else share)
         model["rate"] = float(y.mean()) if share is None else share
+    give_back()
     return model
 
 
@@ -371,7 +372,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     source = docs.select("text", F.struct(*rest).alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return source.mapInArrow(_score(shared), f"row {source.schema['row'].dataType.simpleString()}, score double, n_windows long, logit double")
+    return source.mapInArrow(giving_back(_score(shared)), f"row {source.schema['row'].dataType.simpleString()}, score double, n_windows long, logit double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

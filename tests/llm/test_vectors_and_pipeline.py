@@ -3,6 +3,8 @@
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from driftspark.llm import embedding_dedup
 
@@ -116,3 +118,36 @@ def test_inputs_of_words_are_made_a_portion_at_a_time(monkeypatch):
     monkeypatch.setattr(toxicity, "PORTION", len(length))
     whole = toxicity.word_inputs(*words, h)
     assert all((a == b).all() for a, b in zip(found, whole, strict=True)) and (toxicity.embed(net, *whole) == x).all()
+
+
+def test_a_filter_travels_packed_and_is_not_part_of_the_code(spark, sf, monkeypatch):
+    """The bitmap of the items' fingerprints isn't pickled with the function that reads it, and tells the same packed as unpacked."""
+    from pyspark import cloudpickle
+
+    from driftspark.llm import common, decontamination
+
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").limit(5) for t in ("documents", "benchmark"))
+    sizes, frame = [], type(docs)
+    whole = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: sizes.append(len(cloudpickle.dumps(f))) or whole(self, f, *a, **b))
+    decontamination.contamination(docs.select("text", "doc_id"), items)
+    assert sizes and max(sizes) < 1 << 18
+    rng = np.random.default_rng(6)
+    bits, values = rng.integers(0, 256, common.FILTER_BITS // 8).astype(np.uint8), rng.integers(0, 2**63, 50_000).astype(np.uint64)
+    assert (common.filter_has(bits, values) == (np.unpackbits(bits)[common.filter_at(values)] == 1)).all()
+
+
+def test_raking_reads_its_cells_twice_in_a_plan(spark, monkeypatch):
+    """However many marginals there are, each query of a round holds its stored cells twice at most."""
+    from driftspark.llm import mixing
+
+    reads, store = [], mixing.store
+    monkeypatch.setattr(mixing, "store", lambda df, name: reads.append(df._jdf.queryExecution().analyzed().toString().count("parquet")) or store(df, name))
+    cells = spark.createDataFrame([(s, l, t, n) for n, (s, l, t) in enumerate(zip("ababba", "xyxyxx", "pqqppq", strict=True), 3)], "source string, lang string, topic string, tokens long")
+    goal = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.7, "q": 0.3}}
+    targets = {by: mixing.completed(cells, by, t) for by, t in goal.items()}
+    found, off = mixing.rake(cells, targets, tolerance=0.01)
+    assert len(reads) > 3 and max(reads) == 2 and found.count() == 6
+    mass = F.sum(F.col("factor") * F.col("tokens")) / sum(range(3, 9))
+    for by, t in goal.items():
+        assert off[by] == pytest.approx(max(abs(r.share - t[r[by]]) for r in found.groupBy(by).agg(mass.alias("share")).collect()), abs=1e-9)
